@@ -112,9 +112,9 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row of each maximal run of bytes that are not ASCII white space."""
-    word = ~_IS_SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of each maximal run of bytes that aren't in `gap` (256 booleans)."""
+    word = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.zeros(len(data) + 1, bool)
@@ -126,12 +126,21 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, (np.searchsorted(at, starts, "right") - 1).astype(np.int64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+class SpanHasher:
     """64-bit hashes of byte (or code point) runs, equal for equal runs wherever they stand."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(data) + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=self.sums[1:])
+        self.inverse = _power(_BASE_INVERSE, len(data) + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return SpanHasher(data)(starts, ends)
 
 
 _LANES = [0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
