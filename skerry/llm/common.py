@@ -49,7 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files behind `df` as the optimizer knows them; sizes buckets, never results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()[:18])
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from .media import op2_media
 from .mixing import mixing_sql, op6_mix_sources
 from .packing import op4_packing
 from .quality import op8_quality
+from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op7_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
 from .warc import OP1_SQL, op1_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
