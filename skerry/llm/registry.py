@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .media import op2_media
 from .mixing import mixing_sql, op6_mix_sources
+from .ngram_join import op5_ngram_join
 from .packing import op4_packing
 from .quality import op8_quality
 from .suffix_dedup import op10_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
