@@ -66,7 +66,7 @@ def deduplicate(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     dropped = verdicts(docs, salts=salts).where("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("digest").alias("dropped_digest")).distinct()
     own = sha256(normalised(docs["text"]))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("dropped_id")) & (own == F.col("dropped_digest")), "left_anti")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (own == dropped["dropped_digest"]), "left_anti")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_CLASS, materialise, table
@@ -31,13 +31,17 @@ DIGITS = 3
 LEVELS = 3
 
 
+def hashed(doc_id: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and hash of every row."""
     return docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"),
-        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS).alias("hash"),
+        hashed(F.col("doc_id")).alias("hash"),
     )
 
 
@@ -96,14 +100,31 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return bounds.select("source", "source_size", "target", "copies", F.col("prefix").alias("upto"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of `docs` (doc_id, source, text)."""
+def settle(docs: DataFrame, weights: Sequence[int], budget: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of all documents, and the thresholds of all sources."""
     rows = materialise(sized(docs), "mix-sizes")
     sums = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     found = materialise(thresholds(rows, targets(sums, weights, budget, most)), "mix-thresholds")
-    found = found.withColumnRenamed("source", "s")
-    taken = F.col("size") * (F.col("copies") + F.when((F.col("copies") < most) & (F.col("hash") < F.col("upto")), 1).otherwise(0))
-    return rows.join(found, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return rows, found.withColumnRenamed("source", "s")
+
+
+def times(most: int) -> Column:
+    """How often the mix takes a document, from hash, copies and upto."""
+    return F.col("copies") + F.when((F.col("copies") < most) & (F.col("hash") < F.col("upto")), 1).otherwise(0)
+
+
+def remix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """The rows of `docs`, with all their columns, each as often as the mix takes it."""
+    _, found = settle(docs, weights, budget, most)
+    own = docs.select(F.struct("*").alias("row")).select("row", hashed(F.col("row.doc_id")).alias("hash"), F.col("row.source").alias("own_source"))
+    taken = own.join(found, F.col("own_source").eqNullSafe(F.col("s"))).withColumn("times", times(most)).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row of `docs` (doc_id, source, text)."""
+    rows, found = settle(docs, weights, budget, most)
+    return rows.join(found, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(most)).alias("taken"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

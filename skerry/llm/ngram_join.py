@@ -401,7 +401,7 @@ def components_of(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose id is the smallest of its component."""
     dropped = components_of(docs).where("component_id < doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

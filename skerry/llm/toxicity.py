@@ -314,6 +314,17 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     return source.mapInArrow(run, f"{fields}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns, that score under `threshold`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [model.scores(data, at) for _, _, data, at in pieces(b["text"])]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0), *out]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = remainder(F.col("doc_id"), HELD_OUT_PARTS) == 1
