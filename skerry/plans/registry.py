@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function of (spark, sf_dir) under `name`, with its SQL if there is one."""
+
+    def keep(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return keep
+
+
+from . import analytics, answers, documents, filters, graphs, joins, retrieval, streams, texts, timelines, vectors, windows  # noqa: E402, F401
