@@ -1 +1,118 @@
+"""Queries: components, clusters and duplicate groups."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vector import sign_bits
+from ..operators import graph
+from ..operators.similarity import range_pairs
+from ..sources.tables import load
+from .registry import query
+from .vectors import THRESHOLD, UNIT_SQL
+
+EDGES_SQL = f"{UNIT_SQL}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= {THRESHOLD})"
+PARTS_SQL = f"""
+{EDGES_SQL}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, root) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node),
+c AS (SELECT node, min(root) AS component FROM r GROUP BY node)
+"""
+
+
+def edges(spark, sf_dir):
+    return range_pairs(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", THRESHOLD).withColumnRenamed("similarity", "weight")
+
+
+@query("graph_components", f"WITH RECURSIVE {PARTS_SQL} SELECT * FROM c")
+def graph_components(spark, sf_dir):
+    return graph.components(edges(spark, sf_dir))
+
+
+@query("graph_whispers")
+def graph_whispers(spark, sf_dir):
+    return graph.whispers(edges(spark, sf_dir))
+
+
+@query("graph_consensus")
+def graph_consensus(spark, sf_dir):
+    e = graph.checkpointed(edges(spark, sf_dir))
+    parts = graph.components(e).select("node", F.col("component").alias("label"))
+    return graph.consensus([graph.whispers(e), graph.whispers(e.where("weight >= 0.38")), parts], e)
+
+
+@query("graph_kmeans")
+def graph_kmeans(spark, sf_dir):
+    return graph.spherical_kmeans(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
+@query("cluster_health", f"""
+WITH RECURSIVE {PARTS_SQL}, z AS (SELECT component, count(*) AS n FROM c GROUP BY component), m AS (SELECT median(n) AS middle, CAST(sum(n) AS BIGINT) AS members FROM z), a AS (SELECT count(*) AS total FROM embeddings)
+SELECT count(*) AS clusters, max(n) AS largest, any_value(middle) AS middle, round(avg(n), 6) AS mean, round(max(n)::DOUBLE / any_value(members), 6) AS largest_share, count(*) FILTER (n > 4 * middle) AS outliers, round((any_value(total) - any_value(members))::DOUBLE / any_value(total), 6) AS alone_share FROM z, m, a
+""")
+def cluster_health(spark, sf_dir):
+    sizes = graph.components(edges(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    middle = sizes.agg(F.median("n").alias("middle"), F.sum("n").alias("members"))
+    total = load(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("total"))
+    joined = sizes.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(total))  # one row each
+    return joined.agg(
+        F.count(F.lit(1)).alias("clusters"), F.max("n").alias("largest"), F.max("middle").alias("middle"), F.round(F.avg("n"), 6).alias("mean"),
+        F.round(F.max("n") / F.max("members"), 6).alias("largest_share"), F.count_if(F.col("n") > 4 * F.col("middle")).alias("outliers"),
+        F.round((F.max("total") - F.max("members")) / F.max("total"), 6).alias("alone_share"),
+    )
+
+
+@query("cluster_gates", f"""
+WITH RECURSIVE {PARTS_SQL}, z AS (SELECT component, count(*) AS n FROM c GROUP BY component)
+SELECT CASE WHEN count(*) = 0 THEN 'empty' WHEN sum(n) < 20 THEN 'ok' WHEN max(n)::DOUBLE / sum(n) > 0.5 THEN 'one cluster holds most' ELSE 'ok' END AS verdict FROM z
+""")
+def cluster_gates(spark, sf_dir):
+    sizes = graph.components(edges(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    n, largest, total = F.count(F.lit(1)), F.max("n"), F.sum("n")
+    verdict = F.when(n == 0, "empty").when(total < 20, "ok").when(largest / total > 0.5, "one cluster holds most").otherwise("ok")
+    return sizes.agg(verdict.alias("verdict"))
+
+
+@query("cluster_agreement", f"""
+WITH RECURSIVE {PARTS_SQL}, b AS (SELECT component, label FROM c JOIN embeddings ON vec_id = node), t AS (SELECT label, count(DISTINCT component) AS n, count(*) AS m FROM b GROUP BY label HAVING count(*) >= 2), x AS (SELECT component, count(DISTINCT label) AS n FROM b GROUP BY component)
+SELECT (SELECT count(*) FROM t WHERE n = 1) AS held, (SELECT count(*) FROM t WHERE n > 1) AS split, (SELECT count(*) FROM x WHERE n > 1) AS mixing
+""")
+def cluster_agreement(spark, sf_dir):
+    labels = graph.components(edges(spark, sf_dir)).withColumnRenamed("component", "label")
+    return graph.agreement(labels, load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("truth")))
+
+
+@query("dupe_exact", "SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS best FROM documents GROUP BY text HAVING count(*) >= 2")
+def dupe_exact(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return docs.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("best")).where("copies >= 2")
+
+
+@query("dupe_groups", f"""
+WITH RECURSIVE {UNIT_SQL}, h AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0 END)) AS bits FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id JOIN h x ON x.vec_id = a.vec_id JOIN h y ON y.vec_id = b.vec_id WHERE list_dot_product(a.v, b.v) >= {THRESHOLD} AND bit_count(xor(x.bits, y.bits)) <= 24),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, root) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY node),
+t AS (SELECT component, arg_max(node, (node % 100, -node)) AS best FROM c GROUP BY component),
+k AS (SELECT c.component, node, best FROM c JOIN t ON c.component = t.component WHERE node = best OR EXISTS (SELECT 1 FROM s WHERE s.a = node AND s.b = best)),
+n AS (SELECT component, min(node) AS group_id, count(*) AS members FROM k GROUP BY component HAVING count(*) >= 2)
+SELECT group_id, node, best, members FROM k JOIN n USING (component)
+""")
+def dupe_groups(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings")
+    hashes = vectors.select("vec_id", sign_bits(F.col("embedding")).alias("h"))
+    pairs = graph.checkpointed(edges(spark, sf_dir))
+    left, right = hashes.select(F.col("vec_id").alias("a"), F.col("h").alias("x")), hashes.select(F.col("vec_id").alias("b"), F.col("h").alias("y"))
+    near = pairs.join(left, "a").join(right, "b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 24).select("a", "b")
+    return graph.duplicate_groups(pairs, near, vectors.select(F.col("vec_id").alias("node"), (F.col("vec_id") % 100).alias("weight")))
+
+
+@query("dupe_placements", "WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) >= 2) SELECT source, count(*) AS touched FROM documents JOIN g USING (text) GROUP BY source")
+def dupe_placements(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("source", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    twice = docs.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return docs.join(twice, "sha", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("touched"))
+
+
+@query("dupe_sizes", "WITH g AS (SELECT count(*) AS copies FROM documents GROUP BY text) SELECT copies, count(*) AS groups FROM g GROUP BY copies")
+def dupe_sizes(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.count(F.lit(1)).alias("copies"))
+    return docs.groupBy("copies").agg(F.count(F.lit(1)).alias("groups"))

@@ -1 +1,161 @@
+"""Queries: text, markup, keys and numbers."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import moments, text
+from ..operators.ranking import tokens
+from ..sources.files import KINDS, kind_of_name
+from ..sources.tables import load
+from .registry import query
+
+PROMPT_SQL = """
+SELECT event_id, 'a cat, <lora:style' || (event_id % 7) || ':0.' || (event_id % 10) || ':0.5> sunny <lora:style' || (event_id % 7) || ':1> <lyco:tone' || (event_id % 3) || ':te=0.25:unet=0.75>' || chr(10) ||
+ 'Negative prompt: blur, noise' || chr(10) || 'Steps: ' || (10 + event_id % 30) || ', Sampler: euler ' || event_type || ', Seed: ' || event_id || ', Size: 512x' || (256 + event_id % 5 * 64) || ', Note: "a, b: c"' AS prompt FROM events WHERE event_id <= 2000
+"""
+
+
+def prompts(spark, sf_dir):
+    events = load(spark, sf_dir, "events").where("event_id <= 2000")
+    return events.selectExpr(
+        "event_id",
+        """concat('a cat, <lora:style', event_id % 7, ':0.', event_id % 10, ':0.5> sunny <lora:style', event_id % 7, ':1> <lyco:tone', event_id % 3, ':te=0.25:unet=0.75>', char(10),
+        'Negative prompt: blur, noise', char(10), 'Steps: ', 10 + event_id % 30, ', Sampler: euler ', event_type, ', Seed: ', event_id, ', Size: 512x', 256 + event_id % 5 * 64, ', Note: "a, b: c"') as prompt""",
+    )
+
+
+@query("txt_lora_tags", f"""
+WITH p AS ({PROMPT_SQL})
+SELECT event_id, 'style' || (event_id % 7) AS name, CAST('0.' || (event_id % 10) AS DOUBLE) AS te, 0.5::DOUBLE AS unet FROM p UNION ALL SELECT event_id, 'tone' || (event_id % 3), 0.25::DOUBLE, 0.75::DOUBLE FROM p
+""")
+def txt_lora_tags(spark, sf_dir):
+    found = prompts(spark, sf_dir).select("event_id", F.explode(text.network_tags(F.col("prompt"))).alias("t"))
+    return found.select("event_id", "t.name", "t.te", "t.unet")
+
+
+@query("txt_infotext", f"""
+WITH p AS ({PROMPT_SQL}) SELECT event_id, regexp_extract(prompt, 'Steps: ([0-9]+)', 1) AS steps, regexp_extract(prompt, 'Sampler: ([^,]+)', 1) AS sampler, regexp_extract(prompt, 'Seed: ([0-9]+)', 1) AS seed, 'a, b: c' AS note FROM p
+""")
+def txt_infotext(spark, sf_dir):
+    m = text.infotext(F.col("prompt"))
+    return prompts(spark, sf_dir).withColumn("m", m).select("event_id", F.col("m")["Steps"].alias("steps"), F.col("m")["Sampler"].alias("sampler"), F.col("m")["Seed"].alias("seed"), F.col("m")["Note"].alias("note"))
+
+
+@query("txt_sections", f"WITH p AS ({PROMPT_SQL}) SELECT event_id, split_part(prompt, chr(10), 1) AS positive, 'blur, noise' AS negative FROM p")
+def txt_sections(spark, sf_dir):
+    return prompts(spark, sf_dir).withColumn("s", text.prompt_parts(F.col("prompt"))).select("event_id", "s.positive", "s.negative")
+
+
+@query("txt_size", f"WITH p AS ({PROMPT_SQL}) SELECT event_id, CAST(regexp_extract(prompt, 'Size: ([0-9]+)x([0-9]+)', 1) AS BIGINT) AS width, CAST(regexp_extract(prompt, 'Size: ([0-9]+)x([0-9]+)', 2) AS BIGINT) AS height FROM p")
+def txt_size(spark, sf_dir):
+    size = r"Size: (\d+)x(\d+)"
+    return prompts(spark, sf_dir).select("event_id", *[F.regexp_extract("prompt", size, k).cast("long").alias(n) for k, n in ((1, "width"), (2, "height"))])
+
+
+@query("txt_tokens_count", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS INTEGER) AS words FROM documents")
+def txt_tokens_count(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("words"))
+
+
+@query("txt_slug", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def txt_slug(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
+
+
+@query("txt_name_key", "SELECT lower(trim(regexp_replace('  ' || c_mktsegment || '   X ', '\\s+', ' ', 'g'))) AS name_key, count(*) AS n FROM customer GROUP BY 1")
+def txt_name_key(spark, sf_dir):
+    key = text.name_key(F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit("   X ")))
+    return load(spark, sf_dir, "customer").groupBy(key.alias("name_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("txt_trigram_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'idio')")
+def txt_trigram_search(spark, sf_dir):
+    return load(spark, sf_dir, "documents").where(F.lower("text").contains("idio")).select("doc_id")
+
+
+@query("txt_humanised", "SELECT * FROM (VALUES ('sourceSize', 'Source size'), ('file_param.key', 'File param key'), ('steps', 'Steps')) t(key, shown)")
+def txt_humanised(spark, sf_dir):
+    keys = spark.createDataFrame([("sourceSize",), ("file_param.key",), ("steps",)], "key string")
+    return keys.select("key", text.humanised(F.col("key")).alias("shown"))
+
+
+@query("txt_match_score", "SELECT p_partkey, CASE WHEN starts_with(lower(p_type), 's') THEN 0 WHEN contains(' ' || regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g'), ' s') THEN 1 WHEN contains(lower(p_type), 's') THEN 2 END AS score FROM part")
+def txt_match_score(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", text.match_score(F.col("p_type"), F.lit("s")).alias("score"))
+
+
+@query("url_parts", r"SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages")
+def url_parts(spark, sf_dir):
+    return load(spark, sf_dir, "pages").withColumn("u", text.url_parts(F.col("url"))).select("page_id", "u.*")
+
+
+@query("url_opening_windows", "SELECT page_id, count(*) OVER (PARTITION BY regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS on_host FROM pages")
+def url_opening_windows(spark, sf_dir):
+    from pyspark.sql import Window
+
+    host = F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1)
+    return load(spark, sf_dir, "pages").select("page_id", F.count(F.lit(1)).over(Window.partitionBy(host)).alias("on_host"))
+
+
+@query("html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs FROM pages")
+def html_title(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"))
+
+
+@query("json_flatten", "SELECT event_id, 'props.k' AS key, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'user.id', CAST(user_id AS VARCHAR) FROM events")
+def json_flatten(spark, sf_dir):
+    nested = F.to_json(F.struct(F.from_json("props", "struct<k: long>").alias("props"), F.struct(F.col("user_id").alias("id")).alias("user")))
+    rows = load(spark, sf_dir, "events").select("event_id", nested.alias("j"))
+    outer = rows.select("event_id", F.explode(F.from_json("j", "map<string,map<string,string>>")).alias("a", "m"))
+    return outer.select("event_id", "a", F.explode("m").alias("b", "value")).select("event_id", F.concat_ws(".", "a", "b").alias("key"), "value")
+
+
+@query("num_parse", "SELECT * FROM (VALUES ('1', 1.0::DOUBLE), (' 2.5 ', 2.5), ('1_000', NULL), ('nan', NULL), ('1e3', 1000.0), ('.5', 0.5), ('', NULL), ('12 px', NULL), ('-7', -7.0), ('1e999', NULL)) t(raw, value)")
+def num_parse(spark, sf_dir):
+    raw = spark.createDataFrame([(x,) for x in ("1", " 2.5 ", "1_000", "nan", "1e3", ".5", "", "12 px", "-7", "1e999")], "raw string")
+    return raw.select("raw", moments.try_number(F.col("raw")).alias("value"))
+
+
+@query("when_name_stamp", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id <= 1000")
+def when_name_stamp(spark, sf_dir):
+    name = F.concat(F.lit("IMG_"), F.date_format("ts", "yyyyMMdd"), F.lit("_"), F.date_format("ts", "HHmmss"), F.lit(".jpg"))
+    return load(spark, sf_dir, "events").where("event_id <= 1000").select("event_id", moments.name_stamp(name).alias("day"))
+
+
+@query("when_folder", "SELECT path, day FROM (VALUES ('/a/2024-02-30/x', NULL), ('/a/2023-05-06/x', '2023-05-06'), ('/20230506x/', '2023-05-06'), ('/1799-01-01/', NULL), ('/b/c', NULL)) t(path, day)")
+def when_folder(spark, sf_dir):
+    paths = spark.createDataFrame([(x,) for x in ("/a/2024-02-30/x", "/a/2023-05-06/x", "/20230506x/", "/1799-01-01/", "/b/c")], "path string")
+    return paths.select("path", moments.name_stamp(F.col("path")).alias("day"))
+
+
+@query("when_refine", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN epoch(o_orderdate) + 3600 ELSE epoch(o_orderdate) END AS at FROM orders")
+def when_refine(spark, sf_dir):
+    claim = F.col("o_orderdate").cast("timestamp").cast("double")
+    estimate = F.when(F.col("o_orderkey") % 3 == 0, claim + 3600).otherwise(claim + 200000)
+    return load(spark, sf_dir, "orders").select("o_orderkey", moments.refined(claim, F.lit("day"), estimate).alias("at"))
+
+
+@query("when_judged", """
+SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'second' WHEN quality = 1 THEN 'day' ELSE 'year' END AS precision, CASE WHEN quality = 1 AND toxic = 0 THEN 0.9::DOUBLE WHEN quality = 1 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS certainty,
+ concat_ws(',', CASE WHEN quality = 1 THEN 'name' END, CASE WHEN toxic = 0 THEN 'folder' END) AS supports FROM labels
+""")
+def when_judged(spark, sf_dir):
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
+    precision = F.when(good & clean, "second").when(good, "day").otherwise("year")
+    certainty = F.when(good & clean, F.lit(0.9)).when(good, F.lit(0.6)).otherwise(F.lit(0.4))
+    supports = F.array_join(F.array_compact(F.array(F.when(good, "name"), F.when(clean, "folder"))), ",")
+    return load(spark, sf_dir, "labels").select("doc_id", precision.alias("precision"), certainty.alias("certainty"), supports.alias("supports"))
+
+
+@query("sha_identity", "SELECT doc_id, substr(sha256(text), 1, 16) AS short FROM documents")
+def sha_identity(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("short"))
+
+
+@query("scan_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'document' END AS kind FROM documents) GROUP BY kind")
+def scan_kinds(spark, sf_dir):
+    suffix = F.element_at(F.array(F.lit("PNG"), F.lit("mp4"), F.lit("pdf"), F.lit("zzz")), (F.col("doc_id") % 4 + 1).cast("int"))
+    named = load(spark, sf_dir, "documents").select(F.concat_ws(".", F.lit("a.b"), suffix).alias("name"))
+    assert {"image", "video", "document"} <= set(KINDS)
+    return named.groupBy(kind_of_name(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
