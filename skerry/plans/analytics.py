@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from .filters import ask
 from .registry import query
 
-ROWS = F.count(F.lit(1))
+
+def rows_n() -> Column:
+    return F.count(F.lit(1))
 
 
 @query("agg_present_count", "SELECT count(*) AS n FROM documents WHERE lang = 'en'")
 def agg_present_count(spark, sf_dir):
-    return ask(spark, sf_dir, "media.kind:eq:en").agg(ROWS.alias("n"))
+    return ask(spark, sf_dir, "media.kind:eq:en").agg(rows_n().alias("n"))
 
 
 @query("agg_summary", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM pages) AS pages, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(*) FROM events) AS events")
 def agg_summary(spark, sf_dir):
     one = lambda t, c: load(spark, sf_dir, t).agg(c.alias("conversations" if t == "conversations" else t))
-    out = one("documents", ROWS)
-    for name, column in (("labels", ROWS), ("pages", ROWS), ("conversations", F.countDistinct("conv_id")), ("events", ROWS)):
+    out = one("documents", rows_n())
+    for name, column in (("labels", rows_n()), ("pages", rows_n()), ("conversations", F.countDistinct("conv_id")), ("events", rows_n())):
         out = out.crossJoin(one(name, column))  # one row each
     return out
 
@@ -34,22 +36,22 @@ def agg_options_without_self(spark, sf_dir):
 
     question = Question((facet(REGISTRY, "media.kind:eq:de"), facet(REGISTRY, "media.length:gte:500")))
     docs = load(spark, sf_dir, "documents")
-    return eligible(docs, "doc_id", question.without("media.kind"), REGISTRY, {}).groupBy("lang").agg(ROWS.alias("n"))
+    return eligible(docs, "doc_id", question.without("media.kind"), REGISTRY, {}).groupBy("lang").agg(rows_n().alias("n"))
 
 
 @query("agg_options_searched", "SELECT source, count(*) AS n FROM documents WHERE source LIKE '%1%' GROUP BY source ORDER BY n DESC, source LIMIT 5")
 def agg_options_searched(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where(F.col("source").contains("1")).groupBy("source").agg(ROWS.alias("n")).orderBy(F.desc("n"), "source").limit(5)
+    return load(spark, sf_dir, "documents").where(F.col("source").contains("1")).groupBy("source").agg(rows_n().alias("n")).orderBy(F.desc("n"), "source").limit(5)
 
 
 @query("agg_breakdown", "SELECT source, count(*) AS n FROM documents WHERE lang = 'en' AND n_chars >= 500 GROUP BY source")
 def agg_breakdown(spark, sf_dir):
-    return ask(spark, sf_dir, "media.kind:eq:en", "media.length:gte:500").groupBy("source").agg(ROWS.alias("n"))
+    return ask(spark, sf_dir, "media.kind:eq:en", "media.length:gte:500").groupBy("source").agg(rows_n().alias("n"))
 
 
 @query("agg_share_covered", "SELECT lang, n, round(100.0 * n / total, 1) AS share, total AS covered FROM (SELECT lang, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM documents GROUP BY lang) WHERE n < total")
 def agg_share_covered(spark, sf_dir):
-    counts = load(spark, sf_dir, "documents").groupBy("lang").agg(ROWS.alias("n"))
+    counts = load(spark, sf_dir, "documents").groupBy("lang").agg(rows_n().alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # over one row per value
     return counts.withColumn("covered", total).where("n < covered").select("lang", "n", F.round(F.lit(100.0) * F.col("n") / F.col("covered"), 1).alias("share"), "covered")
 
@@ -57,20 +59,20 @@ def agg_share_covered(spark, sf_dir):
 @query("agg_analyze", "SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
 def agg_analyze(spark, sf_dir):
     # All breakdowns of one scope in one pass.
-    sets = load(spark, sf_dir, "documents").groupingSets([["lang"], ["source"]], "lang", "source").agg(ROWS.alias("n"), F.grouping("lang").alias("g"))
+    sets = load(spark, sf_dir, "documents").groupingSets([["lang"], ["source"]], "lang", "source").agg(rows_n().alias("n"), F.grouping("lang").alias("g"))
     return sets.select(F.when(F.col("g") == 0, "lang").otherwise("source").alias("dimension"), F.when(F.col("g") == 0, F.col("lang")).otherwise(F.col("source")).alias("value"), "n")
 
 
 @query("agg_yes_no", "SELECT flag, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest([0, 1]) AS flag) LEFT JOIN (SELECT CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS flag, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1) USING (flag)")
 def agg_yes_no(spark, sf_dir):
     some = load(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("flag"))
-    told = load(spark, sf_dir, "documents").select("doc_id").join(some, "doc_id", "left").groupBy(F.coalesce("flag", F.lit(0)).alias("flag")).agg(ROWS.alias("n"))
+    told = load(spark, sf_dir, "documents").select("doc_id").join(some, "doc_id", "left").groupBy(F.coalesce("flag", F.lit(0)).alias("flag")).agg(rows_n().alias("n"))
     return spark.range(2).select(F.col("id").cast("int").alias("flag")).join(told, "flag", "left").select("flag", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("agg_prompt_use", "SELECT role, sha256(text) AS prompt, count(*) AS n FROM conversations GROUP BY role, text ORDER BY n DESC, role, prompt LIMIT 40")
 def agg_prompt_use(spark, sf_dir):
-    use = load(spark, sf_dir, "conversations").groupBy("role", "text").agg(ROWS.alias("n"))
+    use = load(spark, sf_dir, "conversations").groupBy("role", "text").agg(rows_n().alias("n"))
     return use.select("role", F.sha2(F.col("text").cast("binary"), 256).alias("prompt"), "n").orderBy(F.desc("n"), "role", "prompt").limit(40)
 
 
@@ -83,7 +85,7 @@ def agg_terms(spark, sf_dir):
     parts = F.split(F.regexp_replace(F.lower("text"), r"[\n.]", ","), ",")
     clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r":[0-9.]+\)|[()\[\]{}]", "")))
     terms = load(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(clean)).alias("term")).where("term <> ''")
-    return terms.groupBy("term").agg(ROWS.alias("files")).orderBy(F.desc("files"), "term").limit(100)
+    return terms.groupBy("term").agg(rows_n().alias("files")).orderBy(F.desc("files"), "term").limit(100)
 
 
 @query("agg_weights_median", "SELECT l_partkey, count(DISTINCT l_orderkey) AS files, min(l_quantity) AS least, max(l_quantity) AS most, median(l_quantity) AS middle FROM lineitem GROUP BY l_partkey")
@@ -118,7 +120,7 @@ def agg_catalog(spark, sf_dir):
 
 @query("agg_usefulness", TAIL_SQL + "SELECT family, CASE WHEN vals <= 1 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, covered::DOUBLE / (SELECT count(*) FROM events)) * CASE WHEN vals <= 50 THEN 1.0::DOUBLE ELSE 50.0::DOUBLE / vals END END AS score FROM f")
 def agg_usefulness(spark, sf_dir):
-    total = load(spark, sf_dir, "events").agg(ROWS.alias("total"))
+    total = load(spark, sf_dir, "events").agg(rows_n().alias("total"))
     share = F.least(F.lit(1.0), F.col("covered") / F.col("total"))
     few = F.when(F.col("vals") <= 50, F.lit(1.0)).otherwise(F.lit(50.0) / F.col("vals"))
     return families(spark, sf_dir).crossJoin(total).select("family", F.when(F.col("vals") <= 1, F.lit(0.0)).otherwise(share * few).alias("score"))
@@ -126,14 +128,14 @@ def agg_usefulness(spark, sf_dir):
 
 @query("agg_catalog_values", TAIL_SQL + "SELECT value, count(*) AS n FROM p WHERE key = 'props.k' GROUP BY value ORDER BY n DESC, value LIMIT 20")
 def agg_catalog_values(spark, sf_dir):
-    return long_tail(spark, sf_dir).where("key = 'props.k'").groupBy("value").agg(ROWS.alias("n")).orderBy(F.desc("n"), "value").limit(20)
+    return long_tail(spark, sf_dir).where("key = 'props.k'").groupBy("value").agg(rows_n().alias("n")).orderBy(F.desc("n"), "value").limit(20)
 
 
 @query("agg_key_registry", TAIL_SQL + "SELECT key, count(*) AS occurrences, CASE WHEN count(DISTINCT regexp_matches(value, '^[0-9.]+$')) > 1 THEN 'mixed' WHEN bool_and(regexp_matches(value, '^[0-9.]+$')) THEN 'number' ELSE 'text' END AS kind FROM p GROUP BY key")
 def agg_key_registry(spark, sf_dir):
     number = F.col("value").rlike("^[0-9.]+$")
     kind = F.when(F.countDistinct(number) > 1, "mixed").when(F.bool_and(number), "number").otherwise("text")
-    return long_tail(spark, sf_dir).groupBy("key").agg(ROWS.alias("occurrences"), kind.alias("kind"))
+    return long_tail(spark, sf_dir).groupBy("key").agg(rows_n().alias("occurrences"), kind.alias("kind"))
 
 
 @query("agg_by_use", "SELECT p_brand, count(DISTINCT l_orderkey) AS files FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
@@ -151,7 +153,7 @@ def agg_synergy(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").where("l_linenumber in (1, 2)").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     a = lines.where("l_linenumber = 1").select("l_orderkey", F.col("p_brand").alias("brand")).distinct()
     b = lines.where("l_linenumber = 2").select("l_orderkey", F.col("p_size").alias("size")).distinct()
-    return a.join(b, "l_orderkey").groupBy("brand", "size").agg(ROWS.alias("together"))
+    return a.join(b, "l_orderkey").groupBy("brand", "size").agg(rows_n().alias("together"))
 
 
 @query("agg_people_by_folder", "SELECT n_name, c_mktsegment, count(DISTINCT c_custkey) AS people FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
@@ -188,7 +190,7 @@ def agg_verdict_pivot(spark, sf_dir):
 
 @query("agg_corrections", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS people FROM events GROUP BY event_type")
 def agg_corrections(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(ROWS.alias("n"), F.countDistinct("user_id").alias("people"))
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(rows_n().alias("n"), F.countDistinct("user_id").alias("people"))
 
 
 @query("agg_contests", """
@@ -198,12 +200,12 @@ SELECT a.who AS left_who, b.who AS right_who, count(*) AS shared, count(*) FILTE
 def agg_contests(spark, sf_dir):
     says = load(spark, sf_dir, "labels").select("doc_id", F.explode(F.create_map(F.lit("quality"), F.col("quality"), F.lit("toxic"), 1 - F.col("toxic"))).alias("who", "says"))
     a, b = says.select("doc_id", F.col("who").alias("left_who"), F.col("says").alias("x")), says.select("doc_id", F.col("who").alias("right_who"), F.col("says").alias("y"))
-    return a.join(b, "doc_id").where("left_who < right_who").groupBy("left_who", "right_who").agg(ROWS.alias("shared"), F.count_if(F.col("x") != F.col("y")).alias("differ"))
+    return a.join(b, "doc_id").where("left_who < right_who").groupBy("left_who", "right_who").agg(rows_n().alias("shared"), F.count_if(F.col("x") != F.col("y")).alias("differ"))
 
 
 @query("agg_tag_vocabulary", "SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, tag")
 def agg_tag_vocabulary(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tag")).agg(ROWS.alias("n"))
+    return load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tag")).agg(rows_n().alias("n"))
 
 
 @query("agg_removal_cost", """
@@ -214,20 +216,20 @@ def agg_removal_cost(spark, sf_dir):
     people = load(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
     orders = load(spark, sf_dir, "orders").join(people, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
     lines = load(spark, sf_dir, "lineitem").join(orders, "l_orderkey", "left_semi")
-    each = [df.agg(ROWS.alias("n")).select(F.lit(what).alias("what"), "n") for what, df in (("customer", people), ("orders", orders), ("lineitem", lines))]
+    each = [df.agg(rows_n().alias("n")).select(F.lit(what).alias("what"), "n") for what, df in (("customer", people), ("orders", orders), ("lineitem", lines))]
     return each[0].unionAll(each[1]).unionAll(each[2])
 
 
 @query("agg_job_matrix", "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'click') AS open, count(*) AS total FROM events GROUP BY user_id")
 def agg_job_matrix(spark, sf_dir):
     kind = F.col("event_type")
-    return load(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind == "purchase").alias("done"), F.count_if(kind == "click").alias("open"), ROWS.alias("total"))
+    return load(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind == "purchase").alias("done"), F.count_if(kind == "click").alias("open"), rows_n().alias("total"))
 
 
 @query("agg_queue_coverage", "SELECT lang, count(*) AS waiting FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY lang")
 def agg_queue_coverage(spark, sf_dir):
     done = load(spark, sf_dir, "labels").select("doc_id")
-    return load(spark, sf_dir, "documents").select("doc_id", "lang").join(done, "doc_id", "left_anti").groupBy("lang").agg(ROWS.alias("waiting"))
+    return load(spark, sf_dir, "documents").select("doc_id", "lang").join(done, "doc_id", "left_anti").groupBy("lang").agg(rows_n().alias("waiting"))
 
 
 @query("agg_claims_extents", "SELECT o_orderstatus, min(o_totalprice) AS least, max(o_totalprice) AS most, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1")
@@ -237,18 +239,18 @@ def agg_claims_extents(spark, sf_dir):
 
 @query("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 def agg_grouping_sets(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").groupingSets([["l_returnflag"], ["l_linestatus"], []], "l_returnflag", "l_linestatus").agg(ROWS.alias("n"))
+    return load(spark, sf_dir, "lineitem").groupingSets([["l_returnflag"], ["l_linestatus"], []], "l_returnflag", "l_linestatus").agg(rows_n().alias("n"))
 
 
 @query("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def agg_cube(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(ROWS.alias("n"), F.sum("l_quantity").alias("quantity"))
+    return load(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(rows_n().alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @query("agg_rollup", "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
 def agg_rollup(spark, sf_dir):
     places = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return load(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(ROWS.alias("n"))
+    return load(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(rows_n().alias("n"))
 
 
 @query("agg_distinct", "SELECT DISTINCT lang, source FROM documents")
@@ -273,11 +275,11 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2
 """)
 def agg_pricing_summary(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), ROWS.alias("n"))
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), rows_n().alias("n"))
 
 
 @query("agg_authored_export", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS shelves, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS members FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 250000 GROUP BY c_custkey")
 def agg_authored_export(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").where("o_totalprice > 250000")
     members = F.concat_ws(",", F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")))
-    return orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(ROWS.alias("shelves"), members.alias("members"))
+    return orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(rows_n().alias("shelves"), members.alias("members"))

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from .registry import query
 
-PER = Window.partitionBy("o_custkey")
-IN_TIME = PER.orderBy("o_orderdate", "o_orderkey")
+
+def per() -> WindowSpec:
+    return Window.partitionBy("o_custkey")
+
+
+def in_time() -> WindowSpec:
+    return per().orderBy("o_orderdate", "o_orderkey")
+
+
 OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 
 
@@ -21,46 +28,46 @@ def orders(spark, sf_dir):
 SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense, percent_rank() OVER w AS percent, cume_dist() OVER w AS cume FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)
 """)
 def win_rank_family(spark, sf_dir):
-    w = PER.orderBy("o_orderpriority")
+    w = per().orderBy("o_orderpriority")
     return orders(spark, sf_dir).select("o_orderkey", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("dense"), F.percent_rank().over(w).alias("percent"), F.cume_dist().over(w).alias("cume"))
 
 
 @query("win_running_total", f"SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
 def win_running_total(spark, sf_dir):
-    return orders(spark, sf_dir).select("o_orderkey", F.round(F.sum("o_totalprice").over(IN_TIME.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
+    return orders(spark, sf_dir).select("o_orderkey", F.round(F.sum("o_totalprice").over(in_time().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
 
 
 @query("win_moving_avg", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM orders")
 def win_moving_avg(spark, sf_dir):
-    return orders(spark, sf_dir).select("o_orderkey", F.round(F.avg("o_totalprice").over(IN_TIME.rowsBetween(-2, 0)), 4).alias("moving"))
+    return orders(spark, sf_dir).select("o_orderkey", F.round(F.avg("o_totalprice").over(in_time().rowsBetween(-2, 0)), 4).alias("moving"))
 
 
 @query("win_range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate) RANGE BETWEEN 2592000000000 PRECEDING AND CURRENT ROW) AS recent FROM orders")
 def win_range_frame(spark, sf_dir):
     at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    frame = PER.orderBy("us").rangeBetween(-2_592_000_000_000, 0)
+    frame = per().orderBy("us").rangeBetween(-2_592_000_000_000, 0)
     return orders(spark, sf_dir).withColumn("us", at).select("o_orderkey", F.count(F.lit(1)).over(frame).alias("recent"))
 
 
 @query("win_lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {OVER} AS previous, lead(o_orderkey) {OVER} AS following FROM orders")
 def win_lag_lead(spark, sf_dir):
-    return orders(spark, sf_dir).select("o_orderkey", F.lag("o_orderkey").over(IN_TIME).alias("previous"), F.lead("o_orderkey").over(IN_TIME).alias("following"))
+    return orders(spark, sf_dir).select("o_orderkey", F.lag("o_orderkey").over(in_time()).alias("previous"), F.lead("o_orderkey").over(in_time()).alias("following"))
 
 
 @query("win_first_last", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS first_id, last_value(o_orderkey) OVER w AS last_id, nth_value(o_orderkey, 2) OVER w AS second_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def win_first_last(spark, sf_dir):
-    w = IN_TIME.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = in_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return orders(spark, sf_dir).select("o_orderkey", F.first("o_orderkey").over(w).alias("first_id"), F.last("o_orderkey").over(w).alias("last_id"), F.nth_value("o_orderkey", 2).over(w).alias("second_id"))
 
 
 @query("win_ntile", f"SELECT o_orderkey, ntile(4) {OVER} AS quarter FROM orders")
 def win_ntile(spark, sf_dir):
-    return orders(spark, sf_dir).select("o_orderkey", F.ntile(4).over(IN_TIME).cast("long").alias("quarter"))
+    return orders(spark, sf_dir).select("o_orderkey", F.ntile(4).over(in_time()).cast("long").alias("quarter"))
 
 
 @query("win_newest_per", "SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders) WHERE place <= 4")
 def win_newest_per(spark, sf_dir):
-    place = F.row_number().over(PER.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    place = F.row_number().over(per().orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
     return orders(spark, sf_dir).withColumn("place", place.cast("long")).where("place <= 4").select("o_custkey", "o_orderkey", "place")
 
 

@@ -46,7 +46,7 @@ def sniffed(content: Column) -> Column:
 
 
 def walk(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, size, modified, format, kind, sha256 of all files under `folder`."""
+    """path, size, modified, format, kind, sha256 of all files under `folder` that have bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     known = sniffed(F.col("content"))
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), known["format"].alias("format"), F.coalesce(known["kind"], kind_of_name(F.col("path"))).alias("kind"), F.sha2("content", 256).alias("sha256"))
