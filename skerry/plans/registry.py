@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-from . import analytics, answers, documents, filters, graphs, joins, retrieval, streams, texts, timelines, vectors, windows  # noqa: E402, F401
+from . import analytics, answers, documents, filters, graphs, joins, library, retrieval, streams, texts, timelines, vectors, windows  # noqa: E402, F401
