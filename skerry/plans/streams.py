@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming.runs import latest, ledger, settled, settled_aggregate, stream_of
+from ..streaming.runs import latest, ledger, settled, settled_aggregate, settled_updates, stream_of, tallied
 from .registry import query
 
 
@@ -60,3 +60,8 @@ def st_stream_join(spark, sf_dir):
     views = rows.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "ts").withWatermark("ts", "40 days")
     near = (F.col("user_id") == F.col("buyer")) & (F.col("ts") <= F.col("bought")) & (F.col("ts") >= F.col("bought") - F.expr("INTERVAL 2 HOURS"))
     return settled(buys.join(views, near).select("buy_id", "view_id"))
+
+
+@query("st_open_items", "SELECT user_id, count(*) FILTER (event_type = 'view') AS opened, count(*) FILTER (event_type = 'purchase') AS closed FROM events GROUP BY user_id")
+def st_open_items(spark, sf_dir):
+    return settled_updates(tallied(stream_of(spark, sf_dir, "events"), "user_id", "event_type", "view", "purchase"), "user_id")

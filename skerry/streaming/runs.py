@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +70,38 @@ def ledger(stream: DataFrame, id: str, after: int) -> DataFrame:
 def latest(stream: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """The last note of each key."""
     return stream.groupBy(by).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
+
+
+def settled_updates(stream: DataFrame, key: str, timeout_s: int = 600) -> DataFrame:
+    """Run an updating stream; the last row of each key counts."""
+    folder = scratch(stream.sparkSession)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+
+    run = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    try:
+        if not run.awaitTermination(timeout_s):
+            raise TimeoutError("the stream didn't end")
+    finally:
+        run.stop()
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("__batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+    rest = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(key, "r.*")
+
+
+def tallied(stream: DataFrame, by: str, kind: str, opening: str, closing: str) -> DataFrame:
+    """by, opened, closed: running tallies of each key, kept in the state store between batches."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, frames, state: GroupState):
+        opened, closed = state.get if state.exists else (0, 0)
+        for frame in frames:
+            opened += int((frame[kind] == opening).sum())
+            closed += int((frame[kind] == closing).sum())
+        state.update((opened, closed))
+        yield pd.DataFrame({by: [key[0]], "opened": [opened], "closed": [closed]})
+
+    field = dict(stream.dtypes)[by]
+    return stream.select(by, kind).groupBy(by).applyInPandasWithState(step, f"{by} {field}, opened long, closed long", "opened long, closed long", "update", GroupStateTimeout.NoTimeout)
