@@ -3,20 +3,19 @@
 Documents are sets of word shingles; two link when their Jaccard similarity is at least 3/4.
 
 1. Documents with equal sets are one; the rest of the work is done on one of each.
-2. A linked pair shares a shingle among the first quarter (and one) of both sets, in any fixed
-   order of shingles. The order here puts frequent ones last, then goes by hash. Documents
-   that share no such shingle with another are out (`sharing`).
-3. Blocks by min-hash: the sets of a block meet in one task and are joined by a signature
-   tree. Its leaves hold bitmaps of the sets, its nodes OR-combined bitmaps and size ranges;
-   two nodes are followed down together unless their sizes or the largest overlap that their
-   bitmaps allow rule out a link, or all they hold is connected already. Large blocks are cut
-   by weight; what represents the cuts' components meets again.
-4. Blocks may miss links, so an exact pass follows: documents of different components that
-   share a shingle of step 2 and pass sizes and bitmaps are compared as pairs.
-5. Components of all links found.
-
-Pairs inside a component are not all compared: a link between connected documents changes
-nothing. Every link between components is found.
+2. In any fixed order of shingles, a linked pair shares more than a quarter of the larger set
+   among the first half of both. The order here puts frequent shingles last, then goes by
+   hash. Documents that share too few of these with any others are out (`sharing`).
+3. What is left falls into groups: documents that share a beginning, and so on. No link
+   crosses a group. Groups come from one edge per shared beginning, not from pairs.
+4. The sets of a group meet in one task and are joined by a signature tree. Its leaves hold
+   bitmaps of the sets, its nodes OR-combined bitmaps and size ranges; two nodes are followed
+   down together unless their sizes or the largest overlap that their bitmaps allow rule out
+   a link, or all they hold is connected already.
+5. A group too large for a task is cut. Each cut is joined for itself, then one document of
+   each component of each cut; last, all that isn't in the group's largest component is
+   joined with every cut. A pair that wasn't compared is then in one component.
+6. Components of all links found.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; null
 ids are one node with a null id, larger than all others; rows that repeat an id are one node
@@ -35,18 +34,19 @@ from pyspark.sql import functions as F
 
 from .common import input_bytes, materialise, mix, shingle_sets, table
 from .components import components
-from .sharing import binaries, buckets_for, keyed, shared, starts_of, values_of
+from .sharing import buckets_for, keyed, shared, starts_of, values_of
 
 WIDTH = 5
 #: Two sets link when OVER * intersection >= UNDER * union.
 OVER, UNDER = 4, 3
-#: A shingle in at least this share of the documents goes to the end of the order; so many at most.
-FREQUENT, FREQUENT_MOST = 1 / 500, 400_000
-SKETCHES = 3
-BLOCK_BYTES = 12 << 20
+#: The most frequent shingles go to the end of the order: those seen so often in batches that
+#: hold them twice, and so many at most. The list only orders; it decides no link.
+FREQUENT, FREQUENT_MOST = 6, 400_000
+#: Of n shingles, those after the first quarter that count in the order's beginning: n // MORE.
+MORE = 4
+BLOCK_BYTES = 32 << 20
 HASH_BYTES = 24 << 20
 LEAF, FAN = 16, 8
-BITS = 1024
 
 
 def links(a: int, b: int, overlap: int) -> bool:
@@ -61,7 +61,7 @@ def needed(total: np.ndarray) -> np.ndarray:
 # -- signature trees ------------------------------------------------------------
 
 
-def bitmap(found: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, int]:
+def bitmap(found: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     """Bitmap of a set, and how many of its members fell on a bit already set."""
     at = np.unique(found % np.uint64(bits)).astype(np.int64)
     out = np.zeros(bits // 64, np.uint64)
@@ -200,7 +200,7 @@ def first_pass(rows: DataFrame) -> DataFrame:
             every = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
             begin = starts_of(every)
             count = np.diff(np.append(begin, len(every)))
-            often = count >= max(3, n * FREQUENT)
+            often = count >= 2
             k = int(often.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(every[begin[often]].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["kind", "doc_id", "rid", "n", "one", "two"])
 
@@ -210,14 +210,15 @@ def first_pass(rows: DataFrame) -> DataFrame:
 class Order:
     """Sorts a set's hashes: frequent ones last, by frequency, the others by hash."""
 
-    def __init__(self, frequent: list[tuple[int, int]]) -> None:
-        pairs = sorted((h & (2**64 - 1), n) for h, n in frequent)
-        self.known = np.array([h for h, _ in pairs], np.uint64)
-        self.rank = np.array([min(63, n.bit_length()) for _, n in pairs], np.uint64)
+    def __init__(self, frequent: np.ndarray, count: np.ndarray) -> None:
+        known = frequent.astype(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        self.known = known[order]
+        self.rank = np.minimum(63, np.log2(np.maximum(count[order], 1)) + 1).astype(np.uint64)
 
     def prefix(self, found: np.ndarray) -> np.ndarray:
         n = len(found)
-        take = n - -(-UNDER * n // OVER) + 1
+        take = n - -(-UNDER * n // OVER) + 1 + n // MORE
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
             often = self.known[at] == found
@@ -228,71 +229,31 @@ class Order:
 
 
 def full_sets(found: DataFrame) -> DataFrame:
-    """doc_id, n, set, bits, excess and block keys of rows doc_id, text."""
+    """doc_id and set of rows doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = b["doc_id"].to_pylist(), []
             for i, s in shingle_sets(b["text"], WIDTH):
                 if len(s):
-                    bits, excess = bitmap(s)
-                    blocks = [int(mix(s + np.uint64(k * 0xD1B54A32D192ED03 % 2**64)).min().view(np.int64)) for k in range(SKETCHES)]
-                    out.append({"doc_id": ids[i], "n": len(s), "set": s.tobytes(), "bits": bits.tobytes(), "excess": excess, "blocks": blocks})
+                    out.append({"doc_id": ids[i], "set": s.tobytes()})
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_pylist(out, SETS)
                     out = []
             yield pa.RecordBatch.from_pylist(out, SETS)
 
-    return found.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set binary, bits binary, excess long, blocks array<long>")
+    return found.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("bits", pa.binary()), ("excess", pa.int64()), ("blocks", pa.list_(pa.int64()))])
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int32()), ("block", pa.int64()), ("cuts", pa.int64())])
+SETS = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def join_blocks(members: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
-    """Links inside blocks, and (a = b) the representatives of blocks that had to be cut.
+def stars(candidates: DataFrame) -> DataFrame:
+    """a, b: for each shared beginning, an edge from each document that has it to the smallest one.
 
-    members: k, block, doc_id. Blocks of one member are left out before sets are sent.
+    candidates: doc_id, hashes (list of binaries).
     """
-    weights = members.join(sets.select("doc_id", F.octet_length("set").alias("bytes")), "doc_id")
-    info = weights.groupBy("k", "block").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes")).where("members > 1")
-    info = info.select("k", "block", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("cuts"), "bytes")
-    info = materialise(info, "join-blocks")
-    total = info.agg(F.sum("bytes")).first()[0] or 0
-    parts = int(max(16, total // BLOCK_BYTES + 1))
-    cut = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("cuts"))
-    placed = members.join(info.select("k", "block", "cuts"), ["k", "block"]).withColumn("cut", cut)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("k", "block", "cut"), F.lit(parts)).cast("int"))
-    sent = placed.join(sets.select("doc_id", "set"), "doc_id")
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, k, block, cuts, cut = (rows[c].to_numpy() for c in ("doc_id", "k", "block", "cuts", "cut"))
-        values, size = values_of(rows["set"], "<u8")
-        at = np.concatenate(([0], np.cumsum(size)))
-        order = np.lexsort((ids, cut, block, k))
-        begin = starts_of(k[order], block[order], cut[order])
-        out: list[tuple] = []
-        for i, j in zip(begin.tolist(), np.append(begin[1:], len(order)).tolist(), strict=True):
-            own = order[i:j]
-            tree = SignatureTree([values[at[x] : at[x + 1]] for x in own])
-            for a, b in tree.join():
-                out.append((ids[own[a]], ids[own[b]], k[own[0]], block[own[0]], 1))
-            if cuts[own[0]] > 1:
-                roots = {tree.union.root(x) for x in range(len(own))}
-                out += [(ids[own[tree.order[x]]],) * 2 + (k[own[0]], block[own[0]], cuts[own[0]]) for x in sorted(roots)]
-        return pa.Table.from_pylist([dict(zip(LINKS.names, map(int, x), strict=True)) for x in out], LINKS)
-
-    return sent.groupBy("part").applyInArrow(run, "a long, b long, k int, block long, cuts long")
-
-
-def open_pairs(candidates: DataFrame, sets: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
-    """a, b of documents of different components that share a prefix shingle and may link.
-
-    candidates: doc_id, hashes (list of binaries). labels: node, component.
-    """
-    own = sets.select("doc_id", "n", "bits", "excess").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = candidates.select("doc_id", "hashes").join(own, "doc_id")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,59 +265,76 @@ def open_pairs(candidates: DataFrame, sets: DataFrame, labels: DataFrame, bucket
                 who.append(np.full(len(begin), i, np.int32))
                 out += [(v & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for v in np.split(keys, begin[1:])]
             if out:
-                chosen = pa.array(np.concatenate(who))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), *[b[c].take(chosen) for c in ("doc_id", "component", "n", "excess", "bits")], pa.array(out, pa.binary())], ["part", "doc_id", "component", "n", "excess", "bits", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), b["doc_id"].take(pa.array(np.concatenate(who))), pa.array(out, pa.binary())], ["part", "doc_id", "hashes"])
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, component, n, excess = (rows[c].to_numpy() for c in ("doc_id", "component", "n", "excess"))
         values, size = values_of(rows["hashes"], "<u4")
-        bits = values_of(rows["bits"], "<u8")[0].reshape(rows.num_rows, -1)
-        who = np.repeat(np.arange(rows.num_rows), size)
-        order = np.lexsort((n[who], values))
-        values, who = values[order], who[order]
+        ids = np.repeat(rows["doc_id"].to_numpy(), size)
+        order = np.lexsort((ids, values))
+        values, ids = values[order], ids[order]
         begin = starts_of(values)
-        end = np.append(begin[1:], len(values))
-        comp = component[who]
-        if len(begin):
-            mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
-            begin, end = begin[mixed], end[mixed]
-        found: list[np.ndarray] = []
-        seen: set[bytes] = set()
-        for i, j in zip(begin.tolist(), end.tolist(), strict=True):
-            group = who[i:j]
-            if (mark := group.tobytes()) in seen:  # the same documents met under another shingle
-                continue
-            seen.add(mark)
-            reach = np.searchsorted(n[group], OVER * n[group] // UNDER, "right")
-            for x in range(len(group) - 1):
-                y = group[x + 1 : reach[x]]
-                y = y[component[y] != component[group[x]]]
-                if len(y):
-                    most = np.bitwise_count(bits[y] & bits[group[x]]).sum(1).astype(np.int64) + np.minimum(excess[y], excess[group[x]])
-                    y = y[most >= needed(n[y] + n[group[x]])]
-                    if len(y):
-                        found.append(np.stack((np.minimum(ids[y], ids[group[x]]), np.maximum(ids[y], ids[group[x]])), 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    ddl = "part int, doc_id long, component long, n long, excess long, bits binary, hashes binary"
-    return rows.mapInArrow(spread, ddl).groupBy("part").applyInArrow(meet, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of `pairs` (a, b), by comparing whole sets."""
+        least = np.repeat(ids[begin], np.diff(np.append(begin, len(values))))
+        pairs = np.unique(np.stack((ids, least), 1)[ids != least], axis=0)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=LINKS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b["set_a"], b["set_b"], strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                ok.append(links(len(x), len(y), overlap(x, y)))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], ["a", "b"])
+    return candidates.select("doc_id", "hashes").mapInArrow(spread, "part int, doc_id long, hashes binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+
+
+def join_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside blocks. members: part (int), block (long), doc_id; a part holds whole blocks."""
 
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
+        values, size = values_of(rows["set"], "<u8")
+        at = np.concatenate(([0], np.cumsum(size)))
+        order = np.lexsort((ids, block))
+        begin = starts_of(block[order])
+        out: list[tuple[int, int]] = []
+        for i, j in zip(begin.tolist(), np.append(begin[1:], len(order)).tolist(), strict=True):
+            own = order[i:j]
+            out += [(int(ids[own[a]]), int(ids[own[b]])) for a, b in SignatureTree([values[at[x] : at[x + 1]] for x in own]).join()]
+        return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=LINKS)
+
+    sent = members.select("part", "block", "doc_id").join(sets, "doc_id")
+    return sent.groupBy("part").applyInArrow(run, "a long, b long")
+
+
+def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect each group's components. groups: doc_id, group."""
+    spark = groups.sparkSession
+    weights = groups.join(sets.select("doc_id", F.octet_length("set").alias("bytes")), "doc_id")
+    info = weights.groupBy("group").agg(F.sum("bytes").alias("bytes"))
+    info = materialise(info.select("group", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("cuts"), "bytes"), "join-groups")
+    total, most = info.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.max("cuts")).first()
+    parts = int(max(16, 2 * total // BLOCK_BYTES))
+
+    def blocks(rows: DataFrame, seed: int, *key: str) -> DataFrame:
+        """Rows with the block that `key` names, and the part that the block is in."""
+        block = F.xxhash64(F.lit(seed), *key)
+        return rows.withColumn("block", block).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+
+    placed = groups.join(info.select("group", "cuts"), "group").withColumn("cut", F.pmod(F.xxhash64("doc_id"), F.col("cuts")))
+    links = materialise(join_blocks(blocks(placed, 1, "group", "cut"), sets), "join-links")
+    if (most or 1) <= 1:
+        return links
+    large = materialise(placed.where("cuts > 1"), "join-large")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    # One document of each component of each cut, cut anew if they are still many.
+    first = labelled(links).where("doc_id = component").withColumn("cut", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("cuts")))
+    links = materialise(links.unionAll(join_blocks(blocks(first, 2, "group", "cut"), sets)), "join-links")
+    now = materialise(labelled(links), "join-labels")
+    largest = now.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    asking = now.join(largest, "group").where("component <> largest")
+    asks = asking.join(sets.select("doc_id", F.octet_length("set").alias("bytes")), "doc_id").groupBy("group").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("shares"))
+    asks = materialise(asks, "join-asks")
+    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("shares"))
+    askers = asking.join(asks, "group").withColumn("share", share).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    homes = now.join(asks, "group").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    tiles = askers.select("group", "cut", "share", "doc_id").unionByName(homes.select("group", "cut", "share", "doc_id")).distinct()
+    return materialise(links.unionAll(join_blocks(blocks(tiles, 3, "group", "cut", "share"), sets)), "join-links")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -364,9 +342,9 @@ def components_of(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     seen = materialise(first_pass(rows), "shingle-sizes")
     sizes = seen.where("kind = 0").select("doc_id", "rid", "n", "one", "two")
-    count = sizes.count()
-    often = seen.where("kind = 1").groupBy(F.col("doc_id").alias("hash")).agg(F.sum("n").alias("n")).where(F.col("n") >= count * FREQUENT / 2)
-    order = Order([(r["hash"], r["n"]) for r in often.orderBy(F.desc("n"), "hash").limit(FREQUENT_MOST).collect()])
+    often = seen.where("kind = 1").groupBy(F.col("doc_id").alias("hash")).agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    listed = often.orderBy(F.desc("n"), "hash").limit(FREQUENT_MOST).toArrow()
+    order = Order(listed["hash"].to_numpy(), listed["n"].to_numpy())
 
     # Equal sets are one: all but the first of a class are linked to it and go no further.
     classes = sizes.where("n > 0").groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -380,18 +358,15 @@ def components_of(docs: DataFrame) -> DataFrame:
 
     buckets = buckets_for(input_bytes(docs), HASH_BYTES)
     hits = shared(rows, prefixes, buckets).join(equal, ["doc_id", "rid"], "left_anti")
-    candidates = materialise(hits.groupBy("doc_id", "rid").agg(F.flatten(F.collect_list(F.array("hashes"))).alias("hashes")), "join-candidates")
-    sets = materialise(full_sets(rows.join(candidates.select("doc_id", "rid").distinct(), ["doc_id", "rid"])), "join-sets")
-
-    spread = sets.select("doc_id", F.posexplode("blocks").alias("k", "block")).distinct()
-    found = materialise(join_blocks(spread, sets, 1), "block-links")
-    again = found.where("cuts > 1").select("k", "block", F.col("a").alias("doc_id")).distinct()
-    merged = materialise(join_blocks(again, sets, 2), "block-links")
-    inside = found.unionAll(merged).where("a <> b").select("a", "b")
-    pairs = open_pairs(candidates, sets, components(inside), buckets)
-    across = materialise(verified(pairs, sets), "open-links")
-
-    every = inside.unionAll(across).unionAll(equal.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")))
+    hits = hits.groupBy("doc_id", "rid").agg(F.collect_list("hashes").alias("hashes"), F.sum(F.octet_length("hashes") / 8).alias("shared"))
+    # Of the first half of its set, a linked document shares a quarter of the set at least. One
+    # less than that is asked for: two shingles of a document may have one reduced hash.
+    enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / MORE) - 1)
+    candidates = materialise(hits.join(sizes.select("doc_id", "rid", "n").distinct(), ["doc_id", "rid"]).where(enough).drop("n", "shared"), "join-candidates")
+    groups = materialise(components(stars(candidates)).select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "join-members")
+    wanted = candidates.join(groups.select("doc_id"), "doc_id", "left_semi").select("doc_id", "rid").distinct()
+    sets = materialise(full_sets(rows.join(wanted, ["doc_id", "rid"])), "join-sets")
+    every = group_links(groups, sets).unionAll(equal.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")))
     labels = components(every)
     joined = sizes.join(labels, sizes["doc_id"] == labels["node"], "left")
     real = lambda c: F.when(c < 2**63 - 1, c)
