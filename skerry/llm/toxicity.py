@@ -203,17 +203,22 @@ def label_model(n: float, sums: np.ndarray, prior: float, rounds: int = 50) -> L
     use = ~np.eye(m, dtype=bool)
     live = mean > 0
     use &= live[:, None] & live[None, :]
-    d = np.where(live, np.sqrt(np.maximum(np.where(use, cov, 0).sum(1), 0) / max(1, m - 1)), 0)
+    # A triplet of independent voters gives d_i^2 = c_ij c_ik / c_jk; the median bears a few correlated pairs.
+    d = np.zeros(m)
+    for i in range(m):
+        others = [j for j in range(m) if use[i, j]]
+        seen = [cov[i, j] * cov[i, k] / cov[j, k] for j in others for k in others if j < k and cov[j, k] > 1e-9]
+        d[i] = np.sqrt(max(0.0, float(np.median(seen)))) if seen else np.sqrt(max(0.0, cov[i, others].mean())) if others else 0.0
     linked = np.zeros((m, m), bool)
-    for outer in range(3):
+    rest = (cov - np.outer(d, d)) / np.outer(spread, spread)
+    for _ in range(2):
+        linked = use & (np.abs(rest) > 0.2)
         for _ in range(rounds):
             for i in range(m):
                 others = use[i] & ~linked[i]
                 weight = (d[others] ** 2).sum()
                 d[i] = max(0.0, (cov[i, others] * d[others]).sum() / weight) if weight > 0 else 0.0
         rest = (cov - np.outer(d, d)) / np.outer(spread, spread)
-        if outer < 2:
-            linked = use & (np.abs(rest) > 0.2)
     toxic = np.clip(mean + d * np.sqrt((1 - prior) / prior), 1e-4, 1 - 1e-4)
     clean = np.clip(mean - d * np.sqrt(prior / (1 - prior)), 1e-4, 1 - 1e-4)
     toxic = np.maximum(toxic, clean)
