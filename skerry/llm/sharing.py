@@ -24,12 +24,15 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("hashes", pa.bi
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, text: null ids count as larger than all others; rid tells texts of one id apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"), "text")
+    """doc_id, rid, text: null ids count as larger than all others; rid tells texts of one id apart, 0 if ids are unique."""
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id")
+    twice = docs.select(ids).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rid = F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select(ids, rid.alias("rid"), "text")
 
 
 def buckets_for(size: int, per: int) -> int:
-    return int(min(1 << 15, max(16, size // per)))
+    return int(min(1 << 22, max(16, size // per)))
 
 
 def reduced(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -94,7 +97,7 @@ def shared(rows: DataFrame, hashes_of: Callable[[pa.Array], Iterator[tuple[int,
                 marks = keys[begin[size >= 2]]
                 out = []
                 for part_of, k, w in ((0, keys[~several], who[~several]), (buckets, keys[several], who[several])):
-                    part = (k >> np.uint64(32)).astype(np.int32) if part_of == 0 else (buckets + (rids[w] % buckets)).astype(np.int32)
+                    part = (k >> np.uint64(32)).astype(np.int32) if part_of == 0 else (buckets + ((ids[w] ^ rids[w]) % buckets)).astype(np.int32)
                     order = np.lexsort((k, w, part))
                     k, w, part = k[order], w[order], part[order]
                     cut = starts_of(part, w)

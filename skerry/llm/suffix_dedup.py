@@ -5,8 +5,9 @@ smaller id. Strings that could repeat are found first, without loss: every strin
 bytes has a minimizer, the least hash of its grams, so equal strings have equal minimizers,
 and a minimizer that one document alone has can't lie in a repeated string (see `sharing`).
 Around the shared ones, the stretch of text whose strings they represent is cut out; equal
-stretches of a map batch are combined, all but the smallest document's being covered by it.
-The stretches meet by minimizer, and each meeting place sorts its suffixes:
+stretches are combined, all but the smallest document's being covered by it: in a map batch,
+and again where they meet by minimizer. Stretches that have a minimizer to themselves then
+repeat nothing; of the others, each meeting place sorts the suffixes:
 
 1. sampled positions (those not divisible by 3) are sorted by triples of 8-byte words,
 2. their ranks are names, and triples of names are sorted again, three times as long, until
@@ -24,7 +25,9 @@ stay whole; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, materialise, mix, pieces, table
+from .common import input_bytes, materialise, mix, pieces, span_hashes, table
 from .sharing import binaries, buckets_for, keyed, reduced, shared, starts_of, values_of
 
 LENGTH = 50
 GRAM = 24
 #: Input bytes per range of minimizers, and per meeting place of stretches.
-HASH_BYTES, SORT_BYTES = 24 << 20, 6 << 20
+HASH_BYTES, SORT_BYTES = 16 << 20, 768 << 10
+#: Bytes of text whose stretches a map task compares.
+BATCH_BYTES = 24 << 20
 STRETCH_DDL = "part int, doc_id long, rid long, solved boolean, spots binary, body binary"
 STRETCHES = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("solved", pa.bool_()), ("spots", pa.binary()), ("body", pa.binary())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("spans", pa.binary())])
@@ -179,38 +184,45 @@ def stretches(found: DataFrame, buckets: int, parts: int, length: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rids = (np.asarray(b[c].to_numpy(zero_copy_only=False), np.int64) for c in ("doc_id", "rid"))
-            for first, last, data, at in pieces(b["text"], 8 << 20):
-                begin, end, hashes = minimizers(data, at, length)
-                key, row = reduced(hashes, buckets), np.searchsorted(at, begin, "right") - 1
-                cut = np.searchsorted(begin, at)
-                keep = np.zeros(len(begin), bool)
-                for i in range(last - first):
-                    own = b["hashes"][first + i].as_py()
-                    wanted = np.frombuffer(b"".join(own), np.uint64)
-                    keep[cut[i] : cut[i + 1]] = np.isin(key[cut[i] : cut[i + 1]], wanted)
-                begin, end, hashes, row = begin[keep], end[keep] + length - 1, hashes[keep], row[keep]
-                if not len(begin):
+            for low, high, _, _ in pieces(b["text"], BATCH_BYTES):
+                spots, sizes, keys, rows, bodies = [], [], [], [], []
+                for first, last, data, at in pieces(b["text"].slice(low, high - low)):
+                    first, last = first + low, last + low
+                    begin, end, hashes = minimizers(data, at, length)
+                    key, row = reduced(hashes, buckets), np.searchsorted(at, begin, "right") - 1
+                    cut = np.searchsorted(begin, at)
+                    keep = np.zeros(len(begin), bool)
+                    for i in range(last - first):
+                        if cut[i + 1] > cut[i]:
+                            own = np.frombuffer(b"".join(b["hashes"][first + i].as_py()), np.uint64)
+                            keep[cut[i] : cut[i + 1]] = np.isin(key[cut[i] : cut[i + 1]], own)
+                    begin, end, row = begin[keep], end[keep] + length - 1, row[keep]
+                    raw = data.tobytes()
+                    bodies += [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+                    spots.append(begin - at[row])
+                    sizes.append(end - begin)
+                    keys.append(hashes[keep])
+                    rows.append(row + first)
+                if not bodies:
                     continue
-                doc, rid = ids[first + row], rids[first + row]
-                raw = data.tobytes()
-                bodies = [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+                spot, size, hashes, row = (np.concatenate(x) for x in (spots, sizes, keys, rows))
+                doc, rid = ids[row], rids[row]
                 smallest: dict[bytes, int] = {}
                 for d, body in zip(doc.tolist(), bodies, strict=True):
                     if smallest.get(body, d) >= d:
                         smallest[body] = d
                 covered = np.array([smallest[body] < d for d, body in zip(doc.tolist(), bodies, strict=True)], bool)
-                spot = begin - at[row]
                 out = []
                 for solved in (True, False):
                     pick = np.flatnonzero(covered == solved)
                     if not len(pick):
                         continue
-                    part = (hashes[pick] % np.uint64(parts)).astype(np.int32) if not solved else (parts + rid[pick] % parts).astype(np.int32)
-                    order = np.lexsort((begin[pick], row[pick], part))
+                    part = (hashes[pick] % np.uint64(parts)).astype(np.int32) if not solved else (parts + (doc[pick] ^ rid[pick]) % parts).astype(np.int32)
+                    order = np.lexsort((spot[pick], row[pick], part))
                     pick, part = pick[order], part[order]
                     groups = starts_of(part, row[pick])
                     edges = np.append(groups, len(pick))
-                    spots = np.stack((spot[pick], end[pick] - begin[pick]), 1).astype(np.int64).reshape(-1)
+                    spots = np.stack((spot[pick], size[pick]), 1).astype(np.int64).reshape(-1)
                     body = pa.nulls(len(groups), pa.binary()) if solved else pa.array([b"".join(bodies[x] for x in pick[i:j].tolist()) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
                     out.append(pa.RecordBatch.from_arrays([pa.array(part[groups]), pa.array(doc[pick[groups]]), pa.array(rid[pick[groups]]), pa.array(np.full(len(groups), solved)), binaries(spots, edges * 2), body], schema=STRETCHES))
                 yield from out
@@ -218,6 +230,21 @@ def stretches(found: DataFrame, buckets: int, parts: int, length: int) -> DataFr
     return found.select("doc_id", "rid", "text", "hashes").mapInArrow(run, STRETCH_DDL)
 
 
+def _repeated(solved: tuple[np.ndarray, np.ndarray], again: np.ndarray, first: np.ndarray, two: tuple[np.ndarray, np.ndarray], strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`solved` (stretch, place) also for the stretches `again` that equal one of `first` in the same document."""
+    order = np.lexsort((two[1][first], two[0][first]))
+    by = {(a, b): f for a, b, f in zip(two[0][first[order]].tolist(), two[1][first[order]].tolist(), first[order].tolist(), strict=True)}
+    order = np.lexsort((solved[1], solved[0]))
+    stretch, inner = solved[0][order], solved[1][order]
+    more, places = [stretch], [inner]
+    for x in again.tolist():
+        f = by[(int(two[0][x]), int(two[1][x]))]
+        i, j = np.searchsorted(stretch, (f, f + 1))
+        more.append(np.full(j - i, x))
+        places.append(inner[i:j])
+    return np.concatenate(more), np.concatenate(places)
+
+
 def spans_of(found: DataFrame, length: int) -> DataFrame:
     """SPANS rows: start and end of strings that a smaller document holds. found: STRETCH_DDL rows."""
 
@@ -238,12 +265,41 @@ def spans_of(found: DataFrame, length: int) -> DataFrame:
             owner = np.repeat(np.arange(rows.num_rows), size // 2)
             at = np.concatenate(([0], np.cumsum(pairs[:, 1])))
             strings = pairs[:, 1] - length + 1
-            stretch = np.repeat(np.arange(len(pairs)), strings)
-            inner = np.arange(len(stretch)) - np.repeat(np.cumsum(strings) - strings, strings)
-            ids = rows["doc_id"].to_numpy()
-            holder = ids[owner[stretch]]
-            gone = smallest_holder(data, at[stretch] + inner, holder, length) < holder
-            stretch, inner = stretch[gone], inner[gone]
+            ids = rows["doc_id"].to_numpy()[owner]
+            # Equal stretches: the smallest document's stands for them, all strings of larger ones' go.
+            two = span_hashes(data, at[:-1], at[1:]), span_hashes(data ^ 0x55, at[:-1], at[1:])
+            order = np.lexsort((ids, *two))
+            begin = starts_of(two[0][order], two[1][order])
+            size = np.diff(np.append(begin, len(order)))
+            least = np.empty(len(order), np.int64)
+            least[order] = np.repeat(ids[order[begin]], size)
+            whole = least < ids
+            first = order[begin]
+            # Of stretches with one minimizer, two different ones at least are sorted.
+            gram = np.minimum.reduceat(np.append(gram_hashes(data, GRAM), np.zeros(GRAM, np.uint64)), np.stack((at[:-1], at[1:] - GRAM + 1), 1).reshape(-1))[::2]
+            order = np.argsort(gram[first], kind="stable")
+            begin = starts_of(gram[first][order])
+            several = np.repeat(np.diff(np.append(begin, len(order))) >= 2, np.diff(np.append(begin, len(order))))
+            sorted_ones = np.sort(first[order[several]])
+            chosen = np.zeros(len(pairs), bool)
+            chosen[sorted_ones] = True
+            part = data[np.repeat(chosen, pairs[:, 1])]
+            place = np.concatenate(([0], np.cumsum(pairs[sorted_ones, 1])))[:-1]
+            stretch = np.repeat(np.arange(len(sorted_ones)), strings[sorted_ones])
+            inner = np.arange(len(stretch)) - np.repeat(np.cumsum(strings[sorted_ones]) - strings[sorted_ones], strings[sorted_ones])
+            holder = ids[sorted_ones[stretch]]
+            gone = smallest_holder(part, place[stretch] + inner, holder, length) < holder
+            # Solved strings of a stretch hold for all equal stretches of that document.
+            solved_at = sorted_ones[stretch[gone]], inner[gone]
+            same = least == ids
+            again = np.flatnonzero(same & ~np.isin(np.arange(len(pairs)), first))
+            if len(again):
+                solved_at = _repeated(solved_at, again, first, two, strings)
+            full = np.flatnonzero(whole)
+            stretch = np.concatenate((solved_at[0], np.repeat(full, strings[full])))
+            inner = np.concatenate((solved_at[1], np.arange(int(strings[full].sum())) - np.repeat(np.cumsum(strings[full]) - strings[full], strings[full])))
+            order = np.lexsort((inner, stretch))
+            stretch, inner = stretch[order], inner[order]
             new = np.zeros(len(stretch), bool)
             if len(stretch):
                 new[0] = True
@@ -290,8 +346,11 @@ def cut_out(rows: DataFrame, length: int) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffles of finished steps."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffles of finished steps, which nothing refers to any more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -307,6 +366,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     release(spark)
     cut = stretches(rows.join(candidates, ["doc_id", "rid"]), buckets, parts, length)
     spans = materialise(spans_of(cut, length), "suffix-spans")
+    del cut
     release(spark)
     per = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
     marked = copies.withColumn("copy", F.lit(True)).join(per, ["doc_id", "rid"], "full")
