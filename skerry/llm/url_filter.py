@@ -30,8 +30,9 @@ from .common import materialise, table
 #: (host, path, verdict) of the registered query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DEFAULT = "allow"
-#: Keys of a range; ranges, and the sample that finds their bounds, follow the input's size.
+#: Keys of a range, and ranges at most; more urls than both allow make the ranges larger.
 RANGE_ROWS = 100_000
+MOST_RANGES = 1024
 SAMPLE_PER_RANGE = 32
 
 
@@ -58,7 +59,7 @@ def rule_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> Da
 
 def bounds_of(keys: DataFrame, rows: int) -> list[tuple[str, int]]:
     """Ascending (key, salt) bounds that cut the keys into ranges of about RANGE_ROWS rows."""
-    ranges = max(1, -(-rows // RANGE_ROWS))
+    ranges = min(MOST_RANGES, max(1, -(-rows // RANGE_ROWS)))
     if ranges == 1:
         return []
     share = min(1.0, SAMPLE_PER_RANGE * ranges / rows)
