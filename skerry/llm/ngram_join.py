@@ -6,8 +6,9 @@ Documents are sets of word shingles; two link when their Jaccard similarity is a
 2. In any fixed order of shingles, a linked pair shares more than a quarter of the larger set
    among the first half of both. The order here puts frequent shingles last, then goes by
    hash. Documents that share too few of these with any others are out (`sharing`).
-3. What is left falls into groups: documents that share a beginning, and so on. No link
-   crosses a group. Groups come from one edge per shared beginning, not from pairs.
+3. What is left falls into groups: documents that share a shingle of the first quarter (and
+   one) of their sets, and so on. A linked pair shares one, so no link crosses a group. Groups
+   come from one edge per document and shingle, not from pairs.
 4. The sets of a group meet in one task and are joined by a signature tree. Its leaves hold
    bitmaps of the sets, its nodes OR-combined bitmaps and size ranges; two nodes are followed
    down together unless their sizes or the largest overlap that their bitmaps allow rule out
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import input_bytes, materialise, mix, shingle_sets, table
 from .components import components
-from .sharing import buckets_for, keyed, shared, starts_of, values_of
+from .sharing import buckets_for, keyed, reduced, shared, starts_of, values_of
 
 WIDTH = 5
 #: Two sets link when OVER * intersection >= UNDER * union.
@@ -216,9 +217,10 @@ class Order:
         self.known = known[order]
         self.rank = np.minimum(63, np.log2(np.maximum(count[order], 1)) + 1).astype(np.uint64)
 
-    def prefix(self, found: np.ndarray) -> np.ndarray:
+    def prefix(self, found: np.ndarray, more: int = MORE) -> np.ndarray:
+        """The first quarter of the set and one, and with `more` another n // more."""
         n = len(found)
-        take = n - -(-UNDER * n // OVER) + 1 + n // MORE
+        take = n - -(-UNDER * n // OVER) + 1 + (n // more if more else 0)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
             often = self.known[at] == found
@@ -228,38 +230,35 @@ class Order:
         return found[:take]
 
 
-def full_sets(found: DataFrame) -> DataFrame:
-    """doc_id and set of rows doc_id, text."""
+def full_sets(found: DataFrame, order: Order, buckets: int) -> DataFrame:
+    """doc_id, set and reduced hashes of the set's first quarter, of rows doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = b["doc_id"].to_pylist(), []
             for i, s in shingle_sets(b["text"], WIDTH):
                 if len(s):
-                    out.append({"doc_id": ids[i], "set": s.tobytes()})
+                    out.append({"doc_id": ids[i], "set": s.tobytes(), "hashes": np.unique(reduced(order.prefix(s, 0), buckets)).tobytes()})
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_pylist(out, SETS)
                     out = []
             yield pa.RecordBatch.from_pylist(out, SETS)
 
-    return found.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    return found.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary, hashes binary")
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("set", pa.binary()), ("hashes", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def stars(candidates: DataFrame) -> DataFrame:
-    """a, b: for each shared beginning, an edge from each document that has it to the smallest one.
-
-    candidates: doc_id, hashes (list of binaries).
-    """
+def stars(sets: DataFrame) -> DataFrame:
+    """a, b: for each of the `hashes`, an edge from each document that has it to the smallest one."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part, who, out = [], [], []
             for i, x in enumerate(b["hashes"]):
-                keys = np.unique(np.frombuffer(b"".join(x.as_py()), np.uint64))
+                keys = np.frombuffer(x.as_py(), np.uint64)
                 begin = starts_of(keys >> np.uint64(32))
                 part.append((keys[begin] >> np.uint64(32)).astype(np.int32))
                 who.append(np.full(len(begin), i, np.int32))
@@ -277,7 +276,7 @@ def stars(candidates: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack((ids, least), 1)[ids != least], axis=0)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=LINKS)
 
-    return candidates.select("doc_id", "hashes").mapInArrow(spread, "part int, doc_id long, hashes binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    return sets.select("doc_id", "hashes").mapInArrow(spread, "part int, doc_id long, hashes binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
 def join_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -358,14 +357,14 @@ def components_of(docs: DataFrame) -> DataFrame:
 
     buckets = buckets_for(input_bytes(docs), HASH_BYTES)
     hits = shared(rows, prefixes, buckets).join(equal, ["doc_id", "rid"], "left_anti")
-    hits = hits.groupBy("doc_id", "rid").agg(F.collect_list("hashes").alias("hashes"), F.sum(F.octet_length("hashes") / 8).alias("shared"))
+    hits = hits.groupBy("doc_id", "rid").agg(F.sum(F.octet_length("hashes") / 8).alias("shared"))
     # Of the first half of its set, a linked document shares a quarter of the set at least. One
     # less than that is asked for: two shingles of a document may have one reduced hash.
     enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / MORE) - 1)
     candidates = materialise(hits.join(sizes.select("doc_id", "rid", "n").distinct(), ["doc_id", "rid"]).where(enough).drop("n", "shared"), "join-candidates")
-    groups = materialise(components(stars(candidates)).select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "join-members")
-    wanted = candidates.join(groups.select("doc_id"), "doc_id", "left_semi").select("doc_id", "rid").distinct()
-    sets = materialise(full_sets(rows.join(wanted, ["doc_id", "rid"])), "join-sets")
+    sets = materialise(full_sets(rows.join(candidates, ["doc_id", "rid"]), order, buckets), "join-sets")
+    groups = materialise(components(stars(sets)).select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "join-members")
+    sets = sets.select("doc_id", "set")
     every = group_links(groups, sets).unionAll(equal.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")))
     labels = components(every)
     joined = sizes.join(labels, sizes["doc_id"] == labels["node"], "left")
