@@ -22,6 +22,3 @@ def query(name: str, sql: str | None = None) -> Callable:
         return function
 
     return keep
-
-
-from . import analytics, answers, documents, filters, graphs, joins, library, retrieval, streams, texts, timelines, vectors, windows  # noqa: E402, F401
