@@ -55,6 +55,14 @@ def join_twins(spark, sf_dir):
     return asked.join(docs.withColumnRenamed("doc_id", "twin_id"), "h").where("doc_id <> twin_id").select("doc_id", "twin_id")
 
 
+@query("join_twin_groups")
+def join_twin_groups(spark, sf_dir):
+    """All documents that have a twin, with their group's smallest id and size: twins are those of one group."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).where("h is not null")
+    groups = docs.groupBy("h").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return docs.join(groups, "h").select("doc_id", "group_id", "members")
+
+
 SESSIONS_SQL = """
 f AS (SELECT event_id, user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600000000 THEN 0 ELSE 1 END AS new FROM events),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM f),

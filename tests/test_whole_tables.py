@@ -1,0 +1,37 @@
+"""Queries over whole tables against the SQL of their namesakes over an id prefix, without its cut."""
+
+import os
+
+import pytest
+from conftest import rows_of
+
+from skerry.plans.registry import ORACLE_SQL, QUERIES
+
+WHOLE = os.environ.get("TEST_WHOLE_DIR", "/root/testdata/sf0.01")
+
+
+@pytest.fixture(scope="module")
+def whole():
+    import duckdb
+
+    if not os.path.isdir(WHOLE):
+        pytest.skip(f"no tables in {WHOLE}")
+    connection = duckdb.connect()
+    for name in os.listdir(WHOLE):
+        connection.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{WHOLE}/{name}')")
+    return connection
+
+
+def uncut(name, cut, instead=""):
+    assert ORACLE_SQL[name].count(cut) == 1
+    return ORACLE_SQL[name].replace(cut, instead)
+
+
+def test_twin_groups_hold_all_twins(spark, whole):
+    found = QUERIES["join_twin_groups"](spark, WHOLE).toPandas()
+    pairs = found.merge(found, on="group_id", suffixes=("", "_b"))
+    pairs = pairs[pairs.doc_id != pairs.doc_id_b][["doc_id", "doc_id_b"]].rename(columns={"doc_id_b": "twin_id"})
+    want = whole.execute(uncut("join_twins", " WHERE a.doc_id <= 300")).fetchdf()
+    assert len(want) > len(whole.execute(ORACLE_SQL["join_twins"]).fetchall())
+    assert rows_of(pairs) == rows_of(want)
+    assert (found.groupby("group_id").doc_id.transform("size") == found.members).all()
