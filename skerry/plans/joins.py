@@ -160,8 +160,17 @@ p AS (SELECT a.event_id AS a_id, c.event_id AS c_id, greatest(0.0::DOUBLE, least
 SELECT a_id, c_id, i / (s - i) AS iou FROM p WHERE i / (s - i) >= 0.3
 """)
 def join_region_match(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("event_id <= 800")
-    box = e.selectExpr("event_id", "user_id", "cast(user_id % 10 as double) x", "cast(event_id % 7 as double) y", "4.0D + event_id % 3 as w", "4.0D as h")
+    return region_matches(load(spark, sf_dir, "events").where("event_id <= 800"))
+
+
+@query("join_region_match_whole")
+def join_region_match_whole(spark, sf_dir):
+    return region_matches(load(spark, sf_dir, "events"))
+
+
+def region_matches(events):
+    """Pairs of a user's boxes that overlap by 0.3 at least."""
+    box = events.selectExpr("event_id", "user_id", "cast(user_id % 10 as double) x", "cast(event_id % 7 as double) y", "4.0D + event_id % 3 as w", "4.0D as h")
     a = box.select("user_id", *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "w", "h")], F.col("event_id").alias("a_id"))
     c = box.select("user_id", *[F.col(x).alias(f"c_{x}") for x in ("x", "y", "w", "h")], F.col("event_id").alias("c_id"))
     pairs = a.join(c, "user_id").where("a_id < c_id")
@@ -209,7 +218,17 @@ WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
 SELECT a.l_suppkey AS left_id, b.l_suppkey AS right_id, count(*) AS shared FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey WHERE a.l_partkey <= 200 GROUP BY 1, 2
 """)
 def join_producer_contest(spark, sf_dir):
-    made = load(spark, sf_dir, "lineitem").where("l_partkey <= 200").select("l_partkey", "l_suppkey").distinct()
+    return contests(load(spark, sf_dir, "lineitem").where("l_partkey <= 200"))
+
+
+@query("join_producer_contest_whole")
+def join_producer_contest_whole(spark, sf_dir):
+    return contests(load(spark, sf_dir, "lineitem"))
+
+
+def contests(lines):
+    """Pairs of suppliers and how many parts both have made."""
+    made = lines.select("l_partkey", "l_suppkey").distinct()
     a, b = made.withColumnRenamed("l_suppkey", "left_id"), made.withColumnRenamed("l_suppkey", "right_id")
     return a.join(b, "l_partkey").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared"))
 

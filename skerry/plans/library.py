@@ -104,7 +104,17 @@ a AS (SELECT g, count(*) AS n FROM s GROUP BY g), b AS (SELECT h, count(*) AS n
 SELECT g, h, any_value(a.n) AS left_size, any_value(b.n) AS right_size, count(*) AS shared FROM s JOIN a USING (g) JOIN b USING (h) GROUP BY g, h
 """)
 def run_across(spark, sf_dir):
-    s = load(spark, sf_dir, "lineitem").where("l_orderkey <= 500").select((F.col("l_suppkey") % 10).alias("g"), (F.col("l_partkey") % 7).alias("h"))
+    return clusters_across(load(spark, sf_dir, "lineitem").where("l_orderkey <= 500"))
+
+
+@query("run_across_whole")
+def run_across_whole(spark, sf_dir):
+    return clusters_across(load(spark, sf_dir, "lineitem"))
+
+
+def clusters_across(lines):
+    """Sizes of the clusters of two runs over `lines`, and how many members each pair shares."""
+    s = lines.select((F.col("l_suppkey") % 10).alias("g"), (F.col("l_partkey") % 7).alias("h"))
     pairs = s.groupBy("g", "h").agg(F.count(F.lit(1)).alias("shared"))
     # Sizes of both runs' clusters from the pair counts, over one row per pair of clusters.
     return pairs.select("g", "h", F.sum("shared").over(Window.partitionBy("g")).alias("left_size"), F.sum("shared").over(Window.partitionBy("h")).alias("right_size"), "shared")

@@ -35,3 +35,16 @@ def test_twin_groups_hold_all_twins(spark, whole):
     assert len(want) > len(whole.execute(ORACLE_SQL["join_twins"]).fetchall())
     assert rows_of(pairs) == rows_of(want)
     assert (found.groupby("group_id").doc_id.transform("size") == found.members).all()
+
+
+@pytest.mark.parametrize(("name", "cut", "instead"), [
+    ("join_region_match", " WHERE event_id <= 800", ""),
+    ("join_producer_contest", " WHERE a.l_partkey <= 200", ""),
+    ("run_across", " WHERE l_orderkey <= 500", ""),
+])
+def test_whole_tables(spark, whole, name, cut, instead):
+    found = QUERIES[f"{name}_whole"](spark, WHOLE).toPandas()
+    want = whole.execute(uncut(name, cut, instead)).fetchdf()
+    assert sorted(found.columns) == sorted(want.columns)
+    assert rows_of(found) == rows_of(want)
+    assert rows_of(want) != rows_of(whole.execute(ORACLE_SQL[name]).fetchdf())
