@@ -17,7 +17,14 @@ SELECT event_id, 'a cat, <lora:style' || (event_id % 7) || ':0.' || (event_id %
 
 
 def prompts(spark, sf_dir):
-    events = load(spark, sf_dir, "events").where("event_id <= 2000")
+    return prompts_of(load(spark, sf_dir, "events").where("event_id <= 2000"))
+
+
+def every_prompt(spark, sf_dir):
+    return prompts_of(load(spark, sf_dir, "events"))
+
+
+def prompts_of(events):
     return events.selectExpr(
         "event_id",
         """concat('a cat, <lora:style', event_id % 7, ':0.', event_id % 10, ':0.5> sunny <lora:style', event_id % 7, ':1> <lyco:tone', event_id % 3, ':te=0.25:unet=0.75>', char(10),
@@ -30,7 +37,16 @@ WITH p AS ({PROMPT_SQL})
 SELECT event_id, 'style' || (event_id % 7) AS name, CAST('0.' || (event_id % 10) AS DOUBLE) AS te, 0.5::DOUBLE AS unet FROM p UNION ALL SELECT event_id, 'tone' || (event_id % 3), 0.25::DOUBLE, 0.75::DOUBLE FROM p
 """)
 def txt_lora_tags(spark, sf_dir):
-    found = prompts(spark, sf_dir).select("event_id", F.explode(text.network_tags(F.col("prompt"))).alias("t"))
+    return lora_tags(prompts(spark, sf_dir))
+
+
+@query("txt_lora_tags_whole")
+def txt_lora_tags_whole(spark, sf_dir):
+    return lora_tags(every_prompt(spark, sf_dir))
+
+
+def lora_tags(rows):
+    found = rows.select("event_id", F.explode(text.network_tags(F.col("prompt"))).alias("t"))
     return found.select("event_id", "t.name", "t.te", "t.unet")
 
 
@@ -38,19 +54,46 @@ def txt_lora_tags(spark, sf_dir):
 WITH p AS ({PROMPT_SQL}) SELECT event_id, regexp_extract(prompt, 'Steps: ([0-9]+)', 1) AS steps, regexp_extract(prompt, 'Sampler: ([^,]+)', 1) AS sampler, regexp_extract(prompt, 'Seed: ([0-9]+)', 1) AS seed, 'a, b: c' AS note FROM p
 """)
 def txt_infotext(spark, sf_dir):
+    return infotexts(prompts(spark, sf_dir))
+
+
+@query("txt_infotext_whole")
+def txt_infotext_whole(spark, sf_dir):
+    return infotexts(every_prompt(spark, sf_dir))
+
+
+def infotexts(rows):
     m = text.infotext(F.col("prompt"))
-    return prompts(spark, sf_dir).withColumn("m", m).select("event_id", F.col("m")["Steps"].alias("steps"), F.col("m")["Sampler"].alias("sampler"), F.col("m")["Seed"].alias("seed"), F.col("m")["Note"].alias("note"))
+    return rows.withColumn("m", m).select("event_id", F.col("m")["Steps"].alias("steps"), F.col("m")["Sampler"].alias("sampler"), F.col("m")["Seed"].alias("seed"), F.col("m")["Note"].alias("note"))
 
 
 @query("txt_sections", f"WITH p AS ({PROMPT_SQL}) SELECT event_id, split_part(prompt, chr(10), 1) AS positive, 'blur, noise' AS negative FROM p")
 def txt_sections(spark, sf_dir):
-    return prompts(spark, sf_dir).withColumn("s", text.prompt_parts(F.col("prompt"))).select("event_id", "s.positive", "s.negative")
+    return sections(prompts(spark, sf_dir))
+
+
+@query("txt_sections_whole")
+def txt_sections_whole(spark, sf_dir):
+    return sections(every_prompt(spark, sf_dir))
+
+
+def sections(rows):
+    return rows.withColumn("s", text.prompt_parts(F.col("prompt"))).select("event_id", "s.positive", "s.negative")
 
 
 @query("txt_size", f"WITH p AS ({PROMPT_SQL}) SELECT event_id, CAST(regexp_extract(prompt, 'Size: ([0-9]+)x([0-9]+)', 1) AS BIGINT) AS width, CAST(regexp_extract(prompt, 'Size: ([0-9]+)x([0-9]+)', 2) AS BIGINT) AS height FROM p")
 def txt_size(spark, sf_dir):
+    return sizes(prompts(spark, sf_dir))
+
+
+@query("txt_size_whole")
+def txt_size_whole(spark, sf_dir):
+    return sizes(every_prompt(spark, sf_dir))
+
+
+def sizes(rows):
     size = r"Size: (\d+)x(\d+)"
-    return prompts(spark, sf_dir).select("event_id", *[F.regexp_extract("prompt", size, k).cast("long").alias(n) for k, n in ((1, "width"), (2, "height"))])
+    return rows.select("event_id", *[F.regexp_extract("prompt", size, k).cast("long").alias(n) for k, n in ((1, "width"), (2, "height"))])
 
 
 @query("txt_tokens_count", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS INTEGER) AS words FROM documents")

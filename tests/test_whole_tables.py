@@ -41,6 +41,7 @@ def test_twin_groups_hold_all_twins(spark, whole):
     ("join_region_match", " WHERE event_id <= 800", ""),
     ("join_producer_contest", " WHERE a.l_partkey <= 200", ""),
     ("run_across", " WHERE l_orderkey <= 500", ""),
+    *[(f"txt_{n}", " WHERE event_id <= 2000", "") for n in ("lora_tags", "infotext", "sections", "size")],
 ])
 def test_whole_tables(spark, whole, name, cut, instead):
     found = QUERIES[f"{name}_whole"](spark, WHOLE).toPandas()
