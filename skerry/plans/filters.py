@@ -171,7 +171,16 @@ def filter_person_in_phrase(spark, sf_dir):
 
 @query("filter_redacted", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN '{\"k\":\"***\"}' ELSE props END AS props FROM events WHERE event_id <= 1000")
 def filter_redacted(spark, sf_dir):
-    events = load(spark, sf_dir, "events").where("event_id <= 1000")
+    return redacted(load(spark, sf_dir, "events").where("event_id <= 1000"))
+
+
+@query("filter_redacted_whole")
+def filter_redacted_whole(spark, sf_dir):
+    return redacted(load(spark, sf_dir, "events"))
+
+
+def redacted(events):
+    """Events with secrets in the props of purchases hidden."""
     seen = F.from_json("props", "map<string,string>")
     hidden = F.to_json(F.transform_values(seen, lambda k, v: F.when(k.rlike("(?i)token|secret|password|^k$"), F.lit("***")).otherwise(v)))
     return events.select("event_id", F.when(F.col("event_type") == "purchase", hidden).otherwise(F.col("props")).alias("props"))

@@ -90,12 +90,22 @@ def queue_claimable(spark, sf_dir):
 
 @query("settings_merged", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"size\":60}' AS settings FROM events WHERE event_id <= 500")
 def settings_merged(spark, sf_dir):
+    return merged_settings(load(spark, sf_dir, "events").where("event_id <= 500"))
+
+
+@query("settings_merged_whole")
+def settings_merged_whole(spark, sf_dir):
+    return merged_settings(load(spark, sf_dir, "events"))
+
+
+def merged_settings(events):
+    """Each event's own settings over the defaults, keys in order."""
     own = F.from_json("props", "map<string,int>")
     defaults = F.create_map(F.lit("k"), F.lit(0), F.lit("size"), F.lit(60))
     whole = F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(own, k)), own)
     keys = F.array_sort(F.map_keys(whole))
     ordered = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(whole, k)))
-    return load(spark, sf_dir, "events").where("event_id <= 500").select("event_id", F.to_json(ordered).alias("settings"))
+    return events.select("event_id", F.to_json(ordered).alias("settings"))
 
 
 @query("run_across", """

@@ -162,8 +162,17 @@ def num_parse(spark, sf_dir):
 
 @query("when_name_stamp", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id <= 1000")
 def when_name_stamp(spark, sf_dir):
+    return name_stamps(load(spark, sf_dir, "events").where("event_id <= 1000"))
+
+
+@query("when_name_stamp_whole")
+def when_name_stamp_whole(spark, sf_dir):
+    return name_stamps(load(spark, sf_dir, "events"))
+
+
+def name_stamps(events):
     name = F.concat(F.lit("IMG_"), F.date_format("ts", "yyyyMMdd"), F.lit("_"), F.date_format("ts", "HHmmss"), F.lit(".jpg"))
-    return load(spark, sf_dir, "events").where("event_id <= 1000").select("event_id", moments.name_stamp(name).alias("day"))
+    return events.select("event_id", moments.name_stamp(name).alias("day"))
 
 
 @query("when_folder", "SELECT path, day FROM (VALUES ('/a/2024-02-30/x', NULL), ('/a/2023-05-06/x', '2023-05-06'), ('/20230506x/', '2023-05-06'), ('/1799-01-01/', NULL), ('/b/c', NULL)) t(path, day)")

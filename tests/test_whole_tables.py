@@ -42,6 +42,9 @@ def test_twin_groups_hold_all_twins(spark, whole):
     ("join_producer_contest", " WHERE a.l_partkey <= 200", ""),
     ("run_across", " WHERE l_orderkey <= 500", ""),
     *[(f"txt_{n}", " WHERE event_id <= 2000", "") for n in ("lora_tags", "infotext", "sections", "size")],
+    ("filter_redacted", " WHERE event_id <= 1000", ""),
+    ("when_name_stamp", " WHERE event_id <= 1000", ""),
+    ("settings_merged", " WHERE event_id <= 500", ""),
 ])
 def test_whole_tables(spark, whole, name, cut, instead):
     found = QUERIES[f"{name}_whole"](spark, WHOLE).toPandas()
