@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import doubles, dot, unit
 from ..operators.ranking import bm25, fused, head, ranked, tokens
+from ..operators.similarity import scores
 from ..sources.tables import load
 from .registry import query
 from .vectors import UNIT_SQL
@@ -32,6 +33,21 @@ def spaces(spark, sf_dir):
     return u.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
 
 
+def every_space(spark, sf_dir, allowed=None):
+    """Scores of the allowed vectors against all stated queries, the rows whose id is divisible by 50."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    among = vectors if allowed is None else vectors.join(allowed, "vec_id", "left_semi")
+    return scores(among, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+def english(spark, sf_dir):
+    return load(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
+
+
+def in_role(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings").where("label < 5").select("vec_id")
+
+
 @query("ret_bm25", f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM b")
 def ret_bm25(spark, sf_dir):
     return bm25(load(spark, sf_dir, "documents"), "doc_id", "text", WORDS).select("doc_id", F.round("score", 6).alias("score"))
@@ -39,15 +55,32 @@ def ret_bm25(spark, sf_dir):
 
 @query("ret_rrf", f"WITH {SPACES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS position FROM sc) SELECT vec_id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS fusion, count(*) AS spaces FROM r GROUP BY vec_id")
 def ret_rrf(spark, sf_dir):
-    found = fused(ranked(spaces(spark, sf_dir), "vec_id", "query_id"), "vec_id")
+    return fusions(spaces(spark, sf_dir))
+
+
+@query("ret_rrf_whole")
+def ret_rrf_whole(spark, sf_dir):
+    return fusions(every_space(spark, sf_dir))
+
+
+def fusions(scored):
+    found = fused(ranked(scored, "vec_id", "query_id"), "vec_id")
     return found.select("vec_id", F.round("fusion", 9).alias("fusion"), "spaces")
 
 
 @query("ret_rrf_constrained", f"WITH {SPACES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS position FROM sc WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) SELECT vec_id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS fusion FROM r GROUP BY vec_id ORDER BY sum(1.0::DOUBLE / (60 + position)) DESC, vec_id LIMIT 50")
 def ret_rrf_constrained(spark, sf_dir):
-    allowed = load(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
     # The constraint comes before positions are given.
-    found = fused(ranked(spaces(spark, sf_dir).join(allowed, "vec_id", "left_semi"), "vec_id", "query_id"), "vec_id")
+    return best_fusions(spaces(spark, sf_dir).join(english(spark, sf_dir), "vec_id", "left_semi"))
+
+
+@query("ret_rrf_constrained_whole")
+def ret_rrf_constrained_whole(spark, sf_dir):
+    return best_fusions(every_space(spark, sf_dir, english(spark, sf_dir)))
+
+
+def best_fusions(scored):
+    found = fused(ranked(scored, "vec_id", "query_id"), "vec_id")
     return found.orderBy(F.desc("fusion"), "vec_id").limit(50).select("vec_id", F.round("fusion", 9).alias("fusion"))
 
 
@@ -59,20 +92,44 @@ def ret_head_cut(spark, sf_dir):
     return head(spaces(spark, sf_dir), "query_id").where("answers").select("query_id", "vec_id", "score")
 
 
+@query("ret_head_cut_whole")
+def ret_head_cut_whole(spark, sf_dir):
+    return head(every_space(spark, sf_dir), "query_id").where("answers").select("query_id", "vec_id", "score")
+
+
 @query("ret_standing", f"WITH {HEAD_SQL} SELECT vec_id, max(round(CASE WHEN best > middle THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (score - middle) / (best - middle))) ELSE 0.0::DOUBLE END, 4)) AS relevance FROM sc JOIN l USING (query_id) GROUP BY vec_id")
 def ret_standing(spark, sf_dir):
     return head(spaces(spark, sf_dir), "query_id").groupBy("vec_id").agg(F.max("relevance").alias("relevance"))
 
 
+@query("ret_standing_whole")
+def ret_standing_whole(spark, sf_dir):
+    return head(every_space(spark, sf_dir), "query_id").groupBy("vec_id").agg(F.max("relevance").alias("relevance"))
+
+
 @query("ret_answering_set", f"WITH {HEAD_SQL} SELECT DISTINCT vec_id FROM sc JOIN l USING (query_id) WHERE best > middle AND score >= middle + 0.5 * (best - middle)")
 def ret_answering_set(spark, sf_dir):
     return head(spaces(spark, sf_dir), "query_id").where("answers").select("vec_id").distinct()
 
 
+@query("ret_answering_set_whole")
+def ret_answering_set_whole(spark, sf_dir):
+    return head(every_space(spark, sf_dir), "query_id").where("answers").select("vec_id").distinct()
+
+
 @query("ret_neighbours", f"WITH {SPACES_SQL} SELECT query_id, vec_id, place FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM sc WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label < 5)) WHERE place <= 10")
 def ret_neighbours(spark, sf_dir):
-    role = load(spark, sf_dir, "embeddings").where("label < 5").select("vec_id")
-    found = ranked(spaces(spark, sf_dir).join(role, "vec_id", "left_semi"), "vec_id", "query_id")
+    return nearest(spaces(spark, sf_dir).join(in_role(spark, sf_dir), "vec_id", "left_semi"))
+
+
+@query("ret_neighbours_whole")
+def ret_neighbours_whole(spark, sf_dir):
+    return nearest(every_space(spark, sf_dir, in_role(spark, sf_dir)))
+
+
+def nearest(scored):
+    """Each query's ten best, by place."""
+    found = ranked(scored, "vec_id", "query_id")
     return found.where("position <= 10").select("query_id", "vec_id", F.col("position").alias("place"))
 
 
