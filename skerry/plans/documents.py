@@ -79,6 +79,12 @@ def doc_unresolved_refs(spark, sf_dir):
     return documents.unresolved(wanted, load(spark, sf_dir, "labels"), "doc_id")
 
 
+@query("doc_unresolved_refs_whole")
+def doc_unresolved_refs_whole(spark, sf_dir):
+    wanted = load(spark, sf_dir, "documents").select("doc_id").distinct()
+    return documents.unresolved(wanted, load(spark, sf_dir, "labels"), "doc_id")
+
+
 @query("doc_story_kinds", "SELECT role, count(DISTINCT conv_id) AS conversations, count(*) AS turns FROM conversations GROUP BY role")
 def doc_story_kinds(spark, sf_dir):
     return load(spark, sf_dir, "conversations").groupBy("role").agg(F.countDistinct("conv_id").alias("conversations"), F.count(F.lit(1)).alias("turns"))

@@ -46,6 +46,7 @@ def test_twin_groups_hold_all_twins(spark, whole):
     ("when_name_stamp", " WHERE event_id <= 1000", ""),
     ("settings_merged", " WHERE event_id <= 500", ""),
     *[(f"ret_{n}", "vec_id IN (1, 2, 3)", "vec_id % 50 = 0") for n in ("neighbours", "head_cut", "answering_set", "standing", "rrf", "rrf_constrained")],
+    ("doc_unresolved_refs", "doc_id % 5 = 0 AND ", ""),
 ])
 def test_whole_tables(spark, whole, name, cut, instead):
     found = QUERIES[f"{name}_whole"](spark, WHOLE).toPandas()
