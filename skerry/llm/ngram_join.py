@@ -373,9 +373,15 @@ def components_of(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose id is the smallest of its component."""
-    dropped = components_of(docs).where("component_id < doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    """The rows of `docs`, with all their columns, whose id is the smallest of its component.
+
+    Texts without an id are nodes of their own here, so that one of them neither links nor
+    drops another; they are numbered from 2**62, above the ids.
+    """
+    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit((1 << 62) - 1)))
+    found = components_of(docs.select(node.alias("doc_id"), "text"))
+    dropped = found.where("component_id < doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, node == F.col("dropped_id"), "left_anti")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
