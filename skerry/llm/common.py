@@ -7,6 +7,7 @@ hashes come from whole-batch array operations, in pieces of bounded size.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -25,9 +26,11 @@ PIECE = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one, if all of Spark runs on this machine."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.skerry.shared", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="skerry-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         where = f"file://{local}"
@@ -58,26 +61,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # -- scanning ---------------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C55
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(PIECE + 1, n)
-        with np.errstate(over="ignore"):
-            have = np.full(size, base, np.uint64)
-            have[0] = 1
-            have = np.multiply.accumulate(have)
-        if size <= PIECE + 1:
-            _powers[base] = have
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,21 +113,68 @@ def word_spans(data: np.ndarray, at: np.ndarray, gap: np.ndarray = _IS_SPACE) ->
     return starts, ends, (np.searchsorted(at, starts, "right") - 1).astype(np.int64)
 
 
-class SpanHasher:
-    """64-bit hashes of byte (or code point) runs, equal for equal runs wherever they stand."""
+#: Runs of more bytes are hashed one by one.
+LONG = 512
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=self.sums[1:])
-        self.inverse = _power(_BASE_INVERSE, len(data) + 1)
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place as one number, zeros behind the end; a view, read by index."""
+    held = np.concatenate((data.view(np.uint8), np.zeros(8, np.uint8)))
+    return np.ndarray(len(held) - 7, "<u8", held, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return SpanHasher(data)(starts, ends)
+    """64-bit hashes of byte (or code point) runs, equal for equal runs wherever they stand.
+
+    Eight bytes at a time go through `mix`, which isn't linear, so that runs built from one
+    another by a rule don't meet; up to eight bytes of one length never do. Where equal hashes
+    decide a result, `same_spans` compares the bytes.
+    """
+    width = data.dtype.itemsize
+    starts, ends = np.asarray(starts, np.int64) * width, np.asarray(ends, np.int64) * width
+    size, words = ends - starts, _eight(data)
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    now, at = np.flatnonzero(size <= LONG), 0
+    while len(now):
+        left = size[now] - at
+        out[now] = mix(out[now] ^ (words[starts[now] + at] & _MASKS[np.minimum(left, 8)]))
+        now, at = now[left > 8], at + 8
+    raw = data.view(np.uint8)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the run of `size` at each of `starts` equals the one at `others` in `other`."""
+    width = data.dtype.itemsize
+    starts, others, size = (np.asarray(x, np.int64) * width for x in (starts, others, size))
+    left, right = _eight(data), _eight(other)
+    out = np.ones(len(size), bool)
+    now, at = np.flatnonzero(size <= LONG), 0
+    while len(now):
+        rest = size[now] - at
+        out[now] &= ((left[starts[now] + at] ^ right[others[now] + at]) & _MASKS[np.minimum(np.maximum(rest, 0), 8)]) == 0
+        now, at = now[(rest > 8) & out[now]], at + 8
+    one, two = data.view(np.uint8), other.view(np.uint8)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(one[starts[i] : starts[i] + size[i]], two[others[i] : others[i] + size[i]])
+    return out
+
+
+def windows(data: np.ndarray, most: int = PIECE, gap: np.ndarray = _IS_SPACE) -> Iterator[np.ndarray]:
+    """Stretches of about `most` bytes that each end behind a byte in `gap`, so that no word is cut."""
+    i = 0
+    while i < len(data):
+        j, k = i, i
+        while k < len(data) and j == i:  # a word longer than a window makes it longer
+            stops = np.flatnonzero(gap[data[k : k + most]])
+            j, k = (k + int(stops[-1]) + 1 if len(stops) else i), k + most
+        if k >= len(data):
+            j = len(data)
+        yield data[i:j]
+        i = j
 
 
 _LANES = [0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
@@ -154,28 +188,35 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.nda
     """
     lanes = [np.uint64(x) for x in (_LANES * (width // len(_LANES) + 1))[:width]]
     for first, last, data, at in pieces(column):
-        data = _ASCII_LOWER[data]
-        starts, ends, _ = word_spans(data, at)
-        hashes = span_hashes(data, starts, ends)
-        rows = np.searchsorted(starts, at)
-        n = len(hashes)
-        if n >= width:
-            total = np.zeros(n - width + 1, np.uint64)
-            for k, c in enumerate(lanes):
-                total += mix(hashes[k : n - width + 1 + k] + np.uint64(k)) * c
-            total = mix(total)
+        if last - first == 1 and len(data) > PIECE:
+            # A long text is scanned window by window; only its words' hashes are held.
+            hashes = np.concatenate([_word_hashes(w, np.array([0, len(w)]))[0] for w in windows(data)])
+            rows = np.array([0, len(hashes)])
+        else:
+            hashes, rows = _word_hashes(data, at)
         for i in range(last - first):
-            a, b = int(rows[i]), int(rows[i + 1])
-            if b - a >= width:
-                found = np.sort(total[a : b - width + 1])
-                if len(found) > 1:
-                    found = found[np.concatenate(([True], found[1:] != found[:-1]))]
-            elif b > a:
-                whole = np.uint64(b - a)
-                with np.errstate(over="ignore"):
-                    for k in range(b - a):
-                        whole = whole + mix(hashes[a + k : a + k + 1] + np.uint64(k))[0] * lanes[k]
-                found = mix(np.array([whole], np.uint64))
-            else:
-                found = np.zeros(0, np.uint64)
-            yield first + i, found
+            yield first + i, _shingles(hashes[rows[i] : rows[i + 1]], lanes)
+
+
+def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    data = _ASCII_LOWER[data]
+    starts, ends, _ = word_spans(data, at)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, at)
+
+
+def _shingles(words: np.ndarray, lanes: list[np.uint64]) -> np.ndarray:
+    """Sorted distinct hashes of the runs of len(lanes) words; of all words, if they are fewer."""
+    width, n = min(len(lanes), len(words)), len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    found = []
+    for a in range(0, n - width + 1, PIECE):
+        b = min(a + PIECE, n - width + 1)
+        total = np.full(b - a, width, np.uint64) if width < len(lanes) else np.zeros(b - a, np.uint64)
+        for k in range(width):
+            total += mix(words[a + k : b + k] + np.uint64(k)) * lanes[k]
+        found.append(mix(total))
+    found = np.sort(found[0] if len(found) == 1 else np.concatenate(found))
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    return found[new]

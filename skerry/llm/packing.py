@@ -1,15 +1,15 @@
 """Packing token sequences: first-fit decreasing on a tournament tree of bin capacities.
 
 Documents become token ids and one end id, cut into full sequences and a rest. Pieces are
-dealt to randomised groups by a hash of document and start, so a group's size doesn't depend
-on ids, order or sources. Each group is packed for itself: longest first, each piece into the
+dealt to randomised groups by a hash of document, start and the row's place in its task, so a
+group's size doesn't depend on ids, order or sources, and rows without an id spread as well. Each group is packed for itself: longest first, each piece into the
 first bin that still holds it. The bins' free capacities are the leaves of a tournament tree
 whose inner nodes keep the larger of their two children; the first fitting bin is found by
 one walk from the root.
 
 Token ids equal those of the tokenizer file for every text. Texts are split by its own rule
 on arrays of code points; each distinct word of a batch is encoded once, and a worker keeps
-the words it has seen.
+the words it has seen. Words meet by hash and are compared.
 
 Defined results: null text is empty, hence one piece with the end id alone; rows that repeat
 an id are packed one by one; an empty table gives an empty result; further columns are
@@ -19,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, span_hashes, table
+from .common import materialise, same_spans, span_hashes, table
 
 LENGTH = 4096
 END = 2
@@ -55,13 +57,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class WordEncoder:
     """Token ids of a word-splitting BPE file with a word-end mark, a batch of texts at a time."""
 
+    mark = "\x01"
+
     def __init__(self, path: str) -> None:
         import regex
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.mark = "\x01"
         unit = self._units()
         ranks: dict[bytes, int] = {}
         for token, i in model["vocab"].items():
@@ -99,6 +102,9 @@ class WordEncoder:
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.held = np.zeros(0, np.uint32)  # the words themselves, one after the other
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
 
     def plainly(self, text: str) -> np.ndarray:
         if self.slow is None:
@@ -136,8 +142,6 @@ class WordEncoder:
         return starts[keep], ends[keep]
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.words) > KEPT_WORDS:
-            raise OverflowError
         ids = np.array(self.bpe.encode_ordinary(self.mark.join(words) + self.mark), np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
@@ -145,13 +149,25 @@ class WordEncoder:
         first = np.concatenate(([0], stops[:-1])) + len(self.ids)
         count = np.diff(np.concatenate(([0], stops)))
         at = np.searchsorted(self.words, hashes)
+        size = np.array([len(w) for w in words], np.int64)
+        self.at = np.insert(self.at, at, np.cumsum(size) - size + len(self.held))
+        self.size = np.insert(self.size, at, size)
+        self.held = np.concatenate((self.held, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)))
         self.words = np.insert(self.words, at, hashes)
         self.first = np.insert(self.first, at, first)
         self.count = np.insert(self.count, at, count)
         self.ids = np.concatenate((self.ids, ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text; a long one is encoded in windows cut before white space, which no piece holds."""
+        cut = [list(text_windows(x)) for x in texts]
+        whole = [x for own in cut for x in own]
+        if len(whole) == len(texts):
+            return self._encode(texts)
+        found = iter([y for i, j in batches_of(whole) for y in self._encode(whole[i:j])])
+        return [np.concatenate([next(found) for _ in own]) for own in cut]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         usable = []
         for i, text in enumerate(texts):
@@ -183,6 +199,13 @@ class WordEncoder:
             new = np.flatnonzero(~known)
             self.learn(distinct[new], [joined[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
             place = np.searchsorted(self.words, distinct)
+        mine = place[back]
+        # Where hashes meet, the words are compared: one that only has another's hash sends the batch to the file's own encoder.
+        if not (np.array_equal(self.size[mine], ends - starts) and same_spans(points, starts, self.held, self.at[mine], ends - starts).all()):
+            self.forget()
+            for i in usable:
+                out[i] = self.plainly(texts[i])
+            return out
         counts = self.count[place][back]
         firsts = self.first[place][back]
         stops = np.cumsum(counts)
@@ -196,6 +219,21 @@ class WordEncoder:
         return out
 
 
+def text_windows(text: str, most: int = 0) -> Iterator[str]:
+    """The text in stretches of about `most` code points that each begin with white space (but the first)."""
+    most = most or SCAN
+    if len(text) <= most or WordEncoder.mark in text:
+        yield text
+        return
+    begin = 0
+    for m in _SPACE.finditer(text):
+        if m.start() - begin >= most:
+            yield text[begin : m.start()]
+            begin = m.start()
+    yield text[begin:]
+
+
+_SPACE = re.compile(r"\s+")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -222,17 +260,20 @@ def cut_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
+        task, seen = TaskContext.get(), 0
+        origin = task.partitionId() if task else 0
         for b in batches:
             ids, texts = b["doc_id"], [x.as_py() or "" for x in b["text"]]
             for i, j in batches_of(texts):
                 rows: list[tuple] = []
                 for k, tokens in zip(range(i, j), encode(texts[i:j]), strict=True):
+                    seen += 1
                     tokens = np.append(tokens, np.uint32(END)).astype("<u4")
                     doc = ids[k].as_py()
                     for start in range(0, len(tokens), length):
                         part = tokens[start : start + length]
                         crc = zlib.crc32(part)
-                        rows.append((doc, start, len(part), crc, len(tokens), zlib.crc32(f"{doc}/{start}".encode(), crc)))
+                        rows.append((doc, start, len(part), crc, len(tokens), zlib.crc32(f"{doc}/{start}/{origin}/{seen}".encode(), crc)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"])
 

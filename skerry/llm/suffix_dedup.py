@@ -25,9 +25,7 @@ stay whole; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, materialise, mix, pieces, span_hashes, table
+from .common import input_bytes, materialise, mix, pieces, same_spans, span_hashes, table
 from .sharing import binaries, buckets_for, keyed, reduced, shared, starts_of, values_of
 
 LENGTH = 50
 GRAM = 24
+#: Strings of a long text that are scanned at once.
+SCAN = 1 << 20
 #: Input bytes per range of minimizers, and per meeting place of stretches.
 HASH_BYTES, SORT_BYTES = 16 << 20, 768 << 10
 #: Bytes of text whose stretches a map task compares.
@@ -68,7 +68,17 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def minimizers(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First string, string after the last and hash of each run of strings with one least gram hash."""
+    """First string, string after the last and hash of each run of strings with one least gram hash.
+
+    A long text is scanned in windows of SCAN strings; a run ends where its window does.
+    """
+    if len(at) == 2 and len(data) > SCAN + length:
+        found = []
+        for i in range(0, len(data) - length + 1, SCAN):
+            own = data[i : i + SCAN + length - 1]
+            begin, end, hashes = minimizers(own, np.array([0, len(own)]), length, gram)
+            found.append((begin + i, end + i, hashes))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     n, window = len(data) - length + 1, length - gram + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -230,6 +240,16 @@ def stretches(found: DataFrame, buckets: int, parts: int, length: int) -> DataFr
     return found.select("doc_id", "rid", "text", "hashes").mapInArrow(run, STRETCH_DDL)
 
 
+def _classes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each stretch data[at[i]:at[i + 1]], equal for equal bytes: met by hash, then compared."""
+    hashes, size = span_hashes(data, at[:-1], at[1:]), np.diff(at)
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    if np.array_equal(size[first[back]], size) and same_spans(data, at[:-1], data, at[first[back]], size).all():
+        return back
+    raw, names = data.tobytes(), {}
+    return np.array([names.setdefault(raw[i:j], len(names)) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+
+
 def _repeated(solved: tuple[np.ndarray, np.ndarray], again: np.ndarray, first: np.ndarray, two: tuple[np.ndarray, np.ndarray], strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """`solved` (stretch, place) also for the stretches `again` that equal one of `first` in the same document."""
     order = np.lexsort((two[1][first], two[0][first]))
@@ -267,7 +287,7 @@ def spans_of(found: DataFrame, length: int) -> DataFrame:
             strings = pairs[:, 1] - length + 1
             ids = rows["doc_id"].to_numpy()[owner]
             # Equal stretches: the smallest document's stands for them, all strings of larger ones' go.
-            two = span_hashes(data, at[:-1], at[1:]), span_hashes(data ^ 0x55, at[:-1], at[1:])
+            two = _classes(data, at), pairs[:, 1]
             order = np.lexsort((ids, *two))
             begin = starts_of(two[0][order], two[1][order])
             size = np.diff(np.append(begin, len(order)))
@@ -318,6 +338,16 @@ def spans_of(found: DataFrame, length: int) -> DataFrame:
     return found.groupBy("part").applyInArrow(run, SPANS_DDL)
 
 
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans (start, end) that overlap or touch, as one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    begin = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > reach[:-1])))
+    return np.stack((spans[begin, 0], reach[np.append(begin[1:], len(spans)) - 1]), 1)
+
+
 def cut_out(rows: DataFrame, length: int) -> DataFrame:
     """Results of rows doc_id, text, copy (a smaller document has the whole text), spans (list of binaries)."""
 
@@ -329,45 +359,25 @@ def cut_out(rows: DataFrame, length: int) -> DataFrame:
                 pairs = np.frombuffer(b"".join(spans.as_py() or ()), np.int64).reshape(-1, 2)
                 if copy and len(text) >= length:
                     pairs = np.array([[0, len(text)]], np.int64)
-                runs = 0
-                if len(pairs):
-                    change = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(change, pairs[:, 0], 1)
-                    np.add.at(change, pairs[:, 1], -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                else:
-                    kept = text
-                out.append({"doc_id": doc, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": runs, "kept_sha256": hashlib.sha256(kept).hexdigest()})
+                gone = merged(pairs)
+                kept = b"".join(text[i:j] for i, j in zip([0, *gone[:, 1].tolist()], [*gone[:, 0].tolist(), len(text)], strict=True)) if len(gone) else text
+                out.append({"doc_id": doc, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
     return rows.select("doc_id", "text", "copy", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffles of finished steps, which nothing refers to any more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs` (doc_id, text)."""
-    spark, size = docs.sparkSession, input_bytes(docs)
-    rows = keyed(docs)
+    size, rows = input_bytes(docs), keyed(docs)
     digests = rows.where(F.octet_length("text") >= length).select("doc_id", "rid", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     classes = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("digest").alias("d"), "least")
     copies = materialise(digests.join(classes, F.col("digest") == F.col("d")).where("doc_id > least").select("doc_id", "rid").distinct(), "suffix-copies")
     buckets, parts = buckets_for(size, HASH_BYTES), buckets_for(size, SORT_BYTES)
     candidates = shared(rows, row_hashes, buckets).join(copies, ["doc_id", "rid"], "left_anti")
     candidates = materialise(candidates.groupBy("doc_id", "rid").agg(F.collect_list("hashes").alias("hashes")), "suffix-candidates")
-    release(spark)
     cut = stretches(rows.join(candidates, ["doc_id", "rid"]), buckets, parts, length)
     spans = materialise(spans_of(cut, length), "suffix-spans")
-    del cut
-    release(spark)
     per = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
     marked = copies.withColumn("copy", F.lit(True)).join(per, ["doc_id", "rid"], "full")
     joined = rows.join(marked, ["doc_id", "rid"], "left")

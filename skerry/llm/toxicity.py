@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _ASCII_LOWER, SpanHasher, materialise, pieces, table, word_spans
+from .common import _ASCII_LOWER, materialise, pieces, span_hashes, table, windows, word_spans
 from .fitting import SAMPLE_ROWS, labelled_sample, platt, remainder, sigmoid, without_copies
 
 INSULTS = ("idiot", "moron", "stupid", "dumb", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "clown", "vermin", "filth")
@@ -38,6 +38,8 @@ ODDS, CLEAR, SEEN = 2.5, 3.0, 3
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 HELD_OUT_PARTS = 3
+#: Bytes of a long text whose features are held at once.
+WINDOW = 1 << 20
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -48,18 +50,17 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and feature of every word and word beginning, A-Z lower-cased, with repeats."""
     data = _ASCII_LOWER[data]
     starts, ends, row = word_spans(data, at, _GAP)
-    hasher = SpanHasher(data)
-    found, rows = [hasher(starts, ends)], [row]
+    found, rows = [span_hashes(data, starts, ends)], [row]
     for n in BEGINNINGS:
         long = ends - starts > n
-        found.append(hasher(starts[long], starts[long] + n) ^ _TAGS[n])
+        found.append(span_hashes(data, starts[long], starts[long] + n) ^ _TAGS[n])
         rows.append(row[long])
     return np.concatenate(rows), np.concatenate(found)
 
 
 def feature_of(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
-    return int(SpanHasher(data)(np.array([0]), np.array([len(data)]))[0])
+    return int(span_hashes(data, np.array([0]), np.array([len(data)]))[0])
 
 
 class Lookup:
@@ -83,6 +84,15 @@ class Lookup:
         return pairs // len(self.known), pairs % len(self.known)
 
 
+def known(look: Lookup, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positions of the distinct features that `look` knows; a long text is scanned window by window."""
+    if len(at) > 2 or len(data) <= WINDOW:
+        return look(*features(data, at))
+    which = [look(*features(w, np.array([0, len(w)])))[1] for w in windows(data, WINDOW, _GAP)]
+    which = np.unique(np.concatenate(which))
+    return np.zeros(len(which), np.int64), which
+
+
 @dataclass
 class Voters:
     """known: features of all lexicons; lexicon: which one each belongs to."""
@@ -99,10 +109,13 @@ class Voters:
         """0 or 1 of each row and voter."""
         n = len(at) - 1
         out = np.zeros((n, self.lexicons + 3), np.float64)
-        rows, which = Lookup(self.known)(*(found or features(data, at)))
+        look = Lookup(self.known)
+        rows, which = look(*found) if found else known(look, data, at)
         out[rows, self.lexicon[which]] = 1
 
         def count(mask: np.ndarray) -> np.ndarray:
+            if n == 1:
+                return np.array([np.count_nonzero(mask)])
             sums = np.concatenate(([0], np.cumsum(mask)))
             return sums[at[1:]] - sums[at[:-1]]
 
@@ -267,7 +280,7 @@ class Model:
     shift: float
 
     def margins(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        rows, which = Lookup(self.vocabulary)(*features(data, at))
+        rows, which = known(Lookup(self.vocabulary), data, at)
         return np.bincount(rows, self.weights[which], minlength=len(at) - 1) + self.intercept
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
