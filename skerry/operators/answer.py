@@ -1,9 +1,10 @@
 """One ordered answer, and the views of it: page, peek, place, neighbourhood, digest.
 
 The order is total: the sort column, nulls last in both directions, then the id in the sort's
-direction. Pages come from a top-k (`orderBy` with `limit`), which keeps only the head of
-each partition; positions of all members come from a range partitioning with per-partition
-counts, so no task sees the whole answer.
+direction. Pages near either end come from a top-k (`orderBy` with `limit`), which keeps only
+the head of each partition; other positions come from a range partitioning with per-partition
+counts, so no task sees the whole answer. Which partition a row fell into is written down once:
+a range partitioning that is planned twice may sample other bounds.
 """
 
 from __future__ import annotations
@@ -11,26 +12,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
+#: Rows of a peek; neighbours shown, and at most.
 PEEK = 9
 NEIGHBOURS, NEIGHBOURS_MOST = 15, 51
+#: Rows that a page takes from an end of the answer at most; a page further in is found by positions.
+DEEP = 50_000
+
+
+class Order(list):
+    """Columns to order by, and those of the same order from its other end."""
 
+    def __init__(self, columns: list[Column], backwards: list[Column]) -> None:
+        super().__init__(columns)
+        self.backwards = backwards
 
-def total_order(sort: str | None, id: str, descending: bool) -> list[Column]:
-    way = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_last())
-    return [way(c) for c in dict.fromkeys([*([sort] if sort else []), id])]
+
+def total_order(sort: str | None, id: str, descending: bool) -> Order:
+    names = dict.fromkeys([*([sort] if sort else []), id])
+    if descending:
+        return Order([F.col(c).desc_nulls_last() for c in names], [F.col(c).asc_nulls_first() for c in names])
+    return Order([F.col(c).asc_nulls_last() for c in names], [F.col(c).desc_nulls_first() for c in names])
 
 
 def ordered(items: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
     """Every row with its 1-based position, without gathering the answer in one task.
 
-    Rows are range-partitioned by the order; positions inside a partition are added to the
-    number of rows in the partitions before, of which there is one row each.
+    Rows are range-partitioned by the order, sorted, and written with their partition and their
+    place in it; the rows of the partitions before, one number a partition, are added.
     """
-    spread = items.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    inside = spread.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = inside.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    spread = items.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = spread.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    placed = materialise(placed, "ordered")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return inside.join(F.broadcast(before), inside["__part"] == before["__p"]).withColumn(name, (F.col("__place") + F.col("__before")).cast("long")).drop("__part", "__place", "__p", "__before")
+    # One row a partition.
+    return placed.join(F.broadcast(before), placed["__part"] == before["__p"]).withColumn(name, (F.col("__place") + F.col("__before")).cast("long")).drop("__part", "__place", "__p", "__before")
 
 
 def page(items: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -38,8 +56,17 @@ def page(items: DataFrame, order: list[Column], number: int, size: int) -> DataF
     total = items.count()
     pages = max(1, -(-total // size))
     first = (min(max(1, number), pages) - 1) * size
-    head = items.orderBy(*order).limit(first + size)
-    return head.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("ordinal") > first)
+    behind = max(0, total - first - size)
+    backwards = getattr(order, "backwards", None)
+    if first <= behind or not backwards:
+        if first + size <= DEEP or not backwards:
+            head = items.orderBy(*order).limit(first + size)
+            return head.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("ordinal") > first)
+    elif total - first <= DEEP:
+        tail = items.orderBy(*backwards).limit(total - first)
+        placed = tail.withColumn("ordinal", (F.lit(total + 1) - F.row_number().over(Window.orderBy(*backwards))).cast("long"))
+        return placed.where(F.col("ordinal") <= first + size)
+    return ordered(items, order).where((F.col("ordinal") > first) & (F.col("ordinal") <= first + size))
 
 
 def peek(items: DataFrame, order: list[Column], most: int = PEEK) -> DataFrame:
@@ -55,17 +82,19 @@ def top_with_more(items: DataFrame, order: list[Column], most: int) -> DataFrame
 
 def located(items: DataFrame, id: str, order: list[Column], value: int, size: int) -> DataFrame:
     """Position, page, neighbours and ends of one member; no row if it is none."""
-    place = ordered(items.select(*{c: None for c in items.columns}), order)
-    one = place.where(F.col(id) == value).select(F.col(id).alias("member"), "ordinal")
-    around = place.join(F.broadcast(one.select(F.col("ordinal").alias("at"))), F.abs(F.col("ordinal") - F.col("at")) <= 1)
-    beside = around.agg(
-        F.max(F.when(F.col("ordinal") < F.col("at"), F.col(id))).alias("previous_id"),
-        F.max(F.when(F.col("ordinal") > F.col("at"), F.col(id))).alias("next_id"),
-    )
-    ends = items.agg(F.count(F.lit(1)).alias("total"))
-    firsts = items.orderBy(*order).limit(1).select(F.col(id).alias("first_id"))
-    lasts = place.join(F.broadcast(ends), F.col("ordinal") == F.col("total")).select(F.col(id).alias("last_id"), "total")
-    found = one.crossJoin(beside).crossJoin(firsts).crossJoin(lasts)
+    place = ordered(items, order).select(F.col(id).alias("__id"), "ordinal")
+    one = place.where(F.col("__id") == value).select(F.col("__id").alias("member"), F.col("ordinal").alias("at"))
+    total = place.agg(F.count(F.lit(1)).alias("total"))
+    # One row by its id, and one row of a count.
+    near = place.crossJoin(F.broadcast(one.crossJoin(total))).where(F.col("ordinal").isin(1) | (F.col("ordinal") == F.col("total")) | (F.abs(F.col("ordinal") - F.col("at")) <= 1))
+
+    def at(where: Column) -> Column:
+        return F.max(F.when(where, F.col("__id")))
+
+    found = near.groupBy("member", F.col("at").alias("ordinal"), "total").agg(
+        at(F.col("ordinal") == F.col("at") - 1).alias("previous_id"), at(F.col("ordinal") == F.col("at") + 1).alias("next_id"),
+        at(F.col("ordinal") == 1).alias("first_id"), at(F.col("ordinal") == F.col("total")).alias("last_id"),
+    )
     return found.withColumn("page", F.ceil(F.col("ordinal") / F.lit(size)).cast("long"))
 
 
@@ -74,7 +103,7 @@ def neighbourhood(items: DataFrame, id: str, order: list[Column], value: int, ta
     take = min(max(1, take), NEIGHBOURS_MOST)
     place = ordered(items, order)
     one = place.where(F.col(id) == value).select(F.col("ordinal").alias("at"))
-    total = items.agg(F.count(F.lit(1)).alias("total"))
+    total = place.agg(F.count(F.lit(1)).alias("total"))
     start = F.greatest(F.lit(0), F.least(F.col("at") - 1 - take // 2, F.col("total") - take))
     window = one.crossJoin(total).select(start.alias("start"))
     return place.join(F.broadcast(window), (F.col("ordinal") > F.col("start")) & (F.col("ordinal") <= F.col("start") + take)).drop("start")
@@ -86,7 +115,7 @@ def digest(items: DataFrame, id: str, order: list[Column], blocks: int = 4096) -
     Ids are hashed in blocks of consecutive positions, then the blocks' hashes in order; one
     row per block reaches the last step.
     """
-    place = ordered(items.select(*items.columns), order)
+    place = ordered(items, order)
     block = place.groupBy(((F.col("ordinal") - 1) / F.lit(blocks)).cast("long").alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("ordinal", F.col(id).alias("id")))).alias("ids"), F.count(F.lit(1)).alias("n")
     )
@@ -98,9 +127,13 @@ def digest(items: DataFrame, id: str, order: list[Column], blocks: int = 4096) -
 
 def keyset_next(items: DataFrame, sort: str, id: str, after: tuple, most: int = 1, descending: bool = True) -> DataFrame:
     """Rows right behind the member (sort value, id) `after`, without counting those before."""
-    here = F.struct(F.col(sort), F.col(id))
-    bound = F.struct(F.lit(after[0]).alias(sort), F.lit(after[1]).alias(id))
-    return items.where(here < bound if descending else here > bound).orderBy(*total_order(sort, id, descending)).limit(most)
+    value, member = after
+    beyond = F.col(id) < member if descending else F.col(id) > member
+    if value is None:
+        here = F.col(sort).isNull() & beyond
+    else:
+        here = F.col(sort).isNull() | (F.col(sort) < value if descending else F.col(sort) > value) | ((F.col(sort) == value) & beyond)
+    return items.where(here).orderBy(*total_order(sort, id, descending)).limit(most)
 
 
 def proven(selected: DataFrame, answer: DataFrame, id: str) -> DataFrame:

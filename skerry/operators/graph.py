@@ -5,26 +5,20 @@ Iterations cut their lineage with reliable checkpoints in the shared folder.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 SWEEPS = 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint; sets a folder of its own only where none is configured."""
+    """df behind a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        own = context.getConf().get("spark.checkpoint.dir")
-        if not own:
-            own = tempfile.mkdtemp(prefix="skerry-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-        context.setCheckpointDir(own)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

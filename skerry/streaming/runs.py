@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..storage import fresh_path
+
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stream of a table's files; `ts` as an event time. A table may be one file or a folder of files."""
@@ -26,13 +23,8 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for offsets and results: in the configured shared folder, else a temporary one."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if top:
-        return f"{top.rstrip('/')}/skerry-streams/{uuid.uuid4().hex}"
-    own = tempfile.mkdtemp(prefix="skerry-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{own}"
+    """A new folder for offsets and results in the shared folder."""
+    return fresh_path(spark, "stream")
 
 
 def settled(stream: DataFrame, timeout_s: int = 600) -> DataFrame:
