@@ -12,8 +12,8 @@ wins, between equals the longer host, and between equal hosts a block.
 Defined results: a null url or one without `://` has empty host and path and fits no
 rule; so does a path that is empty, as rules' paths begin with `/`. Ties and repeated
 rows each get their own row; the hash that spreads equal keys over ranges takes the id
-in, so that one hot url may lie in many ranges. Rules with a null host or path are
-refused. An empty table gives an empty result; further columns are ignored.
+in, so that one hot url may lie in many ranges. Rules with a null host, path or verdict
+are refused with a ValueError. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from .common import materialise, table
 #: (host, path, verdict) of the registered query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DEFAULT = "allow"
-#: Keys of a range, and ranges at most; more urls than both allow make the ranges larger.
+#: Keys of a range, and sampled keys a range from which the driver finds its bounds.
 RANGE_ROWS = 100_000
-MOST_RANGES = 1024
 SAMPLE_PER_RANGE = 32
 
 
@@ -59,7 +58,7 @@ def rule_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> Da
 
 def bounds_of(keys: DataFrame, rows: int) -> list[tuple[str, int]]:
     """Ascending (key, salt) bounds that cut the keys into ranges of about RANGE_ROWS rows."""
-    ranges = min(MOST_RANGES, max(1, -(-rows // RANGE_ROWS)))
+    ranges = max(1, -(-rows // RANGE_ROWS))
     if ranges == 1:
         return []
     share = min(1.0, SAMPLE_PER_RANGE * ranges / rows)
@@ -98,30 +97,24 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """id, host, path, rule, verdict of every row of `urls` (id, url) under `rules` (host, path, verdict)."""
-    spark = urls.sparkSession
+    if not rules.where("host is null or path is null or verdict is null").isEmpty():
+        raise ValueError("a rule without host, path or verdict")
     found = urls.select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     found = found.withColumn("salt", F.xxhash64("id")).withColumn("key", F.concat(reversed_host(F.col("host")), F.col("path")))
     found = materialise(found, "url-keys")
     bounds = bounds_of(found, found.count())
-    cut = F.lit(0)
-    if bounds:
-        at = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(s).cast("long").alias("salt")) for k, s in bounds])
-
-        def before(key: Column, salt: Column) -> Column:
-            return F.size(F.filter(at, lambda b: (b["key"] < key) | ((b["key"] == key) & (b["salt"] <= salt))))
-
-        cut = before(F.col("key"), F.col("salt"))
-        low, least = F.col("key"), F.lit(-(2**63)).cast("long")
-        first, last = before(low, least), F.size(F.filter(at, lambda b: b["key"] < F.concat(low, F.lit("\U0010ffff"))))
-    else:
-        low, first, last = F.col("key"), F.lit(0), F.lit(0)
+    # A range is a partition of its own. A url's range is found by bisection, and so are a rule's first and last.
+    place = F.pandas_udf(lambda key, salt: pd.Series([bisect_right(bounds, x) for x in zip(key, salt, strict=True)], dtype="int32"), "int")
+    low, high = F.lit(-(2**63)).cast("long"), F.lit(2**63 - 1).cast("long")
     # Sorted by (key, kind): a rule's low end is a prefix of all it covers, so it comes first.
     sides = rules.select(
         F.lit(None).cast(found.schema["id"].dataType).alias("id"), "host", "path", F.lit(0).alias("kind"),
         reversed_host(F.lower("host")).alias("key"), F.concat("host", "path").alias("rule"), "verdict",
-    ).withColumn("part", F.explode(F.sequence(first, last)))
-    own = found.select("id", "host", "path", F.lit(1).alias("kind"), "key", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), cut.alias("part"))
-    both = own.unionByName(sides).repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "key", "kind", F.length("path"))
+    )
+    first, last = place(F.col("key"), low), place(F.concat("key", F.lit("\U0010ffff")), high)
+    sides = sides.withColumn("first", first).withColumn("last", last).withColumn("part", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    own = found.select("id", "host", "path", F.lit(1).alias("kind"), "key", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), place(F.col("key"), F.col("salt")).alias("part"))
+    both = own.unionByName(sides).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "kind", F.length("path"))
     kind = found.schema["id"].dataType.simpleString()
     return both.mapInPandas(sweep, f"id {kind}, host string, path string, rule string, verdict string")
 

@@ -9,14 +9,17 @@ without that field are inflated to their end. Without the `payload` option
 (`option("payload", "false")`) no accepted payload is decoded either.
 
 `df.write.format("warc").save(folder)` writes rows of WRITE_SCHEMA. Every task writes a new
-file of its own name into a staging folder; the commit moves exactly the files of successful
-attempts into place, so a lost executor leaves nothing behind that a reader would see.
+file of its own name into a staging folder. The commit removes what failed attempts left there
+and publishes the folder by one move, so neither a lost executor nor a lost driver leaves a
+part of an archive behind that a reader would see. With `overwrite`, the commit removes the
+folder's older archives before that move. Readers pass over names that begin with _ or a dot.
 
 Folders are named by any URI that pyarrow's file systems know.
 
 Defined results: null html is an empty payload; equal payloads of at least `min_revisit`
-bytes are one response (smallest page_id; nulls last) and revisits of it; rows that repeat a
-page_id and payload share one record type; an empty table writes no record and reads back
+bytes are one response (smallest page_id; nulls last) and revisits of it; a record's id comes
+from page_id and payload, so a page_id with several payloads has a record of each; rows that
+repeat a page_id and payload share one record type; an empty table writes no record and reads back
 empty; further columns are ignored. Null urls get an empty target.
 """
 
@@ -54,9 +57,9 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def record_name(page_id: int | None) -> str:
-    """A page's record id; urn:uuid as the standard wants, the same in every run."""
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}').urn}>"
+def record_name(page_id: int | None, digest: str) -> str:
+    """The id of a page's record of one payload; urn:uuid as the standard wants, the same in every run."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}').urn}>"
 
 
 # -- records ------------------------------------------------------------------
@@ -83,7 +86,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_name(page_id)}",
+        f"WARC-Record-ID: {record_name(page_id, digest)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {line(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -93,7 +96,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_name(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return member(("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
 
 
@@ -199,9 +202,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         store, top = filesystem(self.folder)
-        found = [x for x in store.get_file_info(fs.FileSelector(top, allow_not_found=True)) if x.type == fs.FileType.File and x.path.endswith((".warc.gz"))]
+        found = [x for x in store.get_file_info(fs.FileSelector(top, allow_not_found=True, recursive=True)) if x.type == fs.FileType.File and x.path.endswith(".warc.gz")]
         out, names, size = [], [], 0
         for x in sorted(found, key=lambda x: x.path):
+            if any(part[:1] in "._" for part in x.path.removeprefix(top).strip("/").split("/")):
+                continue
             if names and size + x.size > TASK_BYTES:
                 out.append(Files(tuple(names)))
                 names, size = [], 0
@@ -229,8 +234,9 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, folder: str) -> None:
-        self.folder, self.staging = folder, posixpath.join(folder, f"_staging-{uuid.uuid4().hex}")
+    def __init__(self, folder: str, overwrite: bool = False) -> None:
+        self.folder, self.overwrite, self.name = folder, overwrite, uuid.uuid4().hex
+        self.staging = posixpath.join(folder, f"_staging-{self.name}")
 
     def write(self, rows: Iterator) -> Written:
         store, top = filesystem(self.staging)
@@ -243,13 +249,23 @@ class WarcWriter(DataSourceWriter):
         return Written(name, n)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """One move publishes the staging folder; a driver lost before it leaves nothing that is read."""
         store, top = filesystem(self.folder)
         _, staging = filesystem(self.staging)
         store.create_dir(top, recursive=True)
-        for m in messages:
-            if m is not None and m.records:
-                store.move(posixpath.join(staging, m.name), posixpath.join(top, m.name))
-        self.abort(messages)
+        old = store.get_file_info(fs.FileSelector(top)) if self.overwrite else []
+        kept = {m.name for m in messages if m is not None and m.records}
+        if store.get_file_info(staging).type == fs.FileType.Directory:
+            for x in store.get_file_info(fs.FileSelector(staging)):
+                if posixpath.basename(x.path) not in kept:
+                    store.delete_file(x.path)
+        for x in old:
+            if posixpath.basename(x.path)[:1] not in "._":
+                (store.delete_dir if x.type == fs.FileType.Directory else store.delete_file)(x.path)
+        if kept:
+            store.move(staging, posixpath.join(top, f"archive-{self.name}"))
+        else:
+            self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, staging = filesystem(self.staging)
@@ -271,13 +287,14 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true") != "false")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 # -- operators ------------------------------------------------------------------
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to the session, and turn on the session's filter push-down into Python sources."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
@@ -313,8 +330,8 @@ def resolve(spark: SparkSession, folder: str) -> DataFrame:
     responses = read_archive(spark, folder).where("record_type = 'response'").select("record_id", "page_id", "record_type", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     responses = materialise(responses, "warc-responses")
     revisits = read_archive(spark, folder, payload=False).where("record_type = 'revisit'").select("record_id", "page_id", "record_type", F.col("refers_to").alias("target"))
-    own = responses.groupBy("record_id").agg(F.min("page_id").alias("first_page"), F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest"))
-    found = revisits.join(own.withColumnRenamed("record_id", "target"), "target").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first_page").alias("refers_to"))
+    own = responses.groupBy(F.col("record_id").alias("target")).agg(F.min(F.struct(F.col("page_id").alias("first_page"), "payload_bytes", "payload_digest")).alias("r")).select("target", "r.*")
+    found = revisits.join(own, "target").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first_page").alias("refers_to"))
     return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(found)
 
 

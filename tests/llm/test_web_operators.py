@@ -45,9 +45,9 @@ def test_archive_round_trip(spark, pages, tmp_path):
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
     assert got == sorted(want, key=str)
     # Plain gzip readers see the records one after the other.
-    text = b"".join(gzip.open(p).read() for p in (tmp_path / "warc").glob("*.gz"))
+    text = b"".join(gzip.open(p).read() for p in (tmp_path / "warc").rglob("*.gz"))
     assert len(re.findall(rb"WARC/1\.1\r\nWARC-Type: ", text)) == len(PAGES)
-    assert not list((tmp_path / "warc").glob("_staging*"))
+    assert not list((tmp_path / "warc").rglob("_staging*"))
 
 
 def test_filters_reach_the_reader(spark, pages, tmp_path):
@@ -86,6 +86,38 @@ def test_empty_table(spark, pages, tmp_path):
     assert warc.resolve(spark, folder).count() == 0
 
 
+def test_a_page_with_two_payloads(spark, tmp_path):
+    """A revisit refers to the record of its own payload, though the page's id has another record."""
+    a, b = "a" * 200, "b" * 300
+    folder = f"file://{tmp_path}/warc"
+    warc.write_archive(spark.createDataFrame([(1, "u", a), (1, "u", b), (2, "u", b)], "page_id long, url string, html string"), folder)
+    got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolve(spark, folder).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {(1, 200, sha(a), "response", None), (1, 300, sha(b), "response", None), (2, 300, sha(b), "revisit", 1)}
+
+
+def test_overwrite_and_append(spark, pages, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    rows = warc.plan_records(pages.where("page_id <= 2"))
+    warc.register(spark)
+    for mode, want in (("append", 2), ("append", 4), ("overwrite", 2)):
+        rows.write.format("warc").mode(mode).save(folder)
+        assert warc.read_archive(spark, folder).count() == want
+    rows.where("false").write.format("warc").mode("overwrite").save(folder)
+    assert warc.read_archive(spark, folder).count() == 0
+
+
+def test_unpublished_files_are_not_read(spark, pages, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    writer = warc.WarcWriter(folder)
+    rows = warc.plan_records(pages.where("page_id <= 2")).collect()
+    lost, done = writer.write(iter(rows)), writer.write(iter(rows))
+    assert warc.read_archive(spark, folder).count() == 0
+    writer.commit([done])
+    assert warc.read_archive(spark, folder).count() == 2
+    assert lost.name not in {p.name for p in (tmp_path / "warc").rglob("*")}
+
+
 # -- url filters -------------------------------------------------------------------
 
 
@@ -123,3 +155,10 @@ def test_filter_repeats_and_empty(spark):
     assert sorted(((r.id, r.rule) for r in url_filter.judge(twice, rules).collect()), key=str) == sorted([(1, "net/"), (1, "net/"), (None, "net/")], key=str)
     assert url_filter.judge(twice.where("false"), rules).count() == 0
     assert url_filter.judge(twice, rules.where(F.lit(False))).where("rule is not null").count() == 0
+
+
+def test_rules_with_nulls_are_refused(spark):
+    urls = spark.createDataFrame([(1, "http://a.net/")], "id long, url string")
+    for rule in ((None, "/", "block"), ("net", None, "block"), ("net", "/", None)):
+        with pytest.raises(ValueError, match="without host"):
+            url_filter.judge(urls, spark.createDataFrame([rule], "host string, path string, verdict string"))
