@@ -9,13 +9,15 @@ normalised text, so two texts with one digest never become one group:
 3. the salt winners are combined by (digest, text).
 
 Only combined rows are shuffled with their text. The verdict then returns to the
-documents by a join on the digest, whose skewed partitions adaptive execution splits;
-a digest shared by different texts, should one ever occur, is joined with the text too.
+documents by a join on the digest, whose skewed partitions adaptive execution splits. That
+join compares no less than the texts: the groups, made of whole texts, show whether any digest
+has two of them, and if one has, all rows are joined by digest and text.
 
 Defined results: null text counts as empty; a group's row with the smallest doc_id stays;
-null doc_ids are larger than all others (a group of null ids only keeps them); rows that
-repeat both id and text share one verdict; an empty table gives an empty result; further
-columns are ignored by `verdicts` and returned untouched by `deduplicate`.
+null doc_ids are larger than all others (of a group of null ids only, `verdicts` calls each
+kept); rows that repeat both id and text share one verdict, and `deduplicate` returns one of
+them; an empty table gives an empty result; further columns are ignored by `verdicts` and
+returned untouched by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -46,27 +48,51 @@ def groups(rows: DataFrame, salts: int = 16) -> DataFrame:
     return salted.groupBy("digest", "body").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
-def verdicts(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest of every row of `docs` (doc_id, text)."""
+def judged(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = 16) -> tuple[DataFrame, list[str]]:
+    """doc_id, digest, keep_id, group_size of every row of `docs`, and the columns that name its text.
+
+    Groups are made of whole texts, and the same pass tells whether any digest has two texts.
+    If none has, the digest names the text; else the text itself is joined, and comes along.
+    """
     rows = docs.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("digest", digest(F.col("body")))
-    found = materialise(
-        groups(rows, salts).select("digest", F.length("body").alias("body_length"), F.sha2(F.col("body").cast("binary"), 512).alias("body_key"), "keep_id", "group_size"),
-        "exact-groups",
-    )
-    clashing = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    right = found.select(F.col("digest").alias("group_digest"), "body_key", "keep_id", "group_size")
-    if clashing.isEmpty():
-        judged = rows.select("doc_id", "digest").join(right, F.col("digest") == F.col("group_digest"))
+    found = materialise(groups(rows, salts).select("digest", F.octet_length("body").alias("n"), "keep_id", "group_size"), "exact-groups")
+    if found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        names, right = ["digest"], found.drop("n")
     else:
-        judged = rows.withColumn("own_key", F.sha2(F.col("body").cast("binary"), 512)).join(right, (F.col("digest") == F.col("group_digest")) & (F.col("own_key") == F.col("body_key")))
-    return judged.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+        names, right = ["digest", "body"], materialise(groups(rows, salts), "exact-groups")
+    return rows.select("doc_id", *names).join(right, names), names
 
 
-def deduplicate(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    dropped = verdicts(docs, salts=salts).where("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("digest").alias("dropped_digest")).distinct()
-    own = sha256(normalised(docs["text"]))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (own == dropped["dropped_digest"]), "left_anti")
+def verdicts(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = 16) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, digest of every row of `docs` (doc_id, text)."""
+    found, _ = judged(docs, digest, salts)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+
+
+def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = 16) -> DataFrame:
+    """One row of each group of equal texts, with all its columns.
+
+    Rows that repeat the smallest id of their group (or share its null id) are equal witnesses;
+    any one of them stays.
+    """
+    found, names = judged(docs, digest, salts)
+    own = docs.select(F.struct("*").alias("row")).withColumn("body", normalised(F.col("row.text"))).withColumn("digest", digest(F.col("body")))
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("dropped_id"), *[F.col(n).alias(f"dropped_{n}") for n in names]).distinct()
+
+    def same(rows: DataFrame, side: str) -> Column:
+        out = own["row"]["doc_id"].eqNullSafe(rows[f"{side}_id"])
+        for n in names:
+            out = out & (own[n] == rows[f"{side}_{n}"])
+        return out
+
+    kept = own.join(dropped, same(dropped, "dropped"), "left_anti")
+    ties = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", *names).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = materialise(ties.select(F.col("doc_id").alias("tied_id"), *[F.col(n).alias(f"tied_{n}") for n in names]), "exact-ties")
+    if ties.isEmpty():
+        return kept.select("row.*")
+    # Few rows, as a rule: map tasks keep one of each of theirs before they meet.
+    one = own.join(ties, same(ties, "tied"), "left_semi").groupBy("row.doc_id", "digest", "body").agg(F.any_value("row").alias("row"))
+    return kept.join(ties, same(ties, "tied"), "left_anti").select("row.*").unionAll(one.select("row.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

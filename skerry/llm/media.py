@@ -41,19 +41,28 @@ ELEMENTS = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("d
 ELEMENTS_DDL = "array<struct<kind: string, text: string, digest: string, caption: string>>"
 SKIPPED = ("script", "style", "template", "noscript")
 BLOCKS = ("p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "section", "article", "blockquote", "figure")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 STORE_DDL = "digest string, width int, height int, stored binary"
 
 
 class Interleaver(HTMLParser):
-    """Collects text and media in document order; figcaptions go to their figure's media."""
+    """Collects text and media in document order; a figure's caption goes to all media in it.
+
+    A figcaption may stand before or behind its media and ends with its figure at the latest;
+    outside a figure it is text like any other. What stands in a skipped element is left out:
+    up to its end tag, or the end of an element around it. A noscript or template that nothing
+    ends is taken as text, so that a missing tag doesn't swallow the rest of a page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[dict] = []
         self.text: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure: int | None = None
-        self.skip = 0
+        #: Open figures: place of the first element, caption texts, and whether its figcaption is open.
+        self.figures: list[dict] = []
+        self.open: list[str] = []
+        #: Of the outermost skipped element: its depth, and what there was before it.
+        self.skipped: tuple | None = None
 
     def flush(self) -> None:
         run = "".join(self.text).strip("\x20\t\n\x0b\x0c\r")
@@ -62,11 +71,14 @@ class Interleaver(HTMLParser):
             self.found.append({"kind": "text", "text": run, "digest": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in VOID:
+            self.open.append(tag)
         if tag in SKIPPED:
-            self.skip += 1
-        elif tag == "figcaption":
+            if self.skipped is None:
+                self.skipped = (len(self.open), len(self.found), list(self.text), [x | {"said": list(x["said"])} for x in self.figures])
+        elif tag == "figcaption" and self.figures:
             self.flush()
-            self.caption = []
+            self.figures[-1]["open"] = True
         elif tag in ("img", "video", "audio", "source"):
             own = dict(attrs)
             if (own.get("src") or "").startswith(SCHEME):
@@ -74,26 +86,54 @@ class Interleaver(HTMLParser):
                 self.found.append({"kind": "media", "text": None, "digest": own["src"].removeprefix(SCHEME).lower(), "caption": own.get("alt")})
         elif tag in BLOCKS:
             self.flush()
+            self.handle_data(" ")
             if tag == "figure":
-                self.figure = len(self.found)
+                self.figures.append({"at": len(self.found), "said": [], "open": False})
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and tag not in SKIPPED:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = "".join(self.caption).strip()
-            self.caption = None
-            for x in self.found[self.figure or 0 :] if self.figure is not None else []:
-                if x["kind"] == "media":
-                    x["caption"] = said or x["caption"]
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            if self.skipped and len(self.open) < self.skipped[0]:
+                self.discard()
+        if tag == "figcaption" and self.figures:
+            self.flush()
+            self.figures[-1]["open"] = False
         elif tag in BLOCKS:
             self.flush()
-            if tag == "figure":
-                self.figure = None
+            if tag == "figure" and self.figures:
+                self.end_figure()
+
+    def end_figure(self) -> None:
+        figure = self.figures.pop()
+        said = " ".join("".join(figure["said"]).split())
+        for x in self.found[figure["at"] :]:
+            if said and x["kind"] == "media" and not x.get("told"):
+                x["caption"], x["told"] = said, True
+
+    def discard(self) -> None:
+        _, n, self.text, self.figures = self.skipped
+        self.skipped = None
+        del self.found[n:]
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            (self.text if self.caption is None else self.caption).append(data)
+        if any(x in ("script", "style") for x in self.open[-1:]):
+            return
+        figure = next((x for x in reversed(self.figures) if x["open"]), None)
+        (figure["said"] if figure else self.text).append(data)
+
+    def close(self) -> None:
+        super().close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        for x in self.found:
+            x.pop("told", None)
 
 
 def sequence(source: str | None) -> list[dict]:
@@ -101,7 +141,6 @@ def sequence(source: str | None) -> list[dict]:
     reader = Interleaver()
     reader.feed(source or "")
     reader.close()
-    reader.flush()
     return reader.found
 
 
@@ -140,7 +179,7 @@ def to_png(payload: np.ndarray, width: int = WIDTH) -> bytes:
 
 
 def from_png(stored: bytes) -> np.ndarray:
-    """The samples of an 8-bit grey image that to_png wrote; checks every chunk's sum."""
+    """The rows of samples of an 8-bit grey image that to_png wrote; checks every chunk's sum."""
     if stored[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     at, data, width, height = 8, [], 0, 0
@@ -159,7 +198,7 @@ def from_png(stored: bytes) -> np.ndarray:
     raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width + 1)
     if raw[:, 0].any():
         raise ValueError("only unfiltered rows are kept")
-    return raw[:, 1:].reshape(-1)
+    return raw[:, 1:]
 
 
 def padded(text: bytes, width: int = WIDTH) -> bytes:
@@ -199,10 +238,10 @@ def feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for digest, stored in zip(b["digest"].to_pylist(), b["stored"], strict=True):
             stored = stored.as_py()
-            x = from_png(stored)
-            rows = x.reshape(-1, WIDTH) if len(x) % WIDTH == 0 else x.reshape(1, -1)
+            rows = from_png(stored)
+            x = np.ascontiguousarray(rows).reshape(-1)
             shares = np.bincount(x >> 4, minlength=16) / len(x)
-            contrast = float(np.abs(np.diff(rows.astype(np.int16), axis=1)).mean())
+            contrast = float(np.abs(np.diff(rows.astype(np.int16), axis=1)).mean()) if rows.shape[1] > 1 else 0.0
             feature = ",".join(f"{v:.4f}" for v in [*shares, float(x.mean()) / 255, contrast / 255])
             out.append({"digest": digest, "payload_bytes": len(x), "payload_sha256": hashlib.sha256(x).hexdigest(), "tail_crc32": zlib.crc32(x[-16:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": feature})
         yield pa.RecordBatch.from_pylist(out, FEATURES)
