@@ -6,16 +6,15 @@ hashes come from whole-batch array operations, in pieces of bounded size.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import fresh_path, materialise, shared_dir  # noqa: F401
 
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -25,34 +24,12 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 PIECE = 1 << 17
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a temporary one, if all of Spark runs on this machine."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.skerry.shared", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        local = tempfile.mkdtemp(prefix="skerry-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        where = f"file://{local}"
-        spark.conf.set("spark.skerry.shared", where)
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/skerry/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, outlives executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind `df` as the optimizer knows them; sizes buckets, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files behind `df` as the optimizer knows them, else of its texts; sizes buckets, never results."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 60:
+        return known
+    return df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,9 +4,9 @@ A text is cut into blocks and each block is compressed with both dictionaries; t
 difference of the summed sizes, (bad - good) / (bad + good), tells which kind it resembles.
 A logistic fit on the labelled sample turns the difference into the probability of label 1.
 
-The dictionaries are built from at most `SAMPLE_ROWS` labelled rows and, of each, up
-to `CHUNKS` chunks spread evenly over the whole text; the calibration and every score
-compress whole texts.
+The dictionaries are built from at most `SAMPLE_ROWS` labelled rows, from the whole text of
+each, cut into chunks; the calibration and every score compress whole texts. Where the trainer
+finds too little text for a dictionary, the text itself, or its end, is the dictionary.
 
 Defined results: null and empty texts have difference 0; without labels of both kinds every
 score is the share of label 1 (0.5 without any label); rows that repeat an id each get a
@@ -29,7 +29,6 @@ from .fitting import labelled_sample, platt, remainder, without_copies
 SAMPLE_ROWS = 6000
 DICTIONARY_BYTES = 65_536
 CHUNK = 512
-CHUNKS = 8
 LEVEL = 3
 BLOCK = 4096
 THRESHOLD = 0.3
@@ -37,17 +36,15 @@ HELD_OUT_PARTS = 5
 
 
 def train_dictionary(chunks: list[bytes]) -> bytes:
-    """A dictionary's bytes; too few samples for the trainer become the dictionary themselves."""
+    """A dictionary's bytes; samples that the trainer refuses become the dictionary themselves."""
     import zstandard
 
     chunks = [c for c in chunks if len(c) >= 8]
-    if sum(map(len, chunks)) < 20_000:
-        return b"".join(chunks)[-DICTIONARY_BYTES:]
-    size = min(DICTIONARY_BYTES, sum(map(len, chunks)) // 8)
+    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, chunks)) // 8))
     try:
         return zstandard.train_dictionary(size, chunks).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(chunks)[-size:]
+        return b"".join(chunks)[-DICTIONARY_BYTES:]
 
 
 class Meter:
@@ -87,19 +84,18 @@ def measured(docs: DataFrame, good: bytes, bad: bytes, keep: tuple[str, ...]) ->
 
 
 def sample_chunks(sample: DataFrame) -> list[tuple[int, bytes]]:
-    """Up to CHUNKS chunks of each sampled text, evenly spread; bounded by the sample's bound."""
+    """Label and bytes of every chunk of every sampled text, in an order that mixes documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for doc, label, x in zip(b["doc_id"].to_pylist(), b["label"].to_pylist(), b["text"], strict=True):
                 raw = (x.as_py() or "").encode()
-                step = max(CHUNK, len(raw) // CHUNKS)
-                rows += [{"doc_id": doc, "label": label, "chunk": raw[i : i + CHUNK]} for i in range(0, len(raw), step)][:CHUNKS]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("chunk", pa.binary())]))
+                rows = [{"doc_id": doc, "label": label, "chunk": raw[i : i + CHUNK]} for i in range(0, len(raw), CHUNK)]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("chunk", pa.binary())]))
 
-    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label int, chunk binary").collect()
-    return [(r.label, bytes(r.chunk)) for r in sorted(found, key=lambda r: (hash((r.doc_id * 2654435761) % 2**31), bytes(r.chunk)))]
+    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label int, chunk binary").toArrow()
+    rows = zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), found["chunk"].to_pylist(), strict=True)
+    return [(label, chunk) for _, _, chunk, label in sorted((doc * 2654435761 % 2**31, doc, chunk, label) for doc, label, chunk in rows)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train=None, rows: int = SAMPLE_ROWS, label: str = "quality") -> tuple[bytes, bytes, float, float]:

@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.llm import components, exact_dedup, media, mixing, ngram_join, packing, quality, sharing, suffix_dedup, toxicity
-from skerry.llm.common import shingle_sets, span_hashes, word_spans
+from skerry.llm import common, components, exact_dedup, media, mixing, ngram_join, packing, quality, sharing, suffix_dedup, toxicity
+from skerry.llm.common import same_spans, shingle_sets, span_hashes, word_spans
 
 from .conftest import AWKWARD
 
@@ -100,6 +100,46 @@ def test_shared_hashes_by_force(spark):
     assert found == {i: sum(len(held[x]) > 1 for x in s) for i, s in sets.items() if any(len(held[x]) > 1 for x in s)}
 
 
+def doubled(n):
+    """A word of n letters by doubling and its complement: polynomials of both agree at any odd base, modulo 2**64."""
+    word, other = "a", "b"
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_doubled_words_have_hashes_of_their_own(n):
+    one, two = doubled(n)
+    sets = [s for _, s in shingle_sets(pa.array([f"{one} x y z w", f"{two} x y z w", one, two]))]
+    assert [len(s) for s in sets] == [1, 1, 1, 1]
+    assert len({int(s[0]) for s in sets}) == 4
+
+
+def test_same_spans():
+    pick = random.Random(3)
+    data = np.frombuffer(bytes(pick.choice(b"ab") for _ in range(3000)), np.uint8)
+    starts, others = (np.array([pick.randrange(1500) for _ in range(3000)]) for _ in range(2))
+    size = np.array([pick.choice([0, 1, 2, 3, 7, 8, 9, 17, 600]) for _ in range(3000)])
+    others[::7] = starts[::7]
+    raw = data.tobytes()
+    want = [raw[a : a + n] == raw[b : b + n] for a, b, n in zip(starts, others, size, strict=True)]
+    assert same_spans(data, starts, data, others, size).tolist() == want
+
+
+def test_long_texts_are_scanned_in_windows(monkeypatch):
+    texts = [t for _, t in AWKWARD if t] + [t for _, t in near_copies(5)] + ["x" * 700 + " " + "y " * 50]
+    want = [s.tolist() for _, s in shingle_sets(pa.array(texts))]
+    monkeypatch.setattr(common, "PIECE", 60)
+    assert [s.tolist() for _, s in shingle_sets(pa.array(texts))] == want
+    for most in (1, 7, 60):
+        for t in texts:
+            data = np.frombuffer(t.encode(), np.uint8)
+            cut = [w.tobytes() for w in common.windows(data, most)]
+            assert b"".join(cut) == t.encode()
+            assert [w for c in cut for w in WORD.findall(c)] == WORD.findall(t.encode())
+
+
 # -- exact dedup -----------------------------------------------------------------
 
 
@@ -117,7 +157,17 @@ def test_exact_dedup_awkward(awkward, no_rows):
     assert exact_dedup.verdicts(no_rows).count() == 0
     kept = exact_dedup.deduplicate(awkward)
     assert kept.columns == awkward.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _, _, k in want if k), key=str)
+    one = {(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for (i, t), (_, _, _, k) in zip(AWKWARD, want, strict=True) if k}
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in one), key=str)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(7, "same"), (7, "same"), (None, "x y"), (None, "x y"), (None, "x  y"), (None, "x y"), (8, "same"), (9, "y"), (None, "y"), (7, "other"), (7, "other ")]
+    docs = spark.createDataFrame([(i, t, {"a": 1}, "z") for i, t in rows], "doc_id long, text string, digest map<string, int>, body string").repartition(3)
+    for digest in (exact_dedup.sha256, lambda c: F.lit("same")):
+        kept = exact_dedup.deduplicate(docs, digest)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, " ".join(r.text.split()) + " " * r.text.endswith(" ")) for r in kept.collect()), key=str) == sorted([(7, "same"), (None, "x y"), (9, "y"), (7, "other"), (7, "other ")], key=str)
 
 
 def test_exact_dedup_compares_texts(awkward):
@@ -189,6 +239,37 @@ def test_token_ids_equal_the_file():
         assert ids.tolist() == file.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    """Also where a hash names many words, and for words that a polynomial hash can't part."""
+    from tokenizers import Tokenizer
+
+    file = Tokenizer.from_file(packing.vocabulary_path())
+    texts = [*doubled(1024), *doubled(2048), "one two six", "two one", "three"]
+    want = [file.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.WordEncoder(packing.vocabulary_path()).encode(texts)] == want
+    monkeypatch.setattr(packing, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    encode = packing.WordEncoder(packing.vocabulary_path()).encode
+    assert [x.tolist() for x in encode(texts)] == want
+    assert [x.tolist() for t in texts for x in encode([t])] == want
+
+
+def test_long_texts_are_encoded_in_windows(monkeypatch):
+    monkeypatch.setattr(packing, "SCAN", 50)
+    texts = [t or "" for _, t in AWKWARD if len(t or "") < 20_000] + ["a  b\n\n" * 40, "don't we'll " * 30, " \u0301é" * 40]
+    from tokenizers import Tokenizer
+
+    file = Tokenizer.from_file(packing.vocabulary_path())
+    file.encode_special_tokens = True
+    for text, ids in zip(texts, packing.WordEncoder(packing.vocabulary_path()).encode(texts), strict=True):
+        assert ids.tolist() == file.encode(text, add_special_tokens=False).ids, repr(text[:60])
+
+
+def test_rows_without_id_spread_over_groups(spark):
+    rows = packing.cut_pieces(spark.range(20_000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text").repartition(3))
+    assert rows.selectExpr("count(distinct spread)").first()[0] > 19_000
+    assert rows.selectExpr("pmod(spread, 8) as g").groupBy("g").count().selectExpr("max(count) / 20000").first()[0] < 0.2
+
+
 def test_first_fit_by_force():
     pick = random.Random(1)
     lengths = sorted((pick.randrange(1, 101) for _ in range(500)), reverse=True)
@@ -256,6 +337,56 @@ def test_join_by_force(spark, monkeypatch, block_bytes):
     assert got == components_by_force(rows)
 
 
+@pytest.mark.parametrize("block_bytes", [12 << 20, 3000])
+def test_every_link_by_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
+    rows = near_copies(12, 90)
+    want, first = set(), {}
+    for i, t in rows:
+        first.setdefault(frozenset(shingles(t)), i)
+    for (x, a), (y, b) in itertools.combinations(first.items(), 2):
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            want.add((min(a, b), max(a, b)))
+    got = [(r.a, r.b) for r in ngram_join.links_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert len(want) > 10
+    assert sorted(got) == sorted(want)
+
+
+def test_a_common_passage_ties_no_groups(spark):
+    """Texts that share a passage but are a half their own fall into no group together."""
+    pick = random.Random(2)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(0, 60, 2):
+        own = [word() for _ in range(40)]
+        rows += [(i, " ".join(own + passage)), (i + 1, " ".join([word(), *own, *passage]))]
+    _, _, groups, _ = ngram_join.prepared(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert groups.groupBy("group").count().where("count <> 2").count() == 0
+    assert groups.count() == 60
+
+
+def test_bands_hold_every_linked_pair():
+    size = np.sort(np.random.default_rng(1).integers(1, 400, 500))
+    pairs = set()
+    for begin, middle, end in ngram_join.bands(size):
+        pairs |= {(i, j) for i in range(begin, middle) for j in range(begin, end)}
+    for i in range(500):
+        for j in range(i, 500):
+            assert 4 * size[i] < 3 * size[j] or (i, j) in pairs
+
+
+def test_tree_of_small_sets_beside_a_large_one():
+    """The bitmaps of many small sets don't take the width of the largest."""
+    sets = [np.arange(k * 7, k * 7 + 3, dtype=np.uint64) for k in range(3000)] + [np.arange(200_000, dtype=np.uint64)]
+    tree = ngram_join.SignatureTree(sets)
+    widths = []
+    grow = tree._grow
+    tree._grow = lambda *a: (grow(*a), widths.append(tree.bits.nbytes))
+    tree.join()
+    assert max(widths) < 1 << 18
+
+
 def test_join_awkward(awkward, no_rows):
     got = ngram_join.components_of(awkward).collect()
     assert len(got) == len(AWKWARD)
@@ -309,7 +440,10 @@ def test_suffix_order():
         assert heads == sorted(heads)
 
 
-def test_suffix_dedup_by_force(spark):
+@pytest.mark.parametrize("hot", [20_000, 3, 1])
+def test_suffix_dedup_by_force(spark, monkeypatch, hot):
+    """Also with minimizers that count as hot, whose strings go apart."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     pick = random.Random(9)
     passages = ["".join(pick.choice("abcé \n") for _ in range(pick.randrange(40, 200))) for _ in range(12)]
     rows = []
@@ -322,6 +456,38 @@ def test_suffix_dedup_by_force(spark):
     assert got == removed_by_force(rows)
 
 
+def test_stretches_with_one_hash_are_compared(spark, monkeypatch):
+    data = np.frombuffer("".join([*doubled(1024), *doubled(1024)]).encode(), np.uint8)
+    at = np.array([0, 1024, 2048, 3072, 4096])
+    for hashes in (suffix_dedup.span_hashes, lambda data, starts, ends: (ends - starts).astype(np.uint64)):
+        monkeypatch.setattr(suffix_dedup, "span_hashes", hashes)
+        found = suffix_dedup._classes(data, at).tolist()
+        assert found[0] == found[2] != found[1] == found[3]
+    one, two = doubled(1024)
+    rows = [(1, one), (2, two), (3, "x" + one), (4, two + "y")]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == removed_by_force(rows)
+
+
+def test_long_texts_have_the_same_minimizers(monkeypatch):
+    pick = random.Random(8)
+    data = np.frombuffer("".join(pick.choice("abc ") for _ in range(5000)).encode(), np.uint8)
+    at = np.array([0, 5000])
+
+    def strings():
+        begin, end, hashes = suffix_dedup.minimizers(data, at)
+        return {(k, int(h)) for i, j, h in zip(begin.tolist(), end.tolist(), hashes.tolist(), strict=True) for k in range(i, j)}
+
+    want = strings()
+    monkeypatch.setattr(suffix_dedup, "SCAN", 700)
+    assert strings() == want
+    assert len(want) == 5000 - 49
+
+
+def test_spans_merge():
+    assert suffix_dedup.merged(np.array([[5, 9], [0, 3], [3, 4], [6, 7], [20, 30]])).tolist() == [[0, 4], [5, 9], [20, 30]]
+
+
 def test_suffix_dedup_awkward(awkward, no_rows):
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(awkward).collect()), key=str)
     assert got == removed_by_force(AWKWARD)
@@ -339,6 +505,35 @@ def test_sequences_stay_aligned():
     assert media.sequence("<p></p>") == []
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<figure><figcaption>first</figcaption><img src="sha256:a" alt="alt"></figure>', [("a", "first")]),
+        ('<figure><img src="sha256:a"><figcaption>cap<p>x</p></figure><p>after</p>tail', [("a", "cap x"), "after", "tail"]),
+        ("<figcaption>stray</figcaption><p>more</p>", ["stray", "more"]),
+        ('<p>one</p><noscript><img src="sha256:a">no</noscript>two', ["one", "two"]),
+        ('<div><noscript><img src="sha256:a">no</div>after', ["after"]),
+        ("<p>one</p><noscript>two<p>three", ["one", "two", "three"]),
+        ('<template><p>no</p></template><img src="sha256:a" alt="alt">', [("a", "alt")]),
+        ("one<script>if (a < b) { no }", ["one"]),
+        ('<figure><img src="sha256:a"><figure><img src="sha256:b"><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>', [("a", "out"), ("b", "in")]),
+        ('<figure><img src="sha256:a"><figcaption>open', [("a", "open")]),
+        ('<figure><img src="sha256:a" alt="alt"><figcaption> </figcaption></figure>', [("a", "alt")]),
+    ],
+)
+def test_captions_and_skipped_elements(page, want):
+    assert [x["text"] if x["kind"] == "text" else (x["digest"], x["caption"]) for x in media.sequence(page)] == want
+
+
+def test_features_follow_the_stored_width(spark):
+    payload = np.arange(64, dtype=np.uint8)
+    for width in (8, 16):
+        row = pa.RecordBatch.from_pylist([{"digest": "d", "stored": media.to_png(payload, width)}])
+        feature = next(media.feature_rows([row]))["feature"][0].as_py()
+        assert feature.endswith(f"{1 / 255:.4f}")
+        assert media.from_png(media.to_png(payload, width)).shape == (64 // width, width)
+
+
 def test_images_round_trip():
     for n in (1, 3, 40):
         payload = np.random.default_rng(n).integers(0, 256, 192 * n).astype(np.uint8)
