@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import input_bytes, materialise, mix, shingle_sets, table
 from .components import components
-from .sharing import binaries, buckets_for, keyed, reduced, shared, starts_of, values_of
+from .sharing import binaries, buckets_for, dealt, keyed, reduced, shared, starts_of, values_of
 
 WIDTH = 5
 #: Two sets link when OVER * intersection >= UNDER * union.
@@ -52,7 +52,7 @@ OVER, UNDER = 4, 3
 #: Of n shingles, those after the first quarter that count in the order's beginning: n // MORE.
 MORE = 4
 BLOCK_BYTES = 32 << 20
-HASH_BYTES = 24 << 20
+HASH_BYTES = 16 << 20
 #: Bytes of sets whose shingles are counted together before they travel.
 SET_BATCH = 8 << 20
 LEAF, FAN = 16, 8
@@ -285,7 +285,7 @@ def ranks(sets: DataFrame, buckets: int) -> DataFrame:
         return pa.Table.from_arrays([rows["batch"], rows["part"], binaries(values[keep], cuts), binaries(rank, cuts)], ["batch", "part", "hashes", "ranks"])
 
     counted = sets.select("batch", "set").mapInArrow(emit, "part int, batch long, hashes binary, ranks binary")
-    return counted.groupBy("part").applyInArrow(meet, "batch long, part int, hashes binary, ranks binary")
+    return dealt(counted, buckets).groupBy("part").applyInArrow(meet, "batch long, part int, hashes binary, ranks binary")
 
 
 def likely(sets: DataFrame, buckets: int) -> DataFrame:
@@ -355,11 +355,12 @@ def stars(sets: DataFrame, parts: int) -> DataFrame:
         _, _, pairs = edges(np.repeat(rows["doc_id"].to_numpy(), size), keys)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=LINKS)
 
-    return sets.select("doc_id", "hashes").mapInArrow(spread, "part int, doc_id long, least long, hashes binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    spread_out = sets.select("doc_id", "hashes").mapInArrow(spread, "part int, doc_id long, least long, hashes binary")
+    return dealt(spread_out, 2 * parts).groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
-def join_blocks(members: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
-    """Links inside blocks. members: part (int), block (long), doc_id, component; a part holds whole blocks."""
+def join_blocks(members: DataFrame, sets: DataFrame, parts: int, every: bool = False) -> DataFrame:
+    """Links inside blocks. members: part (0 to parts), block (long), doc_id, component; a part holds whole blocks."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids, block, component = (rows[c].to_numpy() for c in ("doc_id", "block", "component"))
@@ -374,7 +375,7 @@ def join_blocks(members: DataFrame, sets: DataFrame, every: bool = False) -> Dat
         return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=LINKS)
 
     sent = members.select("part", "block", "doc_id", "component").join(sets.select("doc_id", "set"), "doc_id")
-    return sent.groupBy("part").applyInArrow(run, "a long, b long")
+    return dealt(sent, parts).groupBy("part").applyInArrow(run, "a long, b long")
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -404,26 +405,26 @@ def group_links(groups: DataFrame, sets: DataFrame, every: bool = False) -> Data
 
     placed = weights.drop("bytes").join(info.select("group", "cuts"), "group").withColumn("cut", F.pmod("low", "cuts")).withColumn("component", F.col("doc_id"))
     first = placed.where("cuts = 1") if every else placed
-    links = materialise(join_blocks(blocks(first, 1, "group", "cut"), sets, every), "join-links")
+    links = materialise(join_blocks(blocks(first, 1, "group", "cut"), sets, parts, every), "join-links")
     if (most or 1) <= 1:
         return links
     large = materialise(placed.where("cuts > 1").drop("component"), "join-large")
     if every:
         asking = large.withColumn("component", F.col("doc_id")).withColumn("share", F.col("cut"))
-        return links.unionAll(materialise(join_blocks(blocks(tiles(asking, asking, sets), 3, "group", "cut", "share"), sets, True).distinct(), "join-links"))
+        return links.unionAll(materialise(join_blocks(blocks(tiles(asking, asking, sets), 3, "group", "cut", "share"), sets, parts, True).distinct(), "join-links"))
 
     def labelled(links: DataFrame) -> DataFrame:
         return large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
     # One document of each component of each cut, cut anew by the other min-hash if they are still many.
     one = labelled(links).where("doc_id = component").withColumn("cut", F.pmod("next", "cuts"))
-    links = materialise(links.unionAll(join_blocks(blocks(one, 2, "group", "cut"), sets)), "join-links")
+    links = materialise(links.unionAll(join_blocks(blocks(one, 2, "group", "cut"), sets, parts)), "join-links")
     now = materialise(labelled(links), "join-labels")
     largest = now.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     asking = now.join(largest, "group").where("component <> largest")
     asks = asking.join(sets.select("doc_id", F.octet_length("set").alias("bytes")), "doc_id").groupBy("group").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("shares"))
     asking = materialise(asking.join(materialise(asks, "join-asks"), "group").withColumn("share", F.pmod("low", "shares")), "join-asking")
-    return materialise(links.unionAll(join_blocks(blocks(tiles(asking, now, sets), 3, "group", "cut", "share"), sets)), "join-links")
+    return materialise(links.unionAll(join_blocks(blocks(tiles(asking, now, sets), 3, "group", "cut", "share"), sets, parts)), "join-links")
 
 
 def tiles(asking: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:

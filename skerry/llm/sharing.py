@@ -19,6 +19,8 @@ from .common import pieces
 
 #: Bytes of text whose documents are compared within a map task.
 BATCH_BYTES = 24 << 20
+#: Tasks of a step that meets by part, at most; with more parts, a task has several, one after the other.
+MOST_TASKS = 20_000
 ROWS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("mark", pa.bool_()), ("hashes", pa.binary())])
 FOUND = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("hashes", pa.binary())])
 
@@ -32,7 +34,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def buckets_for(size: int, per: int) -> int:
-    return int(min(1 << 22, max(16, size // per)))
+    return int(min(1 << 22, max(4, size // per)))
+
+
+def dealt(rows: DataFrame, parts: int, per: int = 1) -> DataFrame:
+    """Rows by their `part` (0 to parts): `per` parts, or more if there are very many, are one task's."""
+    return rows.repartitionById(min(MOST_TASKS, -(-parts // per)), "part")
 
 
 def reduced(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -130,4 +137,4 @@ def shared(rows: DataFrame, hashes_of: Callable[[pa.Array], Iterator[tuple[int,
         return pa.Table.from_arrays([rows["doc_id"].take(chosen), rows["rid"].take(chosen), binaries(full, np.append(cut, len(full)))], schema=FOUND)
 
     ddl = "part int, doc_id long, rid long, mark boolean, hashes binary"
-    return rows.select("doc_id", "rid", "text").mapInArrow(emit, ddl).groupBy("part").applyInArrow(meet, "doc_id long, rid long, hashes binary")
+    return dealt(rows.select("doc_id", "rid", "text").mapInArrow(emit, ddl), 2 * buckets).groupBy("part").applyInArrow(meet, "doc_id long, rid long, hashes binary")

@@ -7,7 +7,9 @@ and a minimizer that one document alone has can't lie in a repeated string (see
 Around the shared ones, the stretch of text whose strings they represent is cut out; equal
 stretches are combined, all but the smallest document's being covered by it: in a map batch,
 and again where they meet by minimizer. Stretches that have a minimizer to themselves then
-repeat nothing; of the others, each meeting place sorts the suffixes:
+repeat nothing. A minimizer of very many documents, as at the edge of a common passage, would
+bring all their stretches to one place; its strings go apart and meet by a hash of all their
+bytes. Of the others, each meeting place sorts the suffixes:
 
 1. sampled positions (those not divisible by 3) are sorted by triples of 8-byte words,
 2. their ranks are names, and triples of names are sorted again, three times as long, until
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import input_bytes, materialise, mix, pieces, same_spans, span_hashes, table
-from .sharing import binaries, buckets_for, keyed, reduced, shared, starts_of, values_of
+from .sharing import binaries, buckets_for, dealt, keyed, reduced, shared, starts_of, values_of
 
 LENGTH = 50
 GRAM = 24
@@ -42,6 +44,10 @@ GRAM = 24
 SCAN = 1 << 20
 #: Input bytes per range of minimizers, and per meeting place of stretches.
 HASH_BYTES, SORT_BYTES = 16 << 20, 768 << 10
+#: Meeting places that one task sorts, one after the other.
+PLACES = 8
+#: Documents from which on a minimizer is hot, and hot ones at most.
+HOT, HOT_MOST = 20_000, 1 << 20
 #: Bytes of text whose stretches a map task compares.
 BATCH_BYTES = 24 << 20
 STRETCH_DDL = "part int, doc_id long, rid long, solved boolean, spots binary, body binary"
@@ -184,10 +190,42 @@ def smallest_holder(data: np.ndarray, spots: np.ndarray, holder: np.ndarray, len
 # -- the operator ---------------------------------------------------------------
 
 
-def stretches(found: DataFrame, buckets: int, parts: int, length: int) -> DataFrame:
+def hot_ones(candidates: DataFrame) -> np.ndarray:
+    """Shared minimizers of so many documents that their stretches mustn't meet in one place; HOT_MOST at most.
+
+    A document counts once for each of its batches of hashes. More than HOT_MOST minimizers
+    can't each have a HOT_MOST-th of all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, _ = values_of(pa.array(b["hashes"].flatten()), "<u8")
+            keys, count = np.unique(values, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(count)], ["hash", "n"])
+
+    counts = candidates.select("hashes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where(F.col("n") >= HOT), "suffix-hot")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    told = counts.where(F.col("n") >= max(HOT, total // HOT_MOST)).select("hash").toArrow()
+    return np.sort(told["hash"].to_numpy().view(np.uint64))
+
+
+def split(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches with those in `hot` (a mask) cut into their single strings, which meet by a hash of all their bytes."""
+    if not hot.any():
+        return begin, end, hashes
+    strings = (end - begin - length + 1)[hot]
+    one = np.repeat(begin[hot], strings) + np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
+    own = span_hashes(data, one, one + length)
+    begin, end, hashes = (np.concatenate((x[~hot], y)) for x, y in ((begin, one), (end, one + length), (hashes, own)))
+    order = np.argsort(begin, kind="stable")
+    return begin[order], end[order], hashes[order]
+
+
+def stretches(found: DataFrame, buckets: int, parts: int, length: int, hot: np.ndarray) -> DataFrame:
     """STRETCH_DDL rows around the shared minimizers. found: doc_id, rid, text, hashes (list of binaries).
 
-    Solved rows carry spans of strings that a smaller document of the same batch holds; others
+    Strings with a minimizer in `hot` are stretches of their own. Solved rows carry spans of strings that a smaller document of the same batch holds; others
     carry the stretches of one document that meet in one part, with their first places.
     """
 
@@ -206,12 +244,13 @@ def stretches(found: DataFrame, buckets: int, parts: int, length: int) -> DataFr
                         if cut[i + 1] > cut[i]:
                             own = np.frombuffer(b"".join(b["hashes"][first + i].as_py()), np.uint64)
                             keep[cut[i] : cut[i + 1]] = np.isin(key[cut[i] : cut[i + 1]], own)
-                    begin, end, row = begin[keep], end[keep] + length - 1, row[keep]
+                    begin, end, hashes = split(data, begin[keep], end[keep] + length - 1, hashes[keep], np.isin(key[keep], hot), length)
+                    row = np.searchsorted(at, begin, "right") - 1
                     raw = data.tobytes()
                     bodies += [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
                     spots.append(begin - at[row])
                     sizes.append(end - begin)
-                    keys.append(hashes[keep])
+                    keys.append(hashes)
                     rows.append(row + first)
                 if not bodies:
                     continue
@@ -265,7 +304,7 @@ def _repeated(solved: tuple[np.ndarray, np.ndarray], again: np.ndarray, first: n
     return np.concatenate(more), np.concatenate(places)
 
 
-def spans_of(found: DataFrame, length: int) -> DataFrame:
+def spans_of(found: DataFrame, parts: int, length: int) -> DataFrame:
     """SPANS rows: start and end of strings that a smaller document holds. found: STRETCH_DDL rows."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -335,7 +374,7 @@ def spans_of(found: DataFrame, length: int) -> DataFrame:
             out.append(pa.Table.from_arrays([rows["doc_id"].take(chosen), rows["rid"].take(chosen), binaries(spans, np.append(cut, len(who)) * 2)], schema=SPANS))
         return pa.concat_tables(out)
 
-    return found.groupBy("part").applyInArrow(run, SPANS_DDL)
+    return dealt(found, 2 * parts, PLACES).groupBy("part").applyInArrow(run, SPANS_DDL)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -376,8 +415,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets, parts = buckets_for(size, HASH_BYTES), buckets_for(size, SORT_BYTES)
     candidates = shared(rows, row_hashes, buckets).join(copies, ["doc_id", "rid"], "left_anti")
     candidates = materialise(candidates.groupBy("doc_id", "rid").agg(F.collect_list("hashes").alias("hashes")), "suffix-candidates")
-    cut = stretches(rows.join(candidates, ["doc_id", "rid"]), buckets, parts, length)
-    spans = materialise(spans_of(cut, length), "suffix-spans")
+    cut = stretches(rows.join(candidates, ["doc_id", "rid"]), buckets, parts, length, hot_ones(candidates))
+    spans = materialise(spans_of(cut, parts, length), "suffix-spans")
     per = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
     marked = copies.withColumn("copy", F.lit(True)).join(per, ["doc_id", "rid"], "full")
     joined = rows.join(marked, ["doc_id", "rid"], "left")
