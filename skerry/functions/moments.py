@@ -26,7 +26,7 @@ def bin_of(seconds: Column, width: float, anchor: float = 0.0) -> Column:
     return (((seconds - F.lit(anchor)) / F.lit(width)).cast("long") * F.lit(int(width)) + F.lit(int(anchor))).cast("long")
 
 
-def name_stamp(name: Column) -> Column:
+def name_day(name: Column) -> Column:
     """The day (yyyy-MM-dd) that a name carries as 8 digits or 4-2-2, if it is a real one."""
     found = F.regexp_extract(name, r"(?:^|\D)((?:18|19|20)\d\d)[-_.]?(\d\d)[-_.]?(\d\d)(?:\D|$)", 0)
     digits = F.regexp_replace(found, r"\D", "")
@@ -39,6 +39,25 @@ def refined(claim: Column, precision: Column, estimate: Column) -> Column:
     return F.when((estimate >= claim) & (estimate < claim + width), estimate).otherwise(claim)
 
 
+def duration(text: Column) -> Column:
+    """Seconds of a length written as `64.33 sec` or `2.13 min`, else null."""
+    pattern = r"^\s*(\d+(?:\.\d+)?)\s*(sec|min)\w*\.?\s*$"
+    number = F.regexp_extract(text, pattern, 1).try_cast("double")
+    return F.when(F.regexp_extract(text, pattern, 2) == "min", number * 60).otherwise(number)
+
+
+def degrees(parts: Column, side: Column) -> Column:
+    """Degrees from an array of degrees, minutes and seconds; south and west are negative."""
+    whole = F.get(parts, F.lit(0)) + F.coalesce(F.get(parts, F.lit(1)), F.lit(0.0)) / 60 + F.coalesce(F.get(parts, F.lit(2)), F.lit(0.0)) / 3600
+    return F.when(F.upper(side).isin("S", "W"), -whole).otherwise(whole)
+
+
+def rational(text: Column) -> Column:
+    """A number, or a fraction like 1/250; null over a zero."""
+    up, down = F.substring_index(text, "/", 1).try_cast("double"), F.substring_index(text, "/", -1).try_cast("double")
+    return F.when(text.contains("/"), F.when(down != 0, up / down)).otherwise(text.try_cast("double"))
+
+
 def try_number(text: Column) -> Column:
     """A finite number, or null: no underscores, no words, at least one digit."""
     plain = F.trim(text)

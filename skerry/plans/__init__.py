@@ -1,3 +1,3 @@
 """The engine's queries; importing this registers them all."""
 
-from . import analytics, answers, documents, filters, graphs, joins, library, retrieval, streams, texts, timelines, vectors, windows  # noqa: F401
+from . import analytics, answers, documents, filters, gallery, graphs, joins, library, retrieval, streams, texts, timelines, vectors, whens, windows  # noqa: F401

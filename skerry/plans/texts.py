@@ -6,65 +6,46 @@ from pyspark.sql import functions as F
 
 from ..functions import moments, text
 from ..operators.ranking import tokens
-from ..sources.files import KINDS, kind_of_name
 from ..sources.tables import load
 from .registry import query
 
 PROMPT_SQL = """
-SELECT event_id, 'a cat, <lora:style' || (event_id % 7) || ':0.' || (event_id % 10) || ':0.5> sunny <lora:style' || (event_id % 7) || ':1> <lyco:tone' || (event_id % 3) || ':te=0.25:unet=0.75>' || chr(10) ||
- 'Negative prompt: blur, noise' || chr(10) || 'Steps: ' || (10 + event_id % 30) || ', Sampler: euler ' || event_type || ', Seed: ' || event_id || ', Size: 512x' || (256 + event_id % 5 * 64) || ', Note: "a, b: c"' AS prompt FROM events WHERE event_id <= 2000
+SELECT event_id, 'a cat, <lora:style' || (event_id % 7) || ':0.' || (event_id % 10) || ':0.5> sunny <LORA:STYLE' || (event_id % 7) || ':1> <lora::1> <LyCO:tone' || (event_id % 3) || ':te=0.25:unet=0.75> <lora:Solo:x>' || chr(10) ||
+ 'Negative prompt: blur, noise' || chr(10) || 'Steps: ' || (10 + event_id % 30) || ', Sampler: euler ' || event_type || ', CFG scale: 7.5, Hires-fix up/down: 2, Seed: ' || event_id || ', Size: 512x' || (256 + event_id % 5 * 64) || ', Note: "a, b: c"' AS prompt FROM events
 """
 
 
 def prompts(spark, sf_dir):
-    return prompts_of(load(spark, sf_dir, "events").where("event_id <= 2000"))
-
-
-def every_prompt(spark, sf_dir):
-    return prompts_of(load(spark, sf_dir, "events"))
-
-
-def prompts_of(events):
-    return events.selectExpr(
+    return load(spark, sf_dir, "events").selectExpr(
         "event_id",
-        """concat('a cat, <lora:style', event_id % 7, ':0.', event_id % 10, ':0.5> sunny <lora:style', event_id % 7, ':1> <lyco:tone', event_id % 3, ':te=0.25:unet=0.75>', char(10),
-        'Negative prompt: blur, noise', char(10), 'Steps: ', 10 + event_id % 30, ', Sampler: euler ', event_type, ', Seed: ', event_id, ', Size: 512x', 256 + event_id % 5 * 64, ', Note: "a, b: c"') as prompt""",
+        """concat('a cat, <lora:style', event_id % 7, ':0.', event_id % 10, ':0.5> sunny <LORA:STYLE', event_id % 7, ':1> <lora::1> <LyCO:tone', event_id % 3, ':te=0.25:unet=0.75> <lora:Solo:x>', char(10),
+        'Negative prompt: blur, noise', char(10), 'Steps: ', 10 + event_id % 30, ', Sampler: euler ', event_type, ', CFG scale: 7.5, Hires-fix up/down: 2, Seed: ', event_id, ', Size: 512x', 256 + event_id % 5 * 64, ', Note: "a, b: c"') as prompt""",
     )
 
 
 @query("txt_lora_tags", f"""
 WITH p AS ({PROMPT_SQL})
-SELECT event_id, 'style' || (event_id % 7) AS name, CAST('0.' || (event_id % 10) AS DOUBLE) AS te, 0.5::DOUBLE AS unet FROM p UNION ALL SELECT event_id, 'tone' || (event_id % 3), 0.25::DOUBLE, 0.75::DOUBLE FROM p
+SELECT event_id, 'style' || (event_id % 7) AS name, CAST('0.' || (event_id % 10) AS DOUBLE) AS te, 0.5::DOUBLE AS unet FROM p UNION ALL SELECT event_id, 'tone' || (event_id % 3), 0.25::DOUBLE, 0.75::DOUBLE FROM p UNION ALL SELECT event_id, 'Solo', 1.0::DOUBLE, 1.0::DOUBLE FROM p
 """)
 def txt_lora_tags(spark, sf_dir):
     return lora_tags(prompts(spark, sf_dir))
 
 
-@query("txt_lora_tags_whole")
-def txt_lora_tags_whole(spark, sf_dir):
-    return lora_tags(every_prompt(spark, sf_dir))
-
-
 def lora_tags(rows):
     found = rows.select("event_id", F.explode(text.network_tags(F.col("prompt"))).alias("t"))
     return found.select("event_id", "t.name", "t.te", "t.unet")
 
 
 @query("txt_infotext", f"""
-WITH p AS ({PROMPT_SQL}) SELECT event_id, regexp_extract(prompt, 'Steps: ([0-9]+)', 1) AS steps, regexp_extract(prompt, 'Sampler: ([^,]+)', 1) AS sampler, regexp_extract(prompt, 'Seed: ([0-9]+)', 1) AS seed, 'a, b: c' AS note FROM p
+WITH p AS ({PROMPT_SQL}) SELECT event_id, regexp_extract(prompt, 'Steps: ([0-9]+)', 1) AS steps, regexp_extract(prompt, 'Sampler: ([^,]+)', 1) AS sampler, regexp_extract(prompt, 'Seed: ([0-9]+)', 1) AS seed, '7.5' AS cfg, '2' AS hires, 'a, b: c' AS note FROM p
 """)
 def txt_infotext(spark, sf_dir):
     return infotexts(prompts(spark, sf_dir))
 
 
-@query("txt_infotext_whole")
-def txt_infotext_whole(spark, sf_dir):
-    return infotexts(every_prompt(spark, sf_dir))
-
-
 def infotexts(rows):
-    m = text.infotext(F.col("prompt"))
-    return rows.withColumn("m", m).select("event_id", F.col("m")["Steps"].alias("steps"), F.col("m")["Sampler"].alias("sampler"), F.col("m")["Seed"].alias("seed"), F.col("m")["Note"].alias("note"))
+    m = text.canonical_names(text.infotext(F.col("prompt")))
+    return rows.withColumn("m", m).select("event_id", *[F.col("m")[k].alias(n) for k, n in (("steps", "steps"), ("sampler", "sampler"), ("seed", "seed"), ("cfg", "cfg"), ("Hires-fix up/down", "hires"), ("Note", "note"))])
 
 
 @query("txt_sections", f"WITH p AS ({PROMPT_SQL}) SELECT event_id, split_part(prompt, chr(10), 1) AS positive, 'blur, noise' AS negative FROM p")
@@ -72,11 +53,6 @@ def txt_sections(spark, sf_dir):
     return sections(prompts(spark, sf_dir))
 
 
-@query("txt_sections_whole")
-def txt_sections_whole(spark, sf_dir):
-    return sections(every_prompt(spark, sf_dir))
-
-
 def sections(rows):
     return rows.withColumn("s", text.prompt_parts(F.col("prompt"))).select("event_id", "s.positive", "s.negative")
 
@@ -86,11 +62,6 @@ def txt_size(spark, sf_dir):
     return sizes(prompts(spark, sf_dir))
 
 
-@query("txt_size_whole")
-def txt_size_whole(spark, sf_dir):
-    return sizes(every_prompt(spark, sf_dir))
-
-
 def sizes(rows):
     size = r"Size: (\d+)x(\d+)"
     return rows.select("event_id", *[F.regexp_extract("prompt", size, k).cast("long").alias(n) for k, n in ((1, "width"), (2, "height"))])
@@ -117,15 +88,32 @@ def txt_trigram_search(spark, sf_dir):
     return load(spark, sf_dir, "documents").where(F.lower("text").contains("idio")).select("doc_id")
 
 
-@query("txt_humanised", "SELECT * FROM (VALUES ('sourceSize', 'Source size'), ('file_param.key', 'File param key'), ('steps', 'Steps')) t(key, shown)")
+@query("txt_prompt_sections", """
+SELECT event_id, ordinal, kind, spec, text FROM (
+SELECT event_id, 0 AS ordinal, 'main' AS kind, NULL::VARCHAR AS spec, 'a ' || event_type || ' by <random:a|b>' AS text FROM events
+UNION ALL SELECT event_id, 1, 'segment', 'face,<var:x>,0.5', 'sharp eyes' FROM events
+UNION ALL SELECT event_id, 2, 'refiner', NULL, 'fine < 3' FROM events WHERE event_id % 2 = 0)
+""")
+def txt_prompt_sections(spark, sf_dir):
+    refiner = F.when(F.col("event_id") % 2 == 0, F.lit("<Refiner>  fine < 3")).otherwise(F.lit("<refiner> "))
+    staged = F.concat(F.lit("a <lora:x:1>"), F.col("event_type"), F.lit(" <comment:no>by <random:a|b><segment[p]:face,<var:x>,0.5//cid=7> sharp\neyes "), refiner)
+    rows = load(spark, sf_dir, "events").select("event_id", F.explode(text.prompt_sections(staged)).alias("s"))
+    return rows.select("event_id", "s.*")
+
+
+@query("txt_humanised", """
+SELECT key, shown, count(*) AS n FROM (SELECT unnest([{'key': 'used_wildcards', 'shown': 'used wildcards'}, {'key': 'FocalPlaneXResolution', 'shown': 'Focal Plane X Resolution'}, {'key': 'file_param.key', 'shown': 'file param key'},
+{'key': 'sourceSize', 'shown': 'source Size'}, {'key': 'ISO', 'shown': 'ISO'}, {'key': '--', 'shown': '--'}, {'key': 'XMPToolkit', 'shown': 'XMP Toolkit'}], recursive := true) FROM part) GROUP BY key, shown
+""")
 def txt_humanised(spark, sf_dir):
-    keys = spark.createDataFrame([("sourceSize",), ("file_param.key",), ("steps",)], "key string")
-    return keys.select("key", text.humanised(F.col("key")).alias("shown"))
+    keys = F.array(*[F.lit(k) for k in ("used_wildcards", "FocalPlaneXResolution", "file_param.key", "sourceSize", "ISO", "--", "XMPToolkit")])
+    rows = load(spark, sf_dir, "part").select(F.explode(keys).alias("key"))
+    return rows.groupBy("key", text.humanised(F.col("key")).alias("shown")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("txt_match_score", "SELECT p_partkey, CASE WHEN starts_with(lower(p_type), 's') THEN 0 WHEN contains(' ' || regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g'), ' s') THEN 1 WHEN contains(lower(p_type), 's') THEN 2 END AS score FROM part")
+@query("txt_match_score", "SELECT p_partkey, CASE WHEN starts_with(lower(p_type), 's') THEN 0 WHEN contains(' ' || regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g'), ' s') THEN 1 WHEN contains(lower(p_type), 's') THEN 2 WHEN contains(lower(p_name), 's') OR contains(lower(p_brand), 's') THEN 3 END AS score FROM part")
 def txt_match_score(spark, sf_dir):
-    return load(spark, sf_dir, "part").select("p_partkey", text.match_score(F.col("p_type"), F.lit("s")).alias("score"))
+    return load(spark, sf_dir, "part").select("p_partkey", text.match_score(F.col("p_type"), F.lit("s"), F.array("p_name", "p_brand")).alias("score"))
 
 
 @query("url_parts", r"SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages")
@@ -160,25 +148,19 @@ def num_parse(spark, sf_dir):
     return raw.select("raw", moments.try_number(F.col("raw")).alias("value"))
 
 
-@query("when_name_stamp", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id <= 1000")
-def when_name_stamp(spark, sf_dir):
-    return name_stamps(load(spark, sf_dir, "events").where("event_id <= 1000"))
-
-
-@query("when_name_stamp_whole")
-def when_name_stamp_whole(spark, sf_dir):
-    return name_stamps(load(spark, sf_dir, "events"))
-
+@query("num_durations", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 100 + 0.25::DOUBLE WHEN 1 THEN (event_id % 100 + 0.5::DOUBLE) * 60 WHEN 2 THEN 1.0::DOUBLE * (event_id % 100) END AS seconds FROM events")
+def num_durations(spark, sf_dir):
+    n = F.col("event_id") % 100
+    written = F.when(F.col("event_id") % 4 == 0, F.concat(n, F.lit(".25 sec"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit(" "), n, F.lit(".5 min"))).when(F.col("event_id") % 4 == 2, F.concat(n, F.lit(" seconds"))).otherwise(F.lit("a while"))
+    return load(spark, sf_dir, "events").select("event_id", moments.duration(written).alias("seconds"))
 
-def name_stamps(events):
-    name = F.concat(F.lit("IMG_"), F.date_format("ts", "yyyyMMdd"), F.lit("_"), F.date_format("ts", "HHmmss"), F.lit(".jpg"))
-    return events.select("event_id", moments.name_stamp(name).alias("day"))
 
-
-@query("when_folder", "SELECT path, day FROM (VALUES ('/a/2024-02-30/x', NULL), ('/a/2023-05-06/x', '2023-05-06'), ('/20230506x/', '2023-05-06'), ('/1799-01-01/', NULL), ('/b/c', NULL)) t(path, day)")
-def when_folder(spark, sf_dir):
-    paths = spark.createDataFrame([(x,) for x in ("/a/2024-02-30/x", "/a/2023-05-06/x", "/20230506x/", "/1799-01-01/", "/b/c")], "path string")
-    return paths.select("path", moments.name_stamp(F.col("path")).alias("day"))
+@query("geo_degrees", "SELECT o_orderkey, round((o_orderkey % 90 + (o_orderkey % 60) / 60.0::DOUBLE + 30 / 3600.0::DOUBLE) * CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END, 9) AS degrees, CASE WHEN o_orderkey % 5 <> 0 THEN round(1.0::DOUBLE / (o_orderkey % 5), 9) END AS exposure FROM orders")
+def geo_degrees(spark, sf_dir):
+    key = F.col("o_orderkey")
+    at = F.array((key % 90).cast("double"), (key % 60).cast("double"), F.lit(30.0))
+    side = F.when(key % 2 == 0, "s").otherwise("N")
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.round(moments.degrees(at, side), 9).alias("degrees"), F.round(moments.rational(F.concat(F.lit("1/"), key % 5)), 9).alias("exposure"))
 
 
 @query("when_refine", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN epoch(o_orderdate) + 3600 ELSE epoch(o_orderdate) END AS at FROM orders")
@@ -188,26 +170,6 @@ def when_refine(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", moments.refined(claim, F.lit("day"), estimate).alias("at"))
 
 
-@query("when_judged", """
-SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'second' WHEN quality = 1 THEN 'day' ELSE 'year' END AS precision, CASE WHEN quality = 1 AND toxic = 0 THEN 0.9::DOUBLE WHEN quality = 1 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS certainty,
- concat_ws(',', CASE WHEN quality = 1 THEN 'name' END, CASE WHEN toxic = 0 THEN 'folder' END) AS supports FROM labels
-""")
-def when_judged(spark, sf_dir):
-    good, clean = F.col("quality") == 1, F.col("toxic") == 0
-    precision = F.when(good & clean, "second").when(good, "day").otherwise("year")
-    certainty = F.when(good & clean, F.lit(0.9)).when(good, F.lit(0.6)).otherwise(F.lit(0.4))
-    supports = F.array_join(F.array_compact(F.array(F.when(good, "name"), F.when(clean, "folder"))), ",")
-    return load(spark, sf_dir, "labels").select("doc_id", precision.alias("precision"), certainty.alias("certainty"), supports.alias("supports"))
-
-
 @query("sha_identity", "SELECT doc_id, substr(sha256(text), 1, 16) AS short FROM documents")
 def sha_identity(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("short"))
-
-
-@query("scan_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'document' END AS kind FROM documents) GROUP BY kind")
-def scan_kinds(spark, sf_dir):
-    suffix = F.element_at(F.array(F.lit("PNG"), F.lit("mp4"), F.lit("pdf"), F.lit("zzz")), (F.col("doc_id") % 4 + 1).cast("int"))
-    named = load(spark, sf_dir, "documents").select(F.concat_ws(".", F.lit("a.b"), suffix).alias("name"))
-    assert {"image", "video", "document"} <= set(KINDS)
-    return named.groupBy(kind_of_name(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
