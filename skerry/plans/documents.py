@@ -73,14 +73,8 @@ def doc_parts_changed(spark, sf_dir):
     return sets.select("l_orderkey", F.array_max(F.array_except("b", "a")).alias("added"), F.array_max(F.array_except("a", "b")).alias("removed"))
 
 
-@query("doc_unresolved_refs", "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("doc_unresolved_refs", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def doc_unresolved_refs(spark, sf_dir):
-    wanted = load(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id").distinct()
-    return documents.unresolved(wanted, load(spark, sf_dir, "labels"), "doc_id")
-
-
-@query("doc_unresolved_refs_whole")
-def doc_unresolved_refs_whole(spark, sf_dir):
     wanted = load(spark, sf_dir, "documents").select("doc_id").distinct()
     return documents.unresolved(wanted, load(spark, sf_dir, "labels"), "doc_id")
 

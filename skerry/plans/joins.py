@@ -47,16 +47,9 @@ def join_self_bridge(spark, sf_dir):
 
 @query("join_twins", """
 WITH g AS (SELECT doc_id, sha256(text) AS h FROM documents)
-SELECT a.doc_id, b.doc_id AS twin_id FROM g a JOIN g b ON a.h = b.h AND a.doc_id <> b.doc_id WHERE a.doc_id <= 300
+SELECT doc_id, group_id, members FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS group_id, count(*) OVER (PARTITION BY h) AS members FROM g WHERE h IS NOT NULL) WHERE members > 1
 """)
 def join_twins(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    asked = docs.where("doc_id <= 300")
-    return asked.join(docs.withColumnRenamed("doc_id", "twin_id"), "h").where("doc_id <> twin_id").select("doc_id", "twin_id")
-
-
-@query("join_twin_groups")
-def join_twin_groups(spark, sf_dir):
     """All documents that have a twin, with their group's smallest id and size: twins are those of one group."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).where("h is not null")
     groups = docs.groupBy("h").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -154,17 +147,12 @@ def scan_result(spark, sf_dir):
 
 
 @query("join_region_match", """
-WITH b AS (SELECT event_id, user_id % 10 AS x, event_id % 7 AS y, 4.0::DOUBLE + event_id % 3 AS w, 4.0::DOUBLE AS h, user_id FROM events WHERE event_id <= 800),
+WITH b AS (SELECT event_id, user_id % 10 AS x, event_id % 7 AS y, 4.0::DOUBLE + event_id % 3 AS w, 4.0::DOUBLE AS h, user_id FROM events),
 p AS (SELECT a.event_id AS a_id, c.event_id AS c_id, greatest(0.0::DOUBLE, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0.0::DOUBLE, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS i, a.w * a.h + c.w * c.h AS s
  FROM b a JOIN b c ON a.user_id = c.user_id AND a.event_id < c.event_id)
 SELECT a_id, c_id, i / (s - i) AS iou FROM p WHERE i / (s - i) >= 0.3
 """)
 def join_region_match(spark, sf_dir):
-    return region_matches(load(spark, sf_dir, "events").where("event_id <= 800"))
-
-
-@query("join_region_match_whole")
-def join_region_match_whole(spark, sf_dir):
     return region_matches(load(spark, sf_dir, "events"))
 
 
@@ -215,14 +203,9 @@ def place_chain(spark, sf_dir):
 
 @query("join_producer_contest", """
 WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
-SELECT a.l_suppkey AS left_id, b.l_suppkey AS right_id, count(*) AS shared FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey WHERE a.l_partkey <= 200 GROUP BY 1, 2
+SELECT a.l_suppkey AS left_id, b.l_suppkey AS right_id, count(*) AS shared FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2
 """)
 def join_producer_contest(spark, sf_dir):
-    return contests(load(spark, sf_dir, "lineitem").where("l_partkey <= 200"))
-
-
-@query("join_producer_contest_whole")
-def join_producer_contest_whole(spark, sf_dir):
     return contests(load(spark, sf_dir, "lineitem"))
 
 

@@ -88,13 +88,8 @@ def queue_claimable(spark, sf_dir):
     return rows.where((F.col("event_type") == "view") & (F.col("us") + 60_000_000 <= now) & (F.coalesce("before", F.lit("purchase")) == "purchase")).select("event_id")
 
 
-@query("settings_merged", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"size\":60}' AS settings FROM events WHERE event_id <= 500")
+@query("settings_merged", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"size\":60}' AS settings FROM events")
 def settings_merged(spark, sf_dir):
-    return merged_settings(load(spark, sf_dir, "events").where("event_id <= 500"))
-
-
-@query("settings_merged_whole")
-def settings_merged_whole(spark, sf_dir):
     return merged_settings(load(spark, sf_dir, "events"))
 
 
@@ -109,16 +104,11 @@ def merged_settings(events):
 
 
 @query("run_across", """
-WITH s AS (SELECT l_suppkey % 10 AS g, l_partkey % 7 AS h, l_orderkey FROM lineitem WHERE l_orderkey <= 500),
+WITH s AS (SELECT l_suppkey % 10 AS g, l_partkey % 7 AS h, l_orderkey FROM lineitem),
 a AS (SELECT g, count(*) AS n FROM s GROUP BY g), b AS (SELECT h, count(*) AS n FROM s GROUP BY h)
 SELECT g, h, any_value(a.n) AS left_size, any_value(b.n) AS right_size, count(*) AS shared FROM s JOIN a USING (g) JOIN b USING (h) GROUP BY g, h
 """)
 def run_across(spark, sf_dir):
-    return clusters_across(load(spark, sf_dir, "lineitem").where("l_orderkey <= 500"))
-
-
-@query("run_across_whole")
-def run_across_whole(spark, sf_dir):
     return clusters_across(load(spark, sf_dir, "lineitem"))
 
 

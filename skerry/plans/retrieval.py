@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vector import doubles, dot, unit
 from ..operators.ranking import bm25, fused, head, ranked, tokens
 from ..operators.similarity import scores
 from ..sources.tables import load
@@ -20,20 +19,12 @@ d AS (SELECT word, count(*) AS df FROM f GROUP BY word),
 b AS (SELECT doc_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score FROM f JOIN d USING (word), s GROUP BY doc_id)
 """
 SPACES_SQL = f"""
-{UNIT_SQL}, q AS (SELECT vec_id AS query_id, v FROM u WHERE vec_id IN (1, 2, 3)),
+{UNIT_SQL}, q AS (SELECT vec_id AS query_id, v FROM u WHERE vec_id % 50 = 0),
 sc AS (SELECT query_id, u.vec_id, round(list_dot_product(q.v, u.v), 9) AS score FROM q, u WHERE q.query_id <> u.vec_id)
 """
 
 
-def spaces(spark, sf_dir):
-    """Scores of all vectors against three stated queries, each a space of its own."""
-    u = load(spark, sf_dir, "embeddings").select("vec_id", "label", unit(doubles(F.col("embedding"))).alias("v"))
-    asked = u.where("vec_id in (1, 2, 3)").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    # Three rows, by their ids.
-    return u.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-
-
-def every_space(spark, sf_dir, allowed=None):
+def spaces(spark, sf_dir, allowed=None):
     """Scores of the allowed vectors against all stated queries, the rows whose id is divisible by 50."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     among = vectors if allowed is None else vectors.join(allowed, "vec_id", "left_semi")
@@ -58,11 +49,6 @@ def ret_rrf(spark, sf_dir):
     return fusions(spaces(spark, sf_dir))
 
 
-@query("ret_rrf_whole")
-def ret_rrf_whole(spark, sf_dir):
-    return fusions(every_space(spark, sf_dir))
-
-
 def fusions(scored):
     found = fused(ranked(scored, "vec_id", "query_id"), "vec_id")
     return found.select("vec_id", F.round("fusion", 9).alias("fusion"), "spaces")
@@ -70,13 +56,7 @@ def fusions(scored):
 
 @query("ret_rrf_constrained", f"WITH {SPACES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS position FROM sc WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) SELECT vec_id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS fusion FROM r GROUP BY vec_id ORDER BY sum(1.0::DOUBLE / (60 + position)) DESC, vec_id LIMIT 50")
 def ret_rrf_constrained(spark, sf_dir):
-    # The constraint comes before positions are given.
-    return best_fusions(spaces(spark, sf_dir).join(english(spark, sf_dir), "vec_id", "left_semi"))
-
-
-@query("ret_rrf_constrained_whole")
-def ret_rrf_constrained_whole(spark, sf_dir):
-    return best_fusions(every_space(spark, sf_dir, english(spark, sf_dir)))
+    return best_fusions(spaces(spark, sf_dir, english(spark, sf_dir)))
 
 
 def best_fusions(scored):
@@ -92,39 +72,19 @@ def ret_head_cut(spark, sf_dir):
     return head(spaces(spark, sf_dir), "query_id").where("answers").select("query_id", "vec_id", "score")
 
 
-@query("ret_head_cut_whole")
-def ret_head_cut_whole(spark, sf_dir):
-    return head(every_space(spark, sf_dir), "query_id").where("answers").select("query_id", "vec_id", "score")
-
-
 @query("ret_standing", f"WITH {HEAD_SQL} SELECT vec_id, max(round(CASE WHEN best > middle THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (score - middle) / (best - middle))) ELSE 0.0::DOUBLE END, 4)) AS relevance FROM sc JOIN l USING (query_id) GROUP BY vec_id")
 def ret_standing(spark, sf_dir):
     return head(spaces(spark, sf_dir), "query_id").groupBy("vec_id").agg(F.max("relevance").alias("relevance"))
 
 
-@query("ret_standing_whole")
-def ret_standing_whole(spark, sf_dir):
-    return head(every_space(spark, sf_dir), "query_id").groupBy("vec_id").agg(F.max("relevance").alias("relevance"))
-
-
 @query("ret_answering_set", f"WITH {HEAD_SQL} SELECT DISTINCT vec_id FROM sc JOIN l USING (query_id) WHERE best > middle AND score >= middle + 0.5 * (best - middle)")
 def ret_answering_set(spark, sf_dir):
     return head(spaces(spark, sf_dir), "query_id").where("answers").select("vec_id").distinct()
 
 
-@query("ret_answering_set_whole")
-def ret_answering_set_whole(spark, sf_dir):
-    return head(every_space(spark, sf_dir), "query_id").where("answers").select("vec_id").distinct()
-
-
 @query("ret_neighbours", f"WITH {SPACES_SQL} SELECT query_id, vec_id, place FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM sc WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label < 5)) WHERE place <= 10")
 def ret_neighbours(spark, sf_dir):
-    return nearest(spaces(spark, sf_dir).join(in_role(spark, sf_dir), "vec_id", "left_semi"))
-
-
-@query("ret_neighbours_whole")
-def ret_neighbours_whole(spark, sf_dir):
-    return nearest(every_space(spark, sf_dir, in_role(spark, sf_dir)))
+    return nearest(spaces(spark, sf_dir, in_role(spark, sf_dir)))
 
 
 def nearest(scored):
