@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .answer import ordered
+
 #: Fixed values of the scores.
 K1, B, RRF_DEPTH, HEAD_SHARE = 1.2, 0.75, 60, 0.5
 
@@ -29,10 +31,23 @@ def bm25(docs: DataFrame, id: str, text: str, words: list[str]) -> DataFrame:
     return joined.groupBy(id).agg(F.sum(weight).alias("score"))
 
 
-def ranked(scores: DataFrame, id: str, space: str | None = None) -> DataFrame:
-    """Position in each space, from 1: best score first, ties by id."""
-    w = Window.partitionBy(space) if space else Window.partitionBy()
-    return scores.withColumn("position", F.row_number().over(w.orderBy(F.desc("score"), id)).cast("long"))
+def ranked(scores: DataFrame, id: str, space: str | None = None, most: int | None = None) -> DataFrame:
+    """Position in each space, from 1: best score first, ties by id; with `most`, only so many of each.
+
+    The best of a space are a window whose head Spark cuts off before the shuffle. Positions of
+    all are counted over range partitions of (space, score, id): a space may lie in many tasks,
+    and what comes before a row is its place in all spaces less where its own begins.
+    """
+    order = [F.desc("score"), F.col(id)]
+    if most is not None:
+        w = Window.partitionBy(space) if space else Window.partitionBy()
+        return scores.withColumn("position", F.row_number().over(w.orderBy(*order)).cast("long")).where(F.col("position") <= most)
+    if space is None:
+        return ordered(scores, order, "position")
+    placed = ordered(scores, [F.col(space), *order], "__all")
+    # One row a space.
+    begins = placed.groupBy(F.col(space).alias("__space")).agg((F.min("__all") - 1).alias("__begin"))
+    return placed.join(begins, placed[space] == begins["__space"]).withColumn("position", F.col("__all") - F.col("__begin")).drop("__all", "__space", "__begin")
 
 
 def fused(rankings: DataFrame, id: str, depth: int = RRF_DEPTH) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import micros
+from ..storage import materialise
 
 
 def islands(rows: DataFrame, starts: Column, order: list, by: list[str], name: str = "island") -> DataFrame:
@@ -35,10 +36,16 @@ def global_sessions(events: DataFrame, moment: str, id: str, gap_us: int, bucket
     inside = Window.partitionBy("bucket").orderBy("us", id)
     before = F.lag("us").over(inside)
     runs = islands(rows.withColumn("new", before.isNull() | (F.col("us") - before > gap_us)), F.col("new"), ["us", id], ["bucket"], "run")
-    runs = runs.groupBy("bucket", "run").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
+    runs = materialise(runs.groupBy("bucket", "run").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")), "runs")
+    # A run inside a bucket can't be continued; only a bucket's first and last run meet those of other buckets.
+    ends = Window.partitionBy("bucket")
+    edged = runs.withColumn("lo", F.min("run").over(ends)).withColumn("hi", F.max("run").over(ends))
+    inner = edged.where("run > lo and run < hi").select("first_us", "last_us", "n")
+    outer = edged.where("run = lo or run = hi").select("first_us", "last_us", "n")
     whole = Window.orderBy("first_us")
-    joined = islands(runs.withColumn("new", F.lag("last_us").over(whole).isNull() | (F.col("first_us") - F.lag("last_us").over(whole) > gap_us)), F.col("new"), ["first_us"], [], "session")
-    return joined.groupBy("session").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("members")).where(F.col("members") >= least).select("first_us", "last_us", "members")
+    joined = islands(outer.withColumn("new", F.lag("last_us").over(whole).isNull() | (F.col("first_us") - F.lag("last_us").over(whole) > gap_us)), F.col("new"), ["first_us"], [], "session")
+    chained = joined.groupBy("session").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("members"))
+    return chained.select("first_us", "last_us", "members").unionAll(inner.select("first_us", "last_us", F.col("n").alias("members"))).where(F.col("members") >= least)
 
 
 def merged(intervals: DataFrame, by: str, start: str, end: str) -> DataFrame:

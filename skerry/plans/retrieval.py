@@ -89,8 +89,7 @@ def ret_neighbours(spark, sf_dir):
 
 def nearest(scored):
     """Each query's ten best, by place."""
-    found = ranked(scored, "vec_id", "query_id")
-    return found.where("position <= 10").select("query_id", "vec_id", F.col("position").alias("place"))
+    return ranked(scored, "vec_id", "query_id", 10).select("query_id", "vec_id", F.col("position").alias("place"))
 
 
 @query("ret_caption_match", r"SELECT doc_id FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS t FROM documents) WHERE list_contains(t, 'there') AND list_contains(t, 'than')")

@@ -41,7 +41,7 @@ BITS_SQL = "h AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CA
 @query("vec_hamming_pairs", f"WITH {BITS_SQL} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.bits, b.bits)) AS BIGINT) AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 16")
 def vec_hamming_pairs(spark, sf_dir):
     hashes = load(spark, sf_dir, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("bits"))
-    return hamming_pairs(hashes, "vec_id", "bits", 16, 8)
+    return hamming_pairs(hashes, "vec_id", "bits", 16)
 
 
 @query("vec_centroid_by_label", f"""

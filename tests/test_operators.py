@@ -92,12 +92,20 @@ def test_range_pairs_over_blocks(spark):
     u = np.divide(u, n, out=u, where=n > 0)
     want = {(i * 10 + 5, j * 10 + 5) for i, j in itertools.combinations(range(60), 2) if u[i] @ u[j] >= 0.5}
     assert {(r.a, r.b) for r in range_pairs(df, "id", "v", 0.5, block_rows=13).collect()} == want
+    for pivots in (1, 6, 64):
+        assert {(r.a, r.b) for r in range_pairs(df, "id", "v", 0.5, block_rows=7, pivots=pivots).collect()} == want
+    low = {(i * 10 + 5, j * 10 + 5) for i, j in itertools.combinations(range(60), 2) if u[i] @ u[j] >= -0.2}
+    assert {(r.a, r.b) for r in range_pairs(df, "id", "v", -0.2, block_rows=13).collect()} == low
+    got = {(r.query_id, r.place): r.id for r in top_k(df, df, "id", "v", 4, block_rows=11, block_queries=9).collect()}
+    for i in range(60):
+        order = sorted((j for j in range(60) if j != i), key=lambda j: (-float(u[i] @ u[j]), j))
+        assert [got[i * 10 + 5, k] for k in range(1, 5)] == [j * 10 + 5 for j in order[:4]]
     best = top_k(df, df.where("id = 15"), "id", "v", 3).orderBy("place").collect()
     s = u @ u[1]
     assert [r.id for r in best] == [i * 10 + 5 for i in sorted((i for i in range(60) if i != 1), key=lambda i: -s[i])[:3]]
 
 
-@pytest.mark.parametrize(("radius", "bands"), [(3, 4), (9, 8), (16, 8)])
+@pytest.mark.parametrize(("radius", "bands"), [(3, 4), (4, 5), (9, 0), (16, 0)])
 def test_hamming_pairs_lose_none(spark, radius, bands):
     pick = random.Random(radius)
     base = [pick.getrandbits(64) for _ in range(6)]
@@ -107,6 +115,18 @@ def test_hamming_pairs_lose_none(spark, radius, bands):
     assert got == {(i, j) for i, j in itertools.combinations(range(len(values)), 2) if (values[i] ^ values[j]).bit_count() <= radius}
 
 
+def test_distant_cells_are_not_compared(spark):
+    """Vectors in two far bundles: no tile joins them."""
+    rows = [(i, [1.0, 0.01 * (i % 7), 0.0]) for i in range(40)] + [(100 + i, [-1.0, 0.01 * (i % 7), 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert range_pairs(df, "id", "v", 0.9, block_rows=16).count() == 2 * 40 * 39 // 2
+
+
+def test_narrow_bands_are_refused(spark):
+    with pytest.raises(ValueError, match="bands"):
+        hamming_pairs(spark.createDataFrame([(1, 1)], "id long, h long"), "id", "h", 16, 8)
+
+
 def test_sign_bits(spark):
     one = spark.createDataFrame([([1.0] * 63 + [2.0],), ([-1.0] * 64,), ([1.0] + [-1.0] * 63,)], "v array<double>")
     assert [r.b for r in one.select(sign_bits(F.col("v")).alias("b")).collect()] == [-1, 0, 1]
@@ -145,7 +165,7 @@ def test_tags_and_tails(spark):
 
 def test_stamps(spark):
     names = [("IMG_20240229_1.jpg", "2024-02-29"), ("x-2023.02.30", None), ("120240101", None), ("1850-12-31", "1850-12-31")]
-    got = spark.createDataFrame([(n,) for n, _ in names], "n string").select(moments.name_stamp(F.col("n")).alias("d")).collect()
+    got = spark.createDataFrame([(n,) for n, _ in names], "n string").select(moments.name_day(F.col("n")).alias("d")).collect()
     assert [r.d for r in got] == [d for _, d in names]
 
 
