@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The first stage's classifier isn't expressible in SQL; the tests compare with a brute-force version.
+#: The first stage's classifier isn't expressible in SQL; tests/llm compares all stages with a brute-force version.
 ORACLE_SQL = None
 
 
