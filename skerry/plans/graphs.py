@@ -61,17 +61,6 @@ def cluster_health(spark, sf_dir):
     )
 
 
-@query("cluster_gates", f"""
-WITH RECURSIVE {PARTS_SQL}, z AS (SELECT component, count(*) AS n FROM c GROUP BY component)
-SELECT CASE WHEN count(*) = 0 THEN 'empty' WHEN sum(n) < 20 THEN 'ok' WHEN max(n)::DOUBLE / sum(n) > 0.5 THEN 'one cluster holds most' ELSE 'ok' END AS verdict FROM z
-""")
-def cluster_gates(spark, sf_dir):
-    sizes = graph.components(edges(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    n, largest, total = F.count(F.lit(1)), F.max("n"), F.sum("n")
-    verdict = F.when(n == 0, "empty").when(total < 20, "ok").when(largest / total > 0.5, "one cluster holds most").otherwise("ok")
-    return sizes.agg(verdict.alias("verdict"))
-
-
 @query("cluster_agreement", f"""
 WITH RECURSIVE {PARTS_SQL}, b AS (SELECT component, label FROM c JOIN embeddings ON vec_id = node), t AS (SELECT label, count(DISTINCT component) AS n, count(*) AS m FROM b GROUP BY label HAVING count(*) >= 2), x AS (SELECT component, count(DISTINCT label) AS n FROM b GROUP BY component)
 SELECT (SELECT count(*) FROM t WHERE n = 1) AS held, (SELECT count(*) FROM t WHERE n > 1) AS split, (SELECT count(*) FROM x WHERE n > 1) AS mixing

@@ -129,10 +129,12 @@ o AS (SELECT CASE WHEN doc_id % 5 = 0 THEN doc_id + 1000000 ELSE doc_id END AS d
 m AS (SELECT o.doc_id FROM o JOIN s ON o.doc_id = s.doc_id AND o.sha = s.sha),
 o1 AS (SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM m)), s1 AS (SELECT * FROM s WHERE doc_id NOT IN (SELECT doc_id FROM m)),
 c AS (SELECT a.sha, a.n AS o_n, b.n AS s_n, a.k AS o_key, b.k AS s_key FROM (SELECT sha, count(*) AS n, min(doc_id) AS k FROM o1 GROUP BY sha) a JOIN (SELECT sha, count(*) AS n, min(doc_id) AS k FROM s1 GROUP BY sha) b ON a.sha = b.sha),
-v AS (SELECT o_key, s_key FROM c WHERE o_n = 1 AND s_n = 1),
-r AS (SELECT o2.doc_id AS o_key, s2.doc_id AS s_key, o2.sha FROM (SELECT * FROM o1 WHERE doc_id NOT IN (SELECT o_key FROM v)) o2 FULL JOIN (SELECT * FROM s1 WHERE doc_id NOT IN (SELECT s_key FROM v)) s2 ON o2.doc_id = s2.doc_id),
+v AS (SELECT o_key, s_key FROM c WHERE s_n = 1),
+u AS (SELECT doc_id FROM o1 WHERE sha IN (SELECT sha FROM c WHERE s_n > 1)),
+r AS (SELECT o2.doc_id AS o_key, s2.doc_id AS s_key, o2.sha FROM (SELECT * FROM o1 WHERE doc_id NOT IN (SELECT o_key FROM v) AND doc_id NOT IN (SELECT doc_id FROM u)) o2 FULL JOIN (SELECT * FROM s1 WHERE doc_id NOT IN (SELECT s_key FROM v)) s2 ON o2.doc_id = s2.doc_id),
 x AS (SELECT doc_id AS o_key, doc_id AS s_key, 'matched' AS outcome FROM m UNION ALL SELECT o_key, s_key, 'moved' FROM v
-UNION ALL SELECT o_key, s_key, CASE WHEN o_key IS NULL THEN 'missing' WHEN s_key IS NOT NULL THEN 'replaced' WHEN sha IN (SELECT sha FROM c WHERE o_n > 1 OR s_n > 1) THEN 'ambiguous' ELSE 'new' END FROM r)
+UNION ALL SELECT doc_id, NULL, 'ambiguous' FROM u
+UNION ALL SELECT o_key, s_key, CASE WHEN o_key IS NULL THEN 'missing' WHEN s_key IS NOT NULL THEN 'replaced' ELSE 'new' END FROM r)
 """
 
 
@@ -184,15 +186,13 @@ w AS (SELECT id AS top, id FROM t UNION ALL SELECT w.top, t.id FROM w JOIN t ON
 SELECT top, CAST(coalesce(sum(n), 0) AS BIGINT) AS members FROM w LEFT JOIN c USING (id) GROUP BY top
 """)
 def recursive_subtree_counts(spark, sf_dir):
-    load(spark, sf_dir, "region").createOrReplaceTempView("skerry_region")
-    load(spark, sf_dir, "nation").createOrReplaceTempView("skerry_nation")
-    load(spark, sf_dir, "customer").createOrReplaceTempView("skerry_customer")
-    return spark.sql("""
-        WITH RECURSIVE t(id, parent) AS (SELECT concat('r', r_regionkey), cast(null as string) FROM skerry_region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM skerry_nation),
+    sql = """
+        WITH RECURSIVE t(id, parent) AS (SELECT concat('r', r_regionkey), cast(null as string) FROM {region} UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM {nation}),
         w(top, id) AS (SELECT id, id FROM t UNION ALL SELECT w.top, t.id FROM w JOIN t ON t.parent = w.id),
-        c AS (SELECT concat('n', c_nationkey) AS id, count(*) AS n FROM skerry_customer GROUP BY 1)
+        c AS (SELECT concat('n', c_nationkey) AS id, count(*) AS n FROM {customer} GROUP BY 1)
         SELECT top, coalesce(sum(n), 0) AS members FROM w LEFT JOIN c ON w.id = c.id GROUP BY top
-    """)
+    """
+    return spark.sql(sql, **{name: load(spark, sf_dir, name) for name in ("region", "nation", "customer")})
 
 
 @query("place_chain", "SELECT s_suppkey, n_name || ' < ' || r_name AS chain FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

@@ -43,51 +43,6 @@ def person_gallery(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("exemplar"))
 
 
-@query("name_votes", """
-WITH v AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 80), x AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 1),
-n AS (SELECT * FROM v EXCEPT SELECT * FROM x)
-SELECT user_id, min(event_type) AS name FROM n GROUP BY user_id HAVING count(*) = 1
-""")
-def name_votes(spark, sf_dir):
-    events = load(spark, sf_dir, "events")
-    votes = events.where("value > 80").select("user_id", "event_type").distinct()
-    vetoes = events.where("value < 1").select("user_id", "event_type").distinct()
-    names = votes.join(vetoes, ["user_id", "event_type"], "left_anti")
-    return names.groupBy("user_id").agg(F.min("event_type").alias("name"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-
-
-@query("cluster_choose_primary", "SELECT run FROM (SELECT user_id % 4 AS run, count(*) FILTER (event_type = 'purchase') - count(*) FILTER (event_type = 'click') AS agreement FROM events GROUP BY 1) ORDER BY agreement DESC, run LIMIT 1")
-def cluster_choose_primary(spark, sf_dir):
-    kind = F.col("event_type")
-    runs = load(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("run")).agg((F.count_if(kind == "purchase") - F.count_if(kind == "click")).alias("agreement"))
-    return runs.orderBy(F.desc("agreement"), "run").limit(1).select("run")
-
-
-@query("export_verdicts", "SELECT doc_id, CASE WHEN quality = 1 THEN 'right' ELSE 'wrong' END AS verdict, NULL::VARCHAR AS note FROM labels")
-def export_verdicts(spark, sf_dir):
-    told = load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "right").otherwise("wrong").alias("verdict"))
-    include_notes = False
-    return told.withColumn("note", F.when(F.lit(include_notes), F.col("verdict")))
-
-
-@query("export_vectors", "SELECT label AS space, count(*) AS vectors FROM embeddings GROUP BY label")
-def export_vectors(spark, sf_dir):
-    found = centroids(load(spark, sf_dir, "embeddings"), "label", "embedding")
-    return found.where(F.size("centroid") == 64).select(F.col("label").alias("space"), F.col("members").alias("vectors"))
-
-
-@query("queue_claimable", """
-WITH q AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT event_id FROM q WHERE event_type = 'view' AND us + 60000000 <= epoch_us(TIMESTAMP '2024-01-20') AND coalesce(before, 'purchase') = 'purchase'
-""")
-def queue_claimable(spark, sf_dir):
-    # Leases of a minute that have run out, of items whose predecessor is done.
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = load(spark, sf_dir, "events").select("event_id", "event_type", micros(F.col("ts")).alias("us"), F.lag("event_type").over(w).alias("before"))
-    now = F.unix_micros(F.lit("2024-01-20").cast("timestamp"))
-    return rows.where((F.col("event_type") == "view") & (F.col("us") + 60_000_000 <= now) & (F.coalesce("before", F.lit("purchase")) == "purchase")).select("event_id")
-
-
 @query("settings_merged", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"size\":60}' AS settings FROM events")
 def settings_merged(spark, sf_dir):
     return merged_settings(load(spark, sf_dir, "events"))

@@ -92,12 +92,6 @@ def nearest(scored):
     return ranked(scored, "vec_id", "query_id", 10).select("query_id", "vec_id", F.col("position").alias("place"))
 
 
-@query("ret_caption_match", r"SELECT doc_id FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS t FROM documents) WHERE list_contains(t, 'there') AND list_contains(t, 'than')")
-def ret_caption_match(spark, sf_dir):
-    t = tokens(F.col("text"))
-    return load(spark, sf_dir, "documents").where(F.array_contains(t, "there") & F.array_contains(t, "than")).select("doc_id")
-
-
 @query("ret_lexical_cosine", r"""
 WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM conversations),
 c AS (SELECT conv_id, turn, word, count(*) AS n FROM w GROUP BY 1, 2, 3), l AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS length FROM c GROUP BY 1, 2)
