@@ -17,6 +17,8 @@ from ..storage import materialise
 #: Rows of a peek; neighbours shown, and at most.
 PEEK = 9
 NEIGHBOURS, NEIGHBOURS_MOST = 15, 51
+#: Fixed value: items that a selection holds at most.
+SELECTED_MOST = 5000
 #: Rows that a page takes from an end of the answer at most; a page further in is found by positions.
 DEEP = 50_000
 
@@ -140,3 +142,27 @@ def proven(selected: DataFrame, answer: DataFrame, id: str) -> DataFrame:
     """How many of `selected` aren't members of `answer`; 0 proves the selection a subset."""
     missing = selected.select(id).join(answer.select(F.col(id).alias("__m")), F.col(id) == F.col("__m"), "left_anti")
     return missing.agg(F.count(F.lit(1)).alias("outsiders"))
+
+
+class Changed(Exception):
+    """A selection was made against an answer that is another one now."""
+
+
+def held_to(selected: DataFrame, items: DataFrame, id: str, order: list[Column], expected: str) -> DataFrame:
+    """`selected`, if it is a subset of the answer that `expected` names by its digest; else Changed. SELECTED_MOST rows at most."""
+    if selected.limit(SELECTED_MOST + 1).count() > SELECTED_MOST:
+        raise ValueError(f"a selection holds {SELECTED_MOST} at most")
+    if digest(items, id, order).first()["digest"] != expected:
+        raise Changed("the answer isn't the one that the selection was made from")
+    if proven(selected, items, id).first()["outsiders"]:
+        raise Changed("the selection holds items that the answer doesn't")
+    return selected
+
+
+def top_with_overflow(groups: DataFrame, order: list[Column], most: int, count: str = "n") -> DataFrame:
+    """The first `most` rows of counted groups, each with how many groups and members come behind them."""
+    total = groups.agg(F.count(F.lit(1)).alias("__groups"), F.sum(count).alias("__members"))
+    head = groups.orderBy(*order).limit(most)
+    w = Window.partitionBy()  # over `most` rows
+    told = head.withColumn("__shown", F.count(F.lit(1)).over(w)).withColumn("__held", F.sum(count).over(w)).crossJoin(F.broadcast(total))
+    return told.select(*groups.columns, (F.col("__groups") - F.col("__shown")).alias("more_groups"), (F.col("__members") - F.col("__held")).alias("more_members"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +42,40 @@ def sampled(duration: Column, every_ms: int, most: int) -> Column:
     """Moments (ms) to look at in something `duration` ms long: every so often, evenly spread if too many."""
     n = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(duration / every_ms))).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.floor((k + 0.5) * duration / n).cast("long"))
+
+
+def calendar_sheet(rows: DataFrame, moment: Column, year: int, month: int) -> DataFrame:
+    """day, week, weekday (1: Monday), inside, n: a month's sheet, whole weeks; days without rows count 0."""
+    first = date(year, month, 1)
+    last = date(year + month // 12, month % 12 + 1, 1) - timedelta(days=1)
+    begin, end = first - timedelta(days=first.weekday()), last + timedelta(days=6 - last.weekday())
+    days = [(str(begin + timedelta(days=k)), k // 7, k % 7 + 1, (begin + timedelta(days=k)).month == month) for k in range((end - begin).days + 1)]
+    sheet = rows.sparkSession.createDataFrame(days, "day string, week long, weekday long, inside boolean")
+    held = rows.where((moment >= F.lit(begin)) & (moment < F.lit(end + timedelta(days=1)))).groupBy(F.date_format(moment, "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return sheet.join(held, "day", "left").fillna(0, ["n"])
+
+
+def year_grid(rows: DataFrame, moment: Column, year: int) -> DataFrame:
+    """month, n, first_day of a year's twelve months."""
+    months = rows.sparkSession.range(1, 13).select(F.col("id").alias("month"))
+    own = rows.where((moment >= F.lit(date(year, 1, 1))) & (moment < F.lit(date(year + 1, 1, 1))))
+    held = own.groupBy(F.month(moment).cast("long").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min(F.dayofmonth(moment)).alias("first_day"))
+    return months.join(held, "month", "left").fillna(0, ["n"])
+
+
+def presets(today: date) -> dict[str, tuple[date, date]]:
+    """Windows that a timeline offers by name: first day, day after the last."""
+    day = timedelta(days=1)
+    monday = today - timedelta(days=today.weekday())
+    following = date(today.year + today.month // 12, today.month % 12 + 1, 1)
+    return {
+        "today": (today, today + day), "yesterday": (today - day, today), "this week": (monday, monday + 7 * day), "this month": (today.replace(day=1), following),
+        "this year": (date(today.year, 1, 1), date(today.year + 1, 1, 1)), "last 7 days": (today - 6 * day, today + day), "last 30 days": (today - 29 * day, today + day),
+    }
+
+
+def preset_counts(rows: DataFrame, moment: Column, today: date) -> DataFrame:
+    """name, n of each preset, all in one pass."""
+    named = presets(today)
+    counts = rows.agg(*[F.count_if((moment >= F.lit(lo)) & (moment < F.lit(hi))).alias(name) for name, (lo, hi) in named.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"`{name}`").alias("n")) for name in named])).alias("p")).select("p.*")

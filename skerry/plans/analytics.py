@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.answer import top_with_overflow
 from ..sources.tables import load
 from .filters import ask
 from .registry import query
@@ -70,10 +71,13 @@ def agg_yes_no(spark, sf_dir):
     return spark.range(2).select(F.col("id").cast("int").alias("flag")).join(told, "flag", "left").select("flag", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("agg_prompt_use", "SELECT role, sha256(text) AS prompt, count(*) AS n FROM conversations GROUP BY role, text ORDER BY n DESC, role, prompt LIMIT 40")
+@query("agg_prompt_use", """
+WITH g AS (SELECT role, sha256(text) AS prompt, count(*) AS n FROM conversations GROUP BY role, text), h AS (SELECT * FROM g ORDER BY n DESC, role, prompt LIMIT 40)
+SELECT *, (SELECT count(*) FROM g) - (SELECT count(*) FROM h) AS more_groups, CAST((SELECT sum(n) FROM g) - (SELECT sum(n) FROM h) AS BIGINT) AS more_members FROM h
+""")
 def agg_prompt_use(spark, sf_dir):
-    use = load(spark, sf_dir, "conversations").groupBy("role", "text").agg(rows_n().alias("n"))
-    return use.select("role", F.sha2(F.col("text").cast("binary"), 256).alias("prompt"), "n").orderBy(F.desc("n"), "role", "prompt").limit(40)
+    use = load(spark, sf_dir, "conversations").groupBy("role", F.sha2(F.col("text").cast("binary"), 256).alias("prompt")).agg(rows_n().alias("n"))
+    return top_with_overflow(use, [F.desc("n"), F.col("role"), F.col("prompt")], 40)
 
 
 @query("agg_terms", r"""
@@ -126,9 +130,13 @@ def agg_usefulness(spark, sf_dir):
     return families(spark, sf_dir).crossJoin(total).select("family", F.when(F.col("vals") <= 1, F.lit(0.0)).otherwise(share * few).alias("score"))
 
 
-@query("agg_catalog_values", TAIL_SQL + "SELECT value, count(*) AS n FROM p WHERE key = 'props.k' GROUP BY value ORDER BY n DESC, value LIMIT 20")
+@query("agg_catalog_values", TAIL_SQL + """
+, g AS (SELECT value, count(*) AS n FROM p WHERE key = 'props.k' GROUP BY value), h AS (SELECT * FROM g ORDER BY n DESC, value LIMIT 20)
+SELECT *, (SELECT count(*) FROM g) - (SELECT count(*) FROM h) AS more_groups, CAST((SELECT sum(n) FROM g) - (SELECT sum(n) FROM h) AS BIGINT) AS more_members FROM h
+""")
 def agg_catalog_values(spark, sf_dir):
-    return long_tail(spark, sf_dir).where("key = 'props.k'").groupBy("value").agg(rows_n().alias("n")).orderBy(F.desc("n"), "value").limit(20)
+    values = long_tail(spark, sf_dir).where("key = 'props.k'").groupBy("value").agg(rows_n().alias("n"))
+    return top_with_overflow(values, [F.desc("n"), F.col("value")], 20)
 
 
 @query("agg_key_registry", TAIL_SQL + "SELECT key, count(*) AS occurrences, CASE WHEN count(DISTINCT regexp_matches(value, '^[0-9.]+$')) > 1 THEN 'mixed' WHEN bool_and(regexp_matches(value, '^[0-9.]+$')) THEN 'number' ELSE 'text' END AS kind FROM p GROUP BY key")

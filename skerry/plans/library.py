@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import axis
-from ..operators.similarity import centroids
+from ..operators.answer import ordered
 from ..sources.tables import load, micros, seconds
 from .registry import query
 
@@ -61,18 +61,19 @@ def merged_settings(events):
 @query("run_across", """
 WITH s AS (SELECT l_suppkey % 10 AS g, l_partkey % 7 AS h, l_orderkey FROM lineitem),
 a AS (SELECT g, count(*) AS n FROM s GROUP BY g), b AS (SELECT h, count(*) AS n FROM s GROUP BY h)
-SELECT g, h, any_value(a.n) AS left_size, any_value(b.n) AS right_size, count(*) AS shared FROM s JOIN a USING (g) JOIN b USING (h) GROUP BY g, h
+SELECT *, row_number() OVER (ORDER BY abs(left_size - right_size) DESC, g, h) AS place FROM (SELECT g, h, any_value(a.n) AS left_size, any_value(b.n) AS right_size, count(*) AS shared FROM s JOIN a USING (g) JOIN b USING (h) GROUP BY g, h)
 """)
 def run_across(spark, sf_dir):
     return clusters_across(load(spark, sf_dir, "lineitem"))
 
 
 def clusters_across(lines):
-    """Sizes of the clusters of two runs over `lines`, and how many members each pair shares."""
+    """Sizes of the clusters of two runs over `lines`, how many members each pair shares, and its place: the largest difference first."""
     s = lines.select((F.col("l_suppkey") % 10).alias("g"), (F.col("l_partkey") % 7).alias("h"))
     pairs = s.groupBy("g", "h").agg(F.count(F.lit(1)).alias("shared"))
     # Sizes of both runs' clusters from the pair counts, over one row per pair of clusters.
-    return pairs.select("g", "h", F.sum("shared").over(Window.partitionBy("g")).alias("left_size"), F.sum("shared").over(Window.partitionBy("h")).alias("right_size"), "shared")
+    sized = pairs.select("g", "h", F.sum("shared").over(Window.partitionBy("g")).alias("left_size"), F.sum("shared").over(Window.partitionBy("h")).alias("right_size"), "shared")
+    return ordered(sized, [F.abs(F.col("left_size") - F.col("right_size")).desc(), F.col("g"), F.col("h")], "place")
 
 
 @query("folder_people", "SELECT regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]+://[^/]*/([^/?#]*)', 1) AS top, count(*) AS n FROM pages GROUP BY 1, 2")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.moments import MONDAY, bin_of
-from ..operators import timeline
+from ..operators import axis, timeline
 from ..operators.answer import ordered
+from ..sources import library
 from ..sources.tables import load, micros, seconds
 from .joins import SESSIONS_SQL
 from .registry import query
@@ -41,6 +44,50 @@ def tl_density(spark, sf_dir):
     )
 
 
+@query("tl_density_fine", library.WITH + """
+SELECT CAST(trunc(moment / 3600) AS BIGINT) * 3600 AS bin, count(*) AS n, round(sum(moment), 3) AS moments, count(*) FILTER (origin = 'captured') AS captured, count(*) FILTER (origin = 'generated') AS generated, count(*) FILTER (origin = 'mixed') AS mixed, count(*) FILTER (origin = 'imported') AS imported
+FROM context WHERE granule <= 3600 GROUP BY 1
+""")
+def tl_density_fine(spark, sf_dir):
+    """Hours of the human moment: only claims as fine as the bin count in it; sums give each bin's middle."""
+    rows = library.tables(spark, sf_dir)["context"].where("granule <= 3600")
+    by = [F.count_if(F.col("origin") == o).alias(o) for o in ("captured", "generated", "mixed", "imported")]
+    return rows.groupBy(bin_of(F.col("moment"), 3600).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("moment"), 3).alias("moments"), *by)
+
+
+@query("tl_session_faces", """
+WITH p AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, user_id) AS place, count(*) OVER (PARTITION BY day) AS people FROM p)
+SELECT day, user_id, n, place, people FROM r WHERE place <= 4
+""")
+def tl_session_faces(spark, sf_dir):
+    """The four people most seen in each day, and how many there are."""
+    per = events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("n"), "user_id"))
+    totals = per.groupBy("day").agg(F.count(F.lit(1)).alias("people"))
+    return per.withColumn("place", place.cast("long")).where("place <= 4").join(totals, "day").select("day", "user_id", "n", "place", "people")
+
+
+@query("tl_calendar_sheet", """
+WITH d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-04', INTERVAL 1 DAY)) AS day), n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)
+SELECT strftime(d.day, '%Y-%m-%d') AS day, CAST(date_diff('day', DATE '2024-01-01', CAST(d.day AS DATE)) // 7 AS BIGINT) AS week, CAST(isodow(d.day) AS BIGINT) AS weekday, month(d.day) = 1 AS inside, coalesce(n, 0) AS n FROM d LEFT JOIN n ON n.day = CAST(d.day AS DATE)
+""")
+def tl_calendar_sheet(spark, sf_dir):
+    return axis.calendar_sheet(events(spark, sf_dir), F.col("ts"), 2024, 1)
+
+
+@query("tl_year_grid", "WITH m AS (SELECT unnest(range(1, 13)) AS month), n AS (SELECT month(o_orderdate) AS month, count(*) AS n, min(day(o_orderdate)) AS first_day FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1) SELECT m.month AS month, coalesce(n, 0) AS n, first_day FROM m LEFT JOIN n ON n.month = m.month")
+def tl_year_grid(spark, sf_dir):
+    return axis.year_grid(load(spark, sf_dir, "orders"), F.col("o_orderdate"), 1996)
+
+
+@query("tl_presets", """
+WITH p(name, lo, hi) AS (VALUES ('today', DATE '2024-01-17', DATE '2024-01-18'), ('yesterday', DATE '2024-01-16', DATE '2024-01-17'), ('this week', DATE '2024-01-15', DATE '2024-01-22'), ('this month', DATE '2024-01-01', DATE '2024-02-01'), ('this year', DATE '2024-01-01', DATE '2025-01-01'), ('last 7 days', DATE '2024-01-11', DATE '2024-01-18'), ('last 30 days', DATE '2023-12-19', DATE '2024-01-18'))
+SELECT name, count(ts) AS n FROM p LEFT JOIN events ON ts >= lo AND ts < hi GROUP BY name
+""")
+def tl_presets(spark, sf_dir):
+    return axis.preset_counts(events(spark, sf_dir), F.col("ts"), date(2024, 1, 17))
+
+
 @query("tl_density_week_anchor", "SELECT CAST(trunc((epoch(o_orderdate) - 345600) / 604800) AS BIGINT) * 604800 + 345600 AS bin, count(*) AS n FROM orders GROUP BY 1")
 def tl_density_week_anchor(spark, sf_dir):
     return load(spark, sf_dir, "orders").groupBy(bin_of(seconds(F.col("o_orderdate")), 604800, MONDAY).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
