@@ -40,7 +40,7 @@ GROUP_PIECES = 20_000
 VOCABULARY = "word_bpe_49k.json"
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, spread long"
 #: Words kept by a worker; with more, it starts anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 250_000
 #: Code points scanned at once.
 SCAN = 1 << 20
 
