@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that names are trimmed of.
@@ -192,3 +192,66 @@ def url_parts(url: Column) -> Column:
         F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1).alias("path"),
         F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1).alias("query"),
     )
+
+
+def canonical_query(query: Column) -> Column:
+    """The one spelling of a query string: pairs decoded and encoded alike, without nameless ones and repeats, in order."""
+    pairs = F.transform(F.split(query, "&"), lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise(F.lit(""))).alias("v")))
+    held = F.array_sort(F.array_distinct(F.filter(pairs, lambda p: F.coalesce(p["k"], F.lit("")) != "")))
+    return F.array_join(F.transform(held, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(F.coalesce(p["v"], F.lit(""))))), "&")
+
+
+def word_line(text: Column) -> Column:
+    """The words of a text in lower case, a space before and behind each."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def matches(line: Column, asked: str, how: str) -> Column:
+    """Whether a word_line has all of the asked words, any of them, or them as a phrase."""
+    words = asked.lower().split()
+    if how == "phrase":
+        return line.contains(f" {' '.join(words)} ")
+    out = F.lit(how == "all")
+    for w in words:
+        out = (out & line.contains(f" {w} ")) if how == "all" else (out | line.contains(f" {w} "))
+    return out
+
+
+def redacted(text: Column, pattern: str = r"(?i)token|secret|password|api.?key") -> Column:
+    """A JSON text with the values of keys that `pattern` finds hidden, at any depth; what is no JSON stays."""
+    import json
+    import re
+
+    import pandas as pd
+
+    known = re.compile(pattern)
+
+    def hide(value: object) -> object:
+        if isinstance(value, dict):
+            return {k: "***" if known.search(k) else hide(v) for k, v in value.items()}
+        return [hide(v) for v in value] if isinstance(value, list) else value
+
+    def one(raw: str | None) -> str | None:
+        try:
+            return None if raw is None else json.dumps(hide(json.loads(raw)), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return raw
+
+    return F.pandas_udf(lambda rows: pd.Series([one(x) for x in rows], dtype=object), "string")(text)
+
+
+def name_in_phrase(phrases: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
+    """phrase_id, slug, name, rest: the longest name of a phrase, in whole words and any case, and what the phrase says besides.
+
+    Runs of up to `most` words meet names by equality, so no phrase is compared with every name.
+    phrases: phrase_id, phrase; names: slug, name.
+    """
+    words = F.filter(F.split(F.lower("phrase"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    split = phrases.select("phrase_id", words.alias("w")).where(F.size("w") > 0)
+    starts = split.select("phrase_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    runs = starts.select("phrase_id", "w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("i") + 1))).alias("n"))
+    runs = runs.withColumn("key", F.array_join(F.slice("w", F.col("i"), F.col("n")), " "))
+    keyed = names.withColumn("key", F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " ")))
+    best = runs.join(keyed, "key").groupBy("phrase_id").agg(F.max_by(F.struct("slug", "name", "w", "i", "n"), F.struct(F.length("key"), -F.col("i"), F.col("slug"))).alias("b"))
+    rest = F.concat(F.slice("b.w", F.lit(1), F.col("b.i") - 1), F.slice("b.w", F.col("b.i") + F.col("b.n"), F.size("b.w")))
+    return best.select("phrase_id", "b.slug", "b.name", F.array_join(rest, " ").alias("rest"))

@@ -108,3 +108,9 @@ def iou(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
     both = wide * high
     whole = aw * ah + bw * bh - both
     return F.when(whole > 0, both / whole).otherwise(F.lit(0.0))
+
+
+def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that one of two sets has and the other hasn't, each once: one shuffle of both, combined before."""
+    both = left.withColumn("__side", F.lit(1)).unionByName(right.withColumn("__side", F.lit(2)))
+    return both.groupBy(*left.columns).agg(F.bit_or("__side").alias("__sides")).where("__sides < 3").select(*left.columns)

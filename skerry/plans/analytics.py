@@ -81,20 +81,24 @@ def agg_prompt_use(spark, sf_dir):
 
 
 @query("agg_terms", r"""
-WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(lower(text), '[\n.]', ',', 'g'), ',')) AS raw FROM documents WHERE lang = 'en'),
+WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(lower(text), '[\n.]', ',', 'g'), ',')) AS raw FROM documents),
 t AS (SELECT DISTINCT doc_id, trim(regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), ':[0-9.]+\)|[()\[\]{}]', '', 'g'), ' ') AS term FROM w)
 SELECT term, count(*) AS files FROM t WHERE term <> '' GROUP BY term ORDER BY files DESC, term LIMIT 100
 """)
 def agg_terms(spark, sf_dir):
     parts = F.split(F.regexp_replace(F.lower("text"), r"[\n.]", ","), ",")
     clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r":[0-9.]+\)|[()\[\]{}]", "")))
-    terms = load(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(clean)).alias("term")).where("term <> ''")
+    terms = load(spark, sf_dir, "documents").select(F.explode(F.array_distinct(clean)).alias("term")).where("term <> ''")
     return terms.groupBy("term").agg(rows_n().alias("files")).orderBy(F.desc("files"), "term").limit(100)
 
 
 @query("agg_weights_median", "SELECT l_partkey, count(DISTINCT l_orderkey) AS files, min(l_quantity) AS least, max(l_quantity) AS most, median(l_quantity) AS middle FROM lineitem GROUP BY l_partkey")
 def agg_weights_median(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("files"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.median("l_quantity").alias("middle"))
+    """Medians from counted weights and files from distinct pairs: both shrink before they are shuffled, which one aggregate of both can't."""
+    lines = load(spark, sf_dir, "lineitem")
+    weights = lines.groupBy("l_partkey", "l_quantity").agg(rows_n().alias("n")).groupBy("l_partkey").agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.percentile("l_quantity", 0.5, F.col("n")).alias("middle"))
+    files = lines.select("l_partkey", "l_orderkey").distinct().groupBy("l_partkey").agg(rows_n().alias("files"))
+    return weights.join(files, "l_partkey").select("l_partkey", "files", "least", "most", "middle")
 
 
 def long_tail(spark, sf_dir) -> DataFrame:

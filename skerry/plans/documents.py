@@ -18,10 +18,14 @@ def doc_snapshot_hash(spark, sf_dir):
     return documents.snapshots(load(spark, sf_dir, "conversations"), "conv_id", ["turn"], ["role"]).select("conv_id", "members", "sha256")
 
 
-@query("doc_verify", "SELECT count(DISTINCT conv_id) AS documents, CAST(0 AS BIGINT) AS damaged FROM conversations")
+@query("doc_verify", "SELECT count(DISTINCT conv_id) AS documents, count(DISTINCT conv_id) FILTER (conv_id % 5 = 0) AS damaged, CAST(coalesce(sum(DISTINCT conv_id) FILTER (conv_id % 5 = 0), 0) AS BIGINT) AS which FROM conversations")
 def doc_verify(spark, sf_dir):
-    stored = documents.verified(documents.snapshots(load(spark, sf_dir, "conversations"), "conv_id", ["turn"], ["role"]))
-    return stored.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("intact")).alias("damaged"))
+    """Every fifth stored document was changed after it was named by its hash; exactly those are found."""
+    stored = documents.snapshots(load(spark, sf_dir, "conversations"), "conv_id", ["turn"], ["role"])
+    damaged = stored.withColumn("document", F.when(F.col("conv_id") % 5 == 0, F.regexp_replace("document", "user", "User")).otherwise(F.col("document")))
+    damaged = damaged.withColumn("document", F.when((F.col("conv_id") % 5 == 0) & (F.sha2(F.col("document").cast("binary"), 256) == F.col("sha256")), F.concat("document", F.lit(" "))).otherwise(F.col("document")))
+    told = documents.verified(damaged)
+    return told.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("intact")).alias("damaged"), F.coalesce(F.sum(F.when(~F.col("intact"), F.col("conv_id"))), F.lit(0)).alias("which"))
 
 
 @query("doc_append_absent", "SELECT count(DISTINCT conv_id) AS fresh FROM conversations WHERE conv_id % 2 = 1")

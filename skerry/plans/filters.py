@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators.question import Key, Question, eligible, facet, parse
 from ..sources.tables import DOCUMENTS, load
 from .registry import query
@@ -155,18 +156,32 @@ def filter_named_set(spark, sf_dir):
 
 
 @query("filter_person_in_phrase", """
-WITH p(phrase_id, phrase) AS (VALUES (1::BIGINT, 'photos of building in the sun'), (2::BIGINT, 'automobile and machinery'), (3::BIGINT, 'nothing here')),
-n AS (SELECT DISTINCT c_mktsegment AS name FROM customer),
-h AS (SELECT phrase_id, phrase, name FROM p JOIN n ON regexp_matches(lower(phrase), '(^|[^a-z0-9])' || lower(name) || '([^a-z0-9]|$)'))
-SELECT phrase_id, arg_max(name, (length(name), name)) AS name FROM h GROUP BY phrase_id
+SELECT c_custkey AS phrase_id, CASE WHEN c_custkey % 3 = 0 THEN 'n' || n_nationkey ELSE 'f' || n_nationkey END AS slug, CASE WHEN c_custkey % 3 = 0 THEN n_name ELSE n_name || ' van der Berg' END AS name,
+ CASE WHEN c_custkey % 3 = 0 THEN 'photos of by the sea' ELSE 'photos of at home' END AS rest FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 < 2
 """)
 def filter_person_in_phrase(spark, sf_dir):
-    phrases = spark.createDataFrame([(1, "photos of building in the sun"), (2, "automobile and machinery"), (3, "nothing here")], "phrase_id long, phrase string")
-    names = load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
-    # Words of the phrase meet names by equality, so no phrase is compared with every name.
-    words = phrases.select("phrase_id", F.explode(F.array_distinct(F.split(F.lower("phrase"), "[^a-z0-9]+"))).alias("word"))
-    hits = words.join(names.withColumn("word", F.lower("name")), "word")
-    return hits.groupBy("phrase_id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
+    """The longest name counts, and a name inside a word doesn't."""
+    nations = load(spark, sf_dir, "nation")
+    names = nations.select(F.concat(F.lit("n"), "n_nationkey").alias("slug"), F.col("n_name").alias("name")).unionAll(nations.select(F.concat(F.lit("f"), "n_nationkey"), F.concat("n_name", F.lit(" van der Berg"))))
+    held = load(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    said = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Photos of "), F.lower("n_name"), F.lit(", by the sea"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("photos of "), "n_name", F.lit(" Van der Berg at home"))).otherwise(F.concat(F.lit("photos of x"), "n_name", F.lit("x")))
+    return text.name_in_phrase(held.select(F.col("c_custkey").alias("phrase_id"), said.alias("phrase")), names)
+
+
+@query("filter_redacted_nested", """
+SELECT event_id, '{"user":{"id":' || user_id || ',"api_key":"***"},"list":[{"Password":"***","k":' || json_extract_string(props, '$.k') || '}],"n":null}' AS props FROM events
+""")
+def filter_redacted_nested(spark, sf_dir):
+    nested = F.concat(F.lit('{"user": {"id": '), F.col("user_id"), F.lit(', "api_key": "abc"}, "list": [{"Password": {"a": 1}, "k": '), F.get_json_object("props", "$.k"), F.lit('}], "n": null}'))
+    return load(spark, sf_dir, "events").select("event_id", text.redacted(nested).alias("props"))
+
+
+@query("filter_currency", "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 <> 0")
+def filter_currency(spark, sf_dir):
+    """Derived rows count only if they were made of the content that is there now: their hash is the document's."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    derived = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("of"), F.when(F.col("doc_id") % 4 == 0, F.lit("old")).otherwise(F.col("sha")).alias("source_sha"))
+    return docs.join(derived, (F.col("doc_id") == F.col("of")) & (F.col("sha") == F.col("source_sha")), "left_semi").select("doc_id")
 
 
 @query("filter_redacted", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN '{\"k\":\"***\"}' ELSE props END AS props FROM events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.joins import asof, iou, overlapping, reconcile
+from ..operators.joins import asof, iou, overlapping, reconcile, symmetric_difference
 from ..sources.tables import load, micros
 from .registry import query
 
@@ -254,11 +254,11 @@ def set_except_all(spark, sf_dir):
     return a.exceptAll(b)
 
 
-@query("set_symmetric_difference", "(SELECT l_partkey FROM lineitem WHERE l_linenumber = 6 EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 7) UNION ALL (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7 EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 6)")
+@query("set_symmetric_difference", f"({A} EXCEPT {B}) UNION ALL ({B} EXCEPT {A}) UNION ALL (SELECT -l_partkey FROM lineitem WHERE l_linenumber = 6 EXCEPT SELECT -l_partkey FROM lineitem WHERE l_linenumber = 7) UNION ALL (SELECT -l_partkey FROM lineitem WHERE l_linenumber = 7 EXCEPT SELECT -l_partkey FROM lineitem WHERE l_linenumber = 6)")
 def set_symmetric_difference(spark, sf_dir):
-    lines = load(spark, sf_dir, "lineitem").where("l_linenumber in (6, 7)")
-    held = lines.groupBy("l_partkey").agg(F.countDistinct("l_linenumber").alias("n"))
-    return held.where("n = 1").select("l_partkey")
+    """Of two pairs of sets; the second's members are negative here, to tell them apart."""
+    line = lambda n: load(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == n).select((-F.col("l_partkey")).alias("user_id"))
+    return symmetric_difference(*sides(spark, sf_dir)).unionAll(symmetric_difference(line(6), line(7)))
 
 
 @query("set_lineage_edges", "SELECT DISTINCT conv_id, role AS from_role, next_role AS to_role FROM (SELECT conv_id, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) WHERE next_role IS NOT NULL")

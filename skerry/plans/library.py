@@ -76,7 +76,7 @@ def clusters_across(lines):
     return ordered(sized, [F.abs(F.col("left_size") - F.col("right_size")).desc(), F.col("g"), F.col("h")], "place")
 
 
-@query("folder_people", "SELECT regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]+://[^/]*/([^/?#]*)', 1) AS top, count(*) AS n FROM pages GROUP BY 1, 2")
-def folder_people(spark, sf_dir):
+@query("host_folders", "SELECT regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]+://[^/]*/([^/?#]*)', 1) AS top, count(*) AS n FROM pages GROUP BY 1, 2")
+def host_folders(spark, sf_dir):
     host, top = F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1), F.regexp_extract("url", r"^[^:]+://[^/]*/([^/?#]*)", 1)
     return load(spark, sf_dir, "pages").groupBy(host.alias("host"), top.alias("top")).agg(F.count(F.lit(1)).alias("n"))

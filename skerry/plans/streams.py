@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming.runs import latest, ledger, settled, settled_aggregate, settled_updates, stream_of, tallied
+from ..sources.tables import load
+from ..streaming.runs import latest, ledger, live, scratch, settled, settled_aggregate, settled_updates, stream_of, tallied
 from .registry import query
 
 
@@ -12,10 +13,14 @@ def wall(name: str):
     return F.col(name).cast("timestamp_ntz")
 
 
+#: How late an event may come; windows older than that leave the state.
+LATE = "60 days"
+
+
 @query("st_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def st_tumbling(spark, sf_dir):
-    stream = stream_of(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return settled_aggregate(stream).select(wall("window.start").alias("start"), "event_type", "n")
+    stream = stream_of(spark, sf_dir, "events").withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return settled_updates(stream, "window", "event_type").select(wall("window.start").alias("start"), "event_type", "n")
 
 
 @query("st_sliding", """
@@ -23,8 +28,8 @@ WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS star
 SELECT CAST(start AS TIMESTAMP) AS start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1
 """)
 def st_sliding(spark, sf_dir):
-    stream = stream_of(spark, sf_dir, "events").groupBy(F.window("ts", "3 hours", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return settled_aggregate(stream).select(wall("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
+    stream = stream_of(spark, sf_dir, "events").withWatermark("ts", LATE).groupBy(F.window("ts", "3 hours", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return settled_updates(stream, "window").select(wall("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
 @query("st_session", """
@@ -65,3 +70,12 @@ def st_stream_join(spark, sf_dir):
 @query("st_open_items", "SELECT user_id, count(*) FILTER (event_type = 'view') AS opened, count(*) FILTER (event_type = 'purchase') AS closed FROM events GROUP BY user_id")
 def st_open_items(spark, sf_dir):
     return settled_updates(tallied(stream_of(spark, sf_dir, "events"), "user_id", "event_type", "view", "purchase"), "user_id")
+
+
+@query("st_live", "SELECT CASE WHEN event_id <= 400 THEN 0 ELSE 1 END AS message, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def st_live(spark, sf_dir):
+    """What a watcher gets: what there was, then what came."""
+    rows = stream_of(spark, sf_dir, "events").select("event_id", "event_type")
+    before = load(spark, sf_dir, "events").where("event_id <= 400").select("event_id", "event_type")
+    got = live(before, ledger(rows, "event_id", 400), scratch(spark))
+    return got.groupBy(F.least("message", F.lit(1)).alias("message")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

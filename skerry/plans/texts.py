@@ -121,8 +121,8 @@ def url_parts(spark, sf_dir):
     return load(spark, sf_dir, "pages").withColumn("u", text.url_parts(F.col("url"))).select("page_id", "u.*")
 
 
-@query("url_opening_windows", "SELECT page_id, count(*) OVER (PARTITION BY regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS on_host FROM pages")
-def url_opening_windows(spark, sf_dir):
+@query("url_host_counts", "SELECT page_id, count(*) OVER (PARTITION BY regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS on_host FROM pages")
+def url_host_counts(spark, sf_dir):
     from pyspark.sql import Window
 
     host = F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1)
@@ -173,3 +173,20 @@ def when_refine(spark, sf_dir):
 @query("sha_identity", "SELECT doc_id, substr(sha256(text), 1, 16) AS short FROM documents")
 def sha_identity(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("short"))
+
+
+@query("txt_words_match", r"""
+WITH w AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents)
+SELECT doc_id, contains(t, ' there ') AND contains(t, ' the ') AS every, contains(t, ' there ') OR contains(t, ' than ') AS some, contains(t, ' of the ') AS phrase FROM w
+""")
+def txt_words_match(spark, sf_dir):
+    words = text.word_line(F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.matches(words, "there the", "all").alias("every"), text.matches(words, "there than", "any").alias("some"), text.matches(words, "of  the", "phrase").alias("phrase"))
+
+
+@query("url_canonical", """
+WITH u AS (SELECT page_id, 'b=2&a=' || (page_id % 7) || '&c=x%20y&a=' || (page_id % 7) || '&=z&b=1' AS q FROM pages) SELECT page_id, 'a=' || (page_id % 7) || '&b=1&b=2&c=x+y' AS canonical FROM u
+""")
+def url_canonical(spark, sf_dir):
+    raw = F.concat(F.lit("b=2&a="), F.col("page_id") % 7, F.lit("&c=x%20y&a="), F.col("page_id") % 7, F.lit("&=z&b=1"))
+    return load(spark, sf_dir, "pages").select("page_id", text.canonical_query(raw).alias("canonical"))

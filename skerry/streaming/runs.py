@@ -64,8 +64,8 @@ def latest(stream: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return stream.groupBy(by).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
-def settled_updates(stream: DataFrame, key: str, timeout_s: int = 600) -> DataFrame:
-    """Run an updating stream; the last row of each key counts."""
+def settled_updates(stream: DataFrame, *keys: str, timeout_s: int = 600) -> DataFrame:
+    """Run an updating stream, whose state its watermark bounds; the last row of each key counts."""
     folder = scratch(stream.sparkSession)
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -78,8 +78,8 @@ def settled_updates(stream: DataFrame, key: str, timeout_s: int = 600) -> DataFr
     finally:
         run.stop()
     rows = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("__batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
-    rest = [c for c in stream.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(key, "r.*")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(*keys, "r.*")
 
 
 def tallied(stream: DataFrame, by: str, kind: str, opening: str, closing: str) -> DataFrame:
@@ -97,3 +97,22 @@ def tallied(stream: DataFrame, by: str, kind: str, opening: str, closing: str) -
 
     field = dict(stream.dtypes)[by]
     return stream.select(by, kind).groupBy(by).applyInPandasWithState(step, f"{by} {field}, opened long, closed long", "opened long, closed long", "update", GroupStateTimeout.NoTimeout)
+
+
+def live(snapshot: DataFrame, stream: DataFrame, folder: str, timeout_s: int = 600) -> DataFrame:
+    """A sink for watchers: the snapshot first, as message 0, then a message of rows for each batch of the stream.
+
+    A batch that is sent again after a failure replaces its own message, so a watcher sees each row once.
+    """
+    snapshot.write.mode("overwrite").json(f"{folder}/messages/message=0")
+
+    def send(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{folder}/messages/message={number + 1}")
+
+    run = stream.writeStream.foreachBatch(send).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    try:
+        if not run.awaitTermination(timeout_s):
+            raise TimeoutError("the stream didn't end")
+    finally:
+        run.stop()
+    return snapshot.sparkSession.read.schema(StructType([*snapshot.schema.fields, StructField("message", IntegerType())])).json(f"{folder}/messages")
