@@ -59,6 +59,40 @@ def anchored_phases(rows: DataFrame, by: str, order: str, vector: str, threshold
     return rows.select(by, order, vector).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, phase int")
 
 
+def family_phases(rows: DataFrame, by: str, order: str, vector: str, threshold: float) -> DataFrame:
+    """by, order, family: rows whose known vectors are linked by `threshold` or more, whatever lies between them.
+
+    A family is named by its first row; a row without a vector is a family of its own. One `by`
+    is one task's work, in blocks of its similarity matrix.
+    """
+    import numpy as np
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable").reset_index(drop=True)
+        up = list(range(len(group)))
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        known = [i for i, v in enumerate(group[vector]) if v is not None]
+        if known:
+            m = np.array([np.asarray(group[vector][i], float) for i in known])
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.divide(m, n, out=m.copy(), where=n > 0)
+            for k in range(0, len(known), 512):
+                for x, y in np.argwhere(m[k : k + 512] @ m.T >= threshold).tolist():
+                    a, b = root(known[k + x]), root(known[y])
+                    up[max(a, b)] = min(a, b)
+        names = [group[order][root(i)] for i in range(len(group))]
+        return pd.DataFrame({by: group[by], order: group[order], "family": names})
+
+    kinds = dict(rows.dtypes)
+    return rows.select(by, order, vector).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, family {kinds[order]}")
+
+
 def unresolved(references: DataFrame, known: DataFrame, on: str) -> DataFrame:
     """References that name nothing known."""
     return references.join(known.select(on), on, "left_anti")

@@ -109,3 +109,12 @@ def doc_item_timings(spark, sf_dir):
     us = micros(F.col("ts"))
     rows = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", us.alias("us"), F.lead("event_type").over(w).alias("after"), F.lead(us).over(w).alias("at"))
     return rows.where("event_type = 'view' and after = 'purchase'").select("user_id", "event_id", (F.col("at") - F.col("us")).alias("took"))
+
+
+@query("doc_families", """
+WITH RECURSIVE u AS (SELECT label, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS v FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label WHERE list_dot_product(a.v, b.v) >= 0.25), r(node, root) AS (SELECT vec_id, vec_id FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT label, node AS vec_id, family FROM (SELECT node, min(root) AS family FROM r GROUP BY node) JOIN u ON vec_id = node
+""")
+def doc_families(spark, sf_dir):
+    return documents.family_phases(load(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.25)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import semantic
 from ..operators.ranking import bm25, fused, head, ranked, tokens
 from ..operators.similarity import scores
 from ..sources.tables import load
@@ -106,3 +107,10 @@ def ret_lexical_cosine(spark, sf_dir):
     shared = counts.join(after, ["conv_id", "turn", "word"]).groupBy("conv_id", "turn").agg(F.sum(F.col("n") * F.col("m")).alias("s"))
     nexts = lengths.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("length").alias("next"))
     return shared.join(lengths, ["conv_id", "turn"]).join(nexts, ["conv_id", "turn"]).select("conv_id", "turn", F.round(F.col("s") / (F.col("length") * F.col("next")), 6).alias("cosine"))
+
+
+@query("ret_semantic")
+def ret_semantic(spark, sf_dir):
+    """Conversation turns ranked by a phrase in two hashed spaces, fused: the first hundred of each."""
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return semantic.answered({name: semantic.embedded(turns, "id", "text", name) for name in semantic.PROVIDERS}, "how do i write a letter", "id", 100)

@@ -67,7 +67,11 @@ def vec_medoid(spark, sf_dir):
     return u.join(F.broadcast(sums), "label").groupBy("label").agg(F.max_by("vec_id", F.struct(F.round(mean, 9), -F.col("vec_id"))).alias("medoid"))
 
 
-@query("vec_silhouette")
+@query("vec_silhouette", f"""
+WITH {UNIT_SQL}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum(1 - list_dot_product(a.v, b.v)) AS s, count(*) AS n FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, label, min(s / n) FILTER (label <> other) AS b, max(s / n) FILTER (label = other) AS a FROM d GROUP BY 1, 2)
+SELECT label, round(avg((b - a) / greatest(a, b)), 6) AS silhouette, count(*) AS members FROM m GROUP BY label
+""")
 def vec_silhouette(spark, sf_dir):
     """Mean cosine silhouette by label, from sums of unit vectors per label."""
     u = load(spark, sf_dir, "embeddings").select("vec_id", "label", unit(doubles(F.col("embedding"))).alias("v"))
@@ -78,7 +82,7 @@ def vec_silhouette(spark, sf_dir):
     mine = F.col("label") == F.col("other")
     away = F.when(mine, 1 - (dot(F.col("v"), F.col("total")) - 1) / (F.col("n") - 1)).otherwise(1 - dot(F.col("v"), F.col("total")) / F.col("n"))
     pair = each.groupBy("vec_id", "label").agg(F.min(F.when(~mine, away)).alias("b"), F.max(F.when(mine, away)).alias("a"))
-    return pair.groupBy("label").agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"), F.count(F.lit(1)).alias("members"))
+    return pair.groupBy("label").agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"), F.count(F.lit(1)).alias("members"))
 
 
 @query("vec_lengths", "SELECT label, count(*) AS n, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS longest FROM embeddings GROUP BY label")
