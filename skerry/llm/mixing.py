@@ -10,8 +10,7 @@ sorted; histograms have at most 4096 rows a source. The last boundary bucket (on
 2^36 of the hashes) is taken if that comes nearer to the target.
 
 Defined results: null text has size 0; the null source is a source, last in order; rows
-that repeat a doc_id share a hash, hence a fate; null doc_ids share one hash; sources
-without words get target 0; an empty table gives an empty result; further columns are
+that repeat both id and text share a hash, hence a fate; sources without words get target 0; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -31,8 +30,10 @@ DIGITS = 3
 LEVELS = 3
 
 
-def hashed(doc_id: Column) -> Column:
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
+def hashed(doc_id: Column, text: Column) -> Column:
+    """Of id and text, so that rows that share or lack an id don't share a fate."""
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.substring(F.md5(named.cast("binary")), 1, DIGITS * LEVELS)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def sized(docs: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"),
-        hashed(F.col("doc_id")).alias("hash"),
+        hashed(F.col("doc_id"), F.col("text")).alias("hash"),
     )
 
 
@@ -116,7 +117,7 @@ def times(most: int) -> Column:
 def remix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """The rows of `docs`, with all their columns, each as often as the mix takes it."""
     _, found = settle(docs, weights, budget, most)
-    own = docs.select(F.struct("*").alias("row")).select("row", hashed(F.col("row.doc_id")).alias("hash"), F.col("row.source").alias("own_source"))
+    own = docs.select(F.struct("*").alias("row")).select("row", hashed(F.col("row.doc_id"), F.col("row.text")).alias("hash"), F.col("row.source").alias("own_source"))
     taken = own.join(found, F.col("own_source").eqNullSafe(F.col("s"))).withColumn("times", times(most)).where("times > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
@@ -134,7 +135,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_sql(relation: str = "documents") -> str:
     return rf"""
 WITH n AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS hash FROM {relation}),
+  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 9) AS hash FROM {relation}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM n GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][k % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

@@ -61,7 +61,7 @@ def test_run_by_force(spark, tmp_path):
     parts = components_by_force([(i, t) for i, t, _ in kept])
     kept = [r for r in kept if parts[r[0]][1] == r[0]]
 
-    size, of = defaultdict(int), {}
+    size, of, text_of = defaultdict(int), {}, {i: t for i, t, _ in kept}
     for i, t, s in kept:
         of[i] = len(words(t))
         size[s] += of[i]
@@ -69,7 +69,7 @@ def test_run_by_force(spark, tmp_path):
     for s in size:
         copies = int(target[s] // size[s]) if size[s] else 0
         left, under, open_ = target[s] - copies * size[s], 0, copies < 2
-        for i in sorted((i for i, _, x in kept if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()[:9]):
+        for i in sorted((i for i, _, x in kept if x == s), key=lambda i: hashlib.md5(f"{i}|{text_of[i] or ''}".encode()).hexdigest()[:9]):
             open_ = open_ and under + of[i] / 2 <= left
             times[i] = copies + open_
             under += of[i]

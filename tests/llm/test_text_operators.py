@@ -218,6 +218,9 @@ def test_mixing(spark, awkward, no_rows):
     assert out.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert all(counts.get(r.doc_id, 0) * r.size == r.taken for r in got)
+    bare = spark.createDataFrame([(None, "w " * (1 + k % 7) + str(k), "a") for k in range(400)] + [(k, "w w", "b") for k in range(300)], "doc_id long, text string, source string")
+    told = mixing.mix(bare).where("source = 'a'").selectExpr("sum(taken) as t", "max(target) as g").first()
+    assert abs(told.t - told.g) < 20  # rows without an id are taken apart too
     assert mixing.mix(awkward).count() == len(AWKWARD)
     assert mixing.remix(awkward).columns == awkward.columns
     assert mixing.mix(no_rows).count() == 0
