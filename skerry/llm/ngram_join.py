@@ -54,7 +54,7 @@ MORE = 4
 BLOCK_BYTES = 32 << 20
 HASH_BYTES = 16 << 20
 #: Bytes of sets whose shingles are counted together before they travel.
-SET_BATCH = 8 << 20
+SET_BATCH = 2 << 20
 LEAF, FAN = 16, 8
 
 
