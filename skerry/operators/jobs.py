@@ -73,3 +73,44 @@ def current(answers: DataFrame, tables: DataFrame) -> DataFrame:
 def proven(runs: DataFrame, generation: int, policy: int, covered: Column) -> DataFrame:
     """Runs whose hypothesis still stands: this generation, this policy, and everything covered."""
     return runs.where((F.col("generation") == generation) & (F.col("policy") == policy) & covered)
+
+
+#: Step -> rows that are still to do, of the tables by name. A step's units are counted when it is claimed, not before.
+COUNTERS = {
+    "ingest": lambda tables: tables["files"].join(tables["read"].select("id"), "id", "left_anti"),
+    "embed": lambda tables: tables["files"].where("kind in ('image', 'animated_image', 'video')").join(tables["vectors"].select("id"), "id", "left_anti"),
+    "captions": lambda tables: tables["files"].where("kind = 'image'").join(tables["said"].select("id"), "id", "left_anti"),
+}
+
+
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """kind, units of every step that counts its own."""
+    out = None
+    for kind, rest in COUNTERS.items():
+        one = rest(tables).agg(F.count(F.lit(1)).alias("units")).select(F.lit(kind).alias("kind"), "units")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+# -- remembered questions -------------------------------------------------------
+
+
+def remembered(views: DataFrame, new: DataFrame) -> DataFrame:
+    """The views (id, name, question, created_at, last_used_at) with the new ones (name, question, at): a name that is known is refined, not doubled.
+
+    The page isn't part of a question. Blank names are refused before they come here.
+    """
+    parts = F.filter(F.split(F.regexp_replace("question", r"^\?", ""), "&"), lambda p: (p != "") & ~p.startswith("page="))
+    told = new.select(F.trim("name").alias("__name"), F.array_join(parts, "&").alias("__question"), F.col("at").alias("__at"))
+    kept = views.join(told, F.col("name") == F.col("__name"), "left").select("id", "name", F.coalesce("__question", "question").alias("question"), "created_at", "last_used_at")
+    last = views.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+    fresh = told.join(views.select("name"), F.col("__name") == F.col("name"), "left_anti")
+    placed = fresh.withColumn("__place", F.row_number().over(Window.orderBy("__at", "__name"))).crossJoin(F.broadcast(last))  # one row
+    added = placed.select((F.col("__last") + F.col("__place")).alias("id"), F.col("__name").alias("name"), F.col("__question").alias("question"), F.col("__at").alias("created_at"), F.lit(None).cast(dict(views.dtypes)["last_used_at"]).alias("last_used_at"))
+    return kept.unionByName(added)
+
+
+def recently_used(views: DataFrame) -> DataFrame:
+    """Views with their place: the most recently used first, those never used by when they were made."""
+    order = Window.orderBy(F.coalesce("last_used_at", "created_at").desc(), "name")
+    return views.withColumn("place", F.row_number().over(order).cast("long"))

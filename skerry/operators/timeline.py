@@ -54,3 +54,25 @@ def merged(intervals: DataFrame, by: str, start: str, end: str) -> DataFrame:
     reach = F.max(end).over(window.rowsBetween(Window.unboundedPreceding, -1))
     placed = islands(intervals.withColumn("new", reach.isNull() | (F.col(start) > reach)), F.col("new"), [start, end], [by])
     return placed.groupBy(by, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("merged")).drop("island")
+
+
+#: Grouper -> the kind of occurrence it reads, and the pause in minutes that ends a session.
+GROUPERS = {"generation_session": ("generation", 30), "capture_session": ("capture", 180), "file_session": ("file", 180)}
+
+
+def grouped(occurrences: DataFrame, grouper: str, least: int = 1) -> DataFrame:
+    """grouper, axis, session, first, last, members of one grouper's sessions.
+
+    occurrences: item, kind, local_at, instant_at (seconds). Those with an instant and those with
+    a wall clock alone are on different axes and never meet. Sessions of an axis are global, so
+    they are found in buckets of a day and joined at the buckets' ends.
+    """
+    kind, minutes = GROUPERS[grouper]
+    own = occurrences.where(F.col("kind") == kind)
+    out = None
+    for axis, at in (("instant", F.col("instant_at")), ("wall", F.when(F.col("instant_at").isNull(), F.col("local_at")))):
+        rows = own.select("item", F.timestamp_micros((at * 1_000_000).cast("long")).alias("at")).where("at is not null")
+        found = global_sessions(rows, "at", "item", minutes * 60_000_000, 86_400_000_000, least)
+        told = found.select(F.lit(grouper).alias("grouper"), F.lit(axis).alias("axis"), "first_us", "last_us", "members")
+        out = told if out is None else out.unionByName(told)
+    return out

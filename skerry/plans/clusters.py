@@ -8,6 +8,7 @@ from ..operators import clusters, jobs
 from ..operators.graph import agreement
 from ..operators.ranking import bm25
 from ..operators.similarity import range_pairs
+from ..sources import library
 from ..sources.snapshots import Space, registered
 from ..sources.tables import load
 from ..storage import materialise
@@ -190,3 +191,25 @@ def answers_current(spark, sf_dir):
 def runs_proven(spark, sf_dir):
     found = load(spark, sf_dir, "events").select(F.col("user_id").alias("run"), (F.col("user_id") % 3).alias("generation"), (F.col("user_id") % 2).alias("policy")).distinct()
     return jobs.proven(found, 2, 1, F.col("run") % 5 != 0).select("run")
+
+
+@query("catch_up_counted", """
+SELECT 'ingest' AS kind, count(*) FILTER (event_id % 4 <> 0) AS units FROM events UNION ALL SELECT 'embed', count(*) FILTER (event_id % 6 NOT IN (1, 2) AND event_id % 5 <> 0) FROM events UNION ALL SELECT 'captions', count(*) FILTER (event_id % 6 IN (4, 5) AND event_id % 7 <> 0) FROM events
+""")
+def catch_up_counted(spark, sf_dir):
+    files = library.tables(spark, sf_dir)["item"].select("id", "kind")
+    return jobs.counted({"files": files, "read": files.where("id % 4 = 0"), "vectors": files.where("id % 5 = 0"), "said": files.where("id % 7 = 0")})
+
+
+@query("views_saved", """
+WITH v AS (SELECT user_id AS id, 'view ' || user_id AS name, CASE WHEN user_id % 4 = 0 THEN 'f=tag:eq:x&sort=-id' ELSE 'old' END AS question, user_id * 10 AS created_at, CASE WHEN user_id % 3 = 0 THEN 5000 - user_id END AS last_used_at FROM (SELECT DISTINCT user_id FROM events)),
+w AS (SELECT * FROM v UNION ALL SELECT max(id) + 1, 'another', 'a=1', 7777, NULL FROM v)
+SELECT id, name, question, row_number() OVER (ORDER BY coalesce(last_used_at, created_at) DESC, name) AS place FROM w
+""")
+def views_saved(spark, sf_dir):
+    who = load(spark, sf_dir, "events").select("user_id").distinct()
+    id = F.col("user_id")
+    views = who.select(id.alias("id"), F.concat(F.lit("view "), id).alias("name"), F.lit("old").alias("question"), (id * 10).alias("created_at"), F.when(id % 3 == 0, 5000 - id).alias("last_used_at"))
+    refined = who.where("user_id % 4 = 0").select(F.concat(F.lit(" view "), id, F.lit(" ")).alias("name"), F.lit("?f=tag:eq:x&page=3&sort=-id&").alias("question"), F.lit(7777).cast("long").alias("at"))
+    another = spark.createDataFrame([("another", "a=1", 7777)], "name string, question string, at long")
+    return jobs.recently_used(jobs.remembered(views, refined.unionByName(another))).select("id", "name", "question", "place")

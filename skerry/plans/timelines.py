@@ -221,3 +221,17 @@ def tl_busiest_bins(spark, sf_dir):
 def tl_nearest_ordinal(spark, sf_dir):
     rows = events(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "ts")
     return ordered(rows, [F.asc("ts"), F.asc("event_id")]).select("event_id", "ordinal")
+
+
+@query("tl_groupers", """
+WITH o AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'generation' WHEN 1 THEN 'capture' ELSE 'file' END AS kind, event_id % 2 AS wall, CAST(epoch_us(ts) // 1000000 AS BIGINT) * 1000000 AS us FROM events),
+g AS (SELECT *, CASE kind WHEN 'generation' THEN 30 ELSE 180 END * 60000000::BIGINT AS gap FROM o),
+f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY kind, wall ORDER BY us, event_id) <= gap THEN 0 ELSE 1 END AS new FROM g), r AS (SELECT *, sum(new) OVER (PARTITION BY kind, wall ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT kind || '_session' AS grouper, CASE wall WHEN 1 THEN 'wall' ELSE 'instant' END AS axis, min(us) AS first_us, max(us) AS last_us, count(*) AS members FROM r GROUP BY kind, wall, k
+""")
+def tl_groupers(spark, sf_dir):
+    at = F.floor(seconds(F.col("ts"))).cast("double")
+    kind = F.when(F.col("event_id") % 3 == 0, "generation").when(F.col("event_id") % 3 == 1, "capture").otherwise("file")
+    held = events(spark, sf_dir).select(F.col("event_id").alias("item"), kind.alias("kind"), at.alias("local_at"), F.when(F.col("event_id") % 2 == 0, at).alias("instant_at"))
+    parts = [timeline.grouped(held, name) for name in timeline.GROUPERS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
