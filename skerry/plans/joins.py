@@ -28,9 +28,10 @@ def join_semi(spark, sf_dir):
     return load(spark, sf_dir, "customer").join(rich, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def join_anti(spark, sf_dir):
-    some = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a large order; every customer has some order."""
+    some = load(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
     return load(spark, sf_dir, "customer").join(some, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
