@@ -44,6 +44,8 @@ from .common import fresh_path, materialise, table
 READ_SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to string, payload_digest string, payload_length long, payload binary"
 WRITE_SCHEMA = "page_id long, url string, payload binary, payload_digest string, refers_to long"
 MIN_REVISIT = 100
+#: Digests that several pages share, at most, that are broadcast: 40 bytes each.
+SHARED_ROWS = 200_000
 #: Bytes of archives that one task reads, if they are several files.
 TASK_BYTES = 64 << 20
 FILTERED = ("record_type", "record_id", "target_uri", "refers_to", "page_id")
@@ -304,10 +306,13 @@ def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     shared = (
-        rows.where(F.length("payload") >= min_revisit).groupBy(F.col("payload_digest").alias("d"))
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
+        rows.where(F.length("payload") >= min_revisit).groupBy(F.unhex("payload_digest").alias("d"))
+        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null").drop("n")
     )
-    joined = rows.join(shared, rows["payload_digest"] == shared["d"], "left")
+    shared = materialise(shared, "warc-shared")
+    # Few digests go to the payloads; beyond SHARED_ROWS, payloads are shuffled to their digests.
+    few = shared.limit(SHARED_ROWS + 1).count() <= SHARED_ROWS
+    joined = rows.join(F.broadcast(shared) if few else shared, F.unhex("payload_digest") == F.col("d"), "left")
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 

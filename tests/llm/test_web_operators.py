@@ -33,7 +33,9 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, payload binary, record_type string")
 
 
-def test_archive_round_trip(spark, pages, tmp_path):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_archive_round_trip(spark, pages, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "SHARED_ROWS", broadcast)
     folder = f"file://{tmp_path}/warc"
     warc.write_archive(pages, folder)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolve(spark, folder).collect()), key=str)
