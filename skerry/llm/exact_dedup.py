@@ -9,8 +9,8 @@ normalised text, so two texts with one digest never become one group:
 3. the salt winners are combined by (digest, text).
 
 Only combined rows are shuffled with their text. The verdict then returns to the
-documents by a join on the digest, whose skewed partitions adaptive execution splits. That
-join compares no less than the texts: the groups, made of whole texts, show whether any digest
+documents by a join on the digest, hot groups by broadcast. That join compares no less than the
+texts: the groups, made of whole texts, show whether any digest
 has two of them, and if one has, all rows are joined by digest and text.
 
 Defined results: null text counts as empty; a group's row with the smallest doc_id stays;
@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, materialise, table
 
 
+#: Groups that are broadcast, at most: those of this share of all rows.
+HOT_GROUPS = 1000
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS, " ")
 
@@ -56,11 +60,19 @@ def judged(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts:
     """
     rows = docs.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("digest", digest(F.col("body")))
     found = materialise(groups(rows, salts).select("digest", F.octet_length("body").alias("n"), "keep_id", "group_size"), "exact-groups")
-    if found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        names, right = ["digest"], found.drop("n")
-    else:
-        names, right = ["digest", "body"], materialise(groups(rows, salts), "exact-groups")
-    return rows.select("doc_id", *names).join(right, names), names
+    if not found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        names = ["digest", "body"]
+        return rows.select("doc_id", *names).join(materialise(groups(rows, salts), "exact-groups"), names), names
+    # Groups of a HOT_GROUPS-th of all rows or more, HOT_GROUPS at most, go to their rows, which
+    # then take part in the join under keys of their own: no partition holds a hot group's rows.
+    total = found.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    told = F.struct("keep_id", "group_size")
+    hot = found.where(F.col("group_size") >= max(2, -(-total // HOT_GROUPS))).select(F.col("digest").alias("hot_digest"), told.alias("hot"))
+    own = rows.select("doc_id", "digest").join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
+    apart = F.concat(F.lit("-"), F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 20)))
+    own = own.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(apart))
+    met = own.join(found.select(F.col("digest").alias("group_digest"), told.alias("cold")), F.col("key") == F.col("group_digest"), "left")
+    return met.withColumn("told", F.coalesce("hot", "cold")).select("doc_id", "digest", "told.keep_id", "told.group_size"), ["digest"]
 
 
 def verdicts(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = 16) -> DataFrame:

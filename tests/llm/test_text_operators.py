@@ -161,6 +161,21 @@ def test_exact_dedup_awkward(awkward, no_rows):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in one), key=str)
 
 
+@pytest.mark.parametrize("hot", [1000, 2, 1])
+def test_hot_groups_have_the_same_verdicts(spark, awkward, monkeypatch, hot):
+    """Also where every group of two is hot, and where only one that holds all rows would be."""
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", hot)
+    rows = [(i, "hot" if i % 2 else f"t{i % 30}") for i in range(400)] + [(None, "hot"), (None, "n"), (None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = defaultdict(list)
+    for i, t in rows:
+        held[t].append(i)
+    least = {t: min((i for i in g if i is not None), default=None) for t, g in held.items()}
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.verdicts(docs).collect()), key=str)
+    assert got == sorted([(i, least[t], len(held[t]), i == least[t]) for i, t in rows], key=str)
+    assert exact_dedup.deduplicate(docs).count() == len(held)
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = [(7, "same"), (7, "same"), (None, "x y"), (None, "x y"), (None, "x  y"), (None, "x y"), (8, "same"), (9, "y"), (None, "y"), (7, "other"), (7, "other ")]
     docs = spark.createDataFrame([(i, t, {"a": 1}, "z") for i, t in rows], "doc_id long, text string, digest map<string, int>, body string").repartition(3)
