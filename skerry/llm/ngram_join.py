@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import input_bytes, materialise, mix, shingle_sets, table
 from .components import components
-from .sharing import binaries, buckets_for, dealt, keyed, reduced, shared, starts_of, values_of
+from .sharing import binaries, buckets_for, dealt, grouped, keyed, reduced, shared, starts_of, values_of
 
 WIDTH = 5
 #: Two sets link when OVER * intersection >= UNDER * union.
@@ -448,7 +448,7 @@ def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 
     # Equal sets are one: all but the first of a class are linked to it and go no further.
     classes = sizes.where("n > 0").groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    equal = sizes.join(classes.drop("members"), ["n", "one", "two"]).select("doc_id", "rid", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"))
+    equal = grouped(sizes, materialise(classes, "set-classes"), ["n", "one", "two"], "members").select("doc_id", "rid", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"))
     equal = materialise(equal.where("doc_id <> first_id or rid <> first_rid").distinct(), "equal-sets")
 
     def prefixes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:

@@ -19,12 +19,25 @@ from .common import pieces
 
 #: Bytes of text whose documents are compared within a map task.
 BATCH_BYTES = 24 << 20
+#: Groups that are broadcast, at most: those of this share of all rows.
+HOT_GROUPS = 1000
 #: Tasks of a step that meets by part, at most; with more parts, a task has several, one after the other.
 MOST_TASKS = 20_000
 ROWS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("mark", pa.bool_()), ("hashes", pa.binary())])
 FOUND = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("hashes", pa.binary())])
 
 
+def grouped(rows: DataFrame, groups: DataFrame, keys: list[str], members: str) -> DataFrame:
+    """`rows` joined with `groups` on `keys`; groups of a HOT_GROUPS-th of all rows or more, HOT_GROUPS at most, are broadcast.
+
+    So no partition holds a hot group's rows. Both tables are read several times.
+    """
+    bound = max(2, -(-rows.count() // HOT_GROUPS))
+    hot, cold = groups.where(F.col(members) >= bound), groups.where(F.col(members) < bound)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, rid, text: null ids count as larger than all others; rid tells texts of one id apart, 0 if ids are unique."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id")

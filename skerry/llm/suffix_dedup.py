@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import input_bytes, materialise, mix, pieces, same_spans, span_hashes, table
-from .sharing import binaries, buckets_for, dealt, keyed, reduced, shared, starts_of, values_of
+from .sharing import binaries, buckets_for, dealt, grouped, keyed, reduced, shared, starts_of, values_of
 
 LENGTH = 50
 GRAM = 24
@@ -409,9 +409,9 @@ def cut_out(rows: DataFrame, length: int) -> DataFrame:
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs` (doc_id, text)."""
     size, rows = input_bytes(docs), keyed(docs)
-    digests = rows.where(F.octet_length("text") >= length).select("doc_id", "rid", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    classes = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("digest").alias("d"), "least")
-    copies = materialise(digests.join(classes, F.col("digest") == F.col("d")).where("doc_id > least").select("doc_id", "rid").distinct(), "suffix-copies")
+    digests = materialise(rows.where(F.octet_length("text") >= length).select("doc_id", "rid", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "suffix-digests")
+    classes = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
+    copies = materialise(grouped(digests, materialise(classes, "suffix-classes"), ["digest"], "n").where("doc_id > least").select("doc_id", "rid").distinct(), "suffix-copies")
     buckets, parts = buckets_for(size, HASH_BYTES), buckets_for(size, SORT_BYTES)
     candidates = shared(rows, row_hashes, buckets).join(copies, ["doc_id", "rid"], "left_anti")
     candidates = materialise(candidates.groupBy("doc_id", "rid").agg(F.collect_list("hashes").alias("hashes")), "suffix-candidates")

@@ -349,7 +349,8 @@ def test_signature_tree_by_force():
 def test_join_by_force(spark, monkeypatch, block_bytes):
     """Also with groups cut into blocks so small that links cross them."""
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
-    rows = near_copies(11, 80) + [(1000 + i, t) for i, t in enumerate(["", None, " ", "one two", "one  TWO", "one two three"])]
+    monkeypatch.setattr(sharing, "HOT_GROUPS", 1000 if block_bytes == 3000 else 10)
+    rows = [(5000 + i, "one more text that many rows have word for word") for i in range(12)] + near_copies(11, 80) + [(1000 + i, t) for i, t in enumerate(["", None, " ", "one two", "one  TWO", "one two three"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components_of(docs).collect()}
     assert got == components_by_force(rows)
@@ -462,6 +463,7 @@ def test_suffix_order():
 def test_suffix_dedup_by_force(spark, monkeypatch, hot):
     """Also with minimizers that count as hot, whose strings go apart."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(sharing, "HOT_GROUPS", 1000 if hot > 1 else 20)
     pick = random.Random(9)
     passages = ["".join(pick.choice("abcé \n") for _ in range(pick.randrange(40, 200))) for _ in range(12)]
     rows = []
