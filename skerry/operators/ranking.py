@@ -18,17 +18,20 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, id: str, text: str, words: list[str]) -> DataFrame:
     """id and score of the documents that have one of `words`.
 
-    Lengths and hits come from one scan; only (document, word) rows of the asked words are shuffled.
+    One scan finds lengths and how many documents have each word, another the scores. A document's
+    words add up in the order of `words`, so that equal texts have equal scores to the last bit.
     """
-    held = docs.select(F.col(id), tokens(F.col(text)).alias("t")).select(id, F.size("t").alias("length"), F.filter("t", lambda x: x.isin(words)).alias("hits"))
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    tf = held.where(F.size("hits") > 0).select(id, "length", F.explode("hits").alias("word")).groupBy(id, "length", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(F.broadcast(df), "word").crossJoin(F.broadcast(stats))  # one row per word, one row
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return joined.groupBy(id).agg(F.sum(weight).alias("score"))
+    words = list(dict.fromkeys(words))
+    held = docs.select(F.col(id), tokens(F.col(text)).alias("t")).select(id, F.array_size("t").alias("length"), F.filter("t", lambda x: x.isin(words)).alias("hits"))
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), F.array(*[F.count_if(F.array_contains("hits", w)) for w in words]).alias("df"))
+    joined = held.where(F.size("hits") > 0).crossJoin(F.broadcast(stats))  # one row
+    score = F.lit(0.0)
+    for k, w in enumerate(words):
+        tf, df = F.size(F.filter("hits", F.lit(w).eqNullSafe)), F.col("df")[k]
+        raw = F.log((F.col("n") - df + 0.5) / (df + 0.5))
+        idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("average")))).otherwise(F.lit(0.0))
+    return joined.select(id, score.alias("score")).groupBy(id).agg(F.sum("score").alias("score"))
 
 
 def ranked(scores: DataFrame, id: str, space: str | None = None, most: int | None = None) -> DataFrame:

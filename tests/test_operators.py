@@ -11,6 +11,7 @@ from skerry.functions import moments, text
 from skerry.functions.vector import sign_bits
 from skerry.operators import answer, graph, timeline
 from skerry.operators.joins import asof, overlapping, reconcile
+from skerry.operators.ranking import bm25
 from skerry.operators.similarity import hamming_pairs, range_pairs, top_k
 from skerry.sources.files import sniffed, walk
 
@@ -178,3 +179,12 @@ def test_walk_sniffs(spark, tmp_path):
     # The source has no row for a file without bytes.
     assert got == {"x.txt": ("png", "image", 11), "y.mp3": (None, "audio", 4)}
     assert sniffed(F.lit(b"\x00\x00\x00\x18ftypmp42")) is not None
+
+
+def test_equal_texts_have_equal_scores(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    same = " ".join(w for k, w in enumerate(words) for _ in range(k + 1)) + " and more"
+    rows = [(i, same if i % 2 else f"other text {i} {words[i % 5]} {words[i % 3]}") for i in range(400)] + [(400, None), (401, "")]
+    scores = {r.id: r.score for r in bm25(spark.createDataFrame(rows, "id long, text string"), "id", "text", words).collect()}
+    assert len(scores) == 400
+    assert len({scores[i] for i in range(1, 400, 2)}) == 1
