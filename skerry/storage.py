@@ -29,8 +29,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skerry/{name}-{uuid.uuid4().hex}"
 
 
+#: Makes Spark delete an execution's shuffle files when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, outlives executors."""
+    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, outlives executors.
+
+    The shuffle files of the write go with it; else they'd stay until the driver happens to collect its garbage.
+    """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Operators without SQL against plain versions of themselves."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -146,3 +147,26 @@ def test_shared_folder_is_wanted_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         storage.shared_dir(Elsewhere)
     assert runs.scratch(spark).startswith(storage.shared_dir(spark))
+
+
+def test_a_kept_table_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from skerry import storage
+
+    release = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(release, "false")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {str(x) for x in (f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())) if x.startswith("shuffle_")}
+
+    before = files()
+    kept = storage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "seven")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(release) == "false"
+    assert sorted((r["k"], r["count"]) for r in kept.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
