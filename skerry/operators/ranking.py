@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .answer import ordered
+from .similarity import NAN, OWN, UNITS, by_space
 
 #: Fixed values of the scores.
 K1, B, RRF_DEPTH, HEAD_SHARE = 1.2, 0.75, 60, 0.5
@@ -65,3 +70,73 @@ def head(scores: DataFrame, space: str) -> DataFrame:
     reach = F.col("best") - F.col("middle")
     standing = F.when(reach > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("score") - F.col("middle")) / reach))).otherwise(F.lit(0.0))
     return joined.withColumn("relevance", F.round(standing, 4)).withColumn("answers", (reach > 0) & (F.col("score") >= F.col("middle") + HEAD_SHARE * reach))
+
+
+# -- whole spaces, without a row for each pair ------------------------------------------
+
+Spaces = Iterator[tuple[int, np.ndarray]]
+
+
+def fused_spaces(vectors: DataFrame, queries: DataFrame, id: str, vector: str, depth: int = RRF_DEPTH) -> DataFrame:
+    """id, fusion, spaces: `fused` of the positions (`ranked`) of all vectors by cosine to each query of another id."""
+
+    def fold(ids: np.ndarray, spaces: Spaces) -> Iterator[pa.RecordBatch]:
+        total, count, share = np.zeros(len(ids)), np.zeros(len(ids), np.int64), 1.0 / (depth + np.arange(1.0, len(ids) + 1))
+        at = np.arange(len(ids), dtype=np.uint64)
+        for _, keys in spaces:
+            # Best first, then by id; the query's own come last.
+            order = np.sort((NAN - keys.astype(np.int64)).astype(np.uint64) << np.uint64(32) | at) & np.uint64(2**32 - 1)
+            order = order[: np.count_nonzero(keys != OWN)].astype(np.int64)
+            total[order] += share[: len(order)]
+            count[order] += 1
+        met = np.flatnonzero(count)
+        for k in range(0, len(met), 65_536):
+            own = met[k : k + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(total[own]), pa.array(count[own])], ["id", "fusion", "spaces"])
+
+    parts = by_space(vectors, queries, id, vector, fold, "id long, fusion double, spaces long", "fused")
+    return parts.groupBy(F.col("id").alias(id)).agg(F.sum("fusion").alias("fusion"), F.sum("spaces").alias("spaces"))
+
+
+def _heads(spaces: Spaces) -> Iterator[tuple[int, np.ndarray, float, float]]:
+    """Query, scores (NaN for its own), middle and best of each space that has a score."""
+    for query, keys in spaces:
+        held = keys[keys != OWN]
+        if not len(held):
+            continue
+        n, real = len(held), lambda k: np.where(k == NAN, np.nan, k / UNITS)
+        middle = np.partition(held, ((n - 1) // 2, n // 2))
+        low, high = real(middle[(n - 1) // 2]), real(middle[n // 2])
+        yield query, np.where(keys == OWN, np.nan, real(keys)), float(low if low == high else 0.5 * low + 0.5 * high), float(real(held.max()))
+
+
+def head_of_spaces(vectors: DataFrame, queries: DataFrame, id: str, vector: str) -> DataFrame:
+    """query_id, id, score: the rows of `head` that answer."""
+
+    def fold(ids: np.ndarray, spaces: Spaces) -> Iterator[pa.RecordBatch]:
+        for query, scores, middle, best in _heads(spaces):
+            if best - middle > 0:
+                own = np.flatnonzero(scores >= middle + HEAD_SHARE * (best - middle))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), query)), pa.array(ids[own]), pa.array(scores[own])], ["query_id", "id", "score"])
+
+    return by_space(vectors, queries, id, vector, fold, "query_id long, id long, score double").withColumnRenamed("id", id)
+
+
+def standing_in_spaces(vectors: DataFrame, queries: DataFrame, id: str, vector: str) -> DataFrame:
+    """id, relevance (the largest of `head`'s) and answers (in any space) of every vector that has a score."""
+
+    def fold(ids: np.ndarray, spaces: Spaces) -> Iterator[pa.RecordBatch]:
+        most, answers = np.full(len(ids), np.nan), np.zeros(len(ids), bool)
+        for _, scores, middle, best in _heads(spaces):
+            reach = best - middle
+            standing = np.clip((scores - middle) / reach, 0.0, 1.0) if reach > 0 else np.where(np.isnan(scores), np.nan, 0.0)
+            most = np.fmax(most, standing)
+            if reach > 0:
+                answers |= scores >= middle + HEAD_SHARE * reach
+        met = np.flatnonzero(~np.isnan(most))
+        for k in range(0, len(met), 65_536):
+            own = met[k : k + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(most[own]), pa.array(answers[own])], ["id", "relevance", "answers"])
+
+    parts = by_space(vectors, queries, id, vector, fold, "id long, relevance double, answers boolean", "standing")
+    return parts.groupBy(F.col("id").alias(id)).agg(F.round(F.max("relevance"), 4).alias("relevance"), F.max("answers").alias("answers"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import semantic
-from ..operators.ranking import bm25, fused, head, ranked, tokens
+from ..operators.ranking import bm25, fused, fused_spaces, head, ranked, tokens
 from ..operators.similarity import scores
 from ..sources.tables import load
 from .registry import query
@@ -25,11 +25,16 @@ sc AS (SELECT query_id, u.vec_id, round(list_dot_product(q.v, u.v), 9) AS score
 """
 
 
-def spaces(spark, sf_dir, allowed=None):
-    """Scores of the allowed vectors against all stated queries, the rows whose id is divisible by 50."""
+def sides(spark, sf_dir, allowed=None):
+    """The allowed vectors and all stated queries, the rows whose id is divisible by 50."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     among = vectors if allowed is None else vectors.join(allowed, "vec_id", "left_semi")
-    return scores(among, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+    return among, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding"
+
+
+def spaces(spark, sf_dir, allowed=None):
+    """Scores of the allowed vectors against all stated queries."""
+    return scores(*sides(spark, sf_dir, allowed)).withColumnRenamed("id", "vec_id")
 
 
 def english(spark, sf_dir):
@@ -47,21 +52,13 @@ def ret_bm25(spark, sf_dir):
 
 @query("ret_rrf", f"WITH {SPACES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS position FROM sc) SELECT vec_id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS fusion, count(*) AS spaces FROM r GROUP BY vec_id")
 def ret_rrf(spark, sf_dir):
-    return fusions(spaces(spark, sf_dir))
-
-
-def fusions(scored):
-    found = fused(ranked(scored, "vec_id", "query_id"), "vec_id")
+    found = fused_spaces(*sides(spark, sf_dir))
     return found.select("vec_id", F.round("fusion", 9).alias("fusion"), "spaces")
 
 
 @query("ret_rrf_constrained", f"WITH {SPACES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS position FROM sc WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) SELECT vec_id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS fusion FROM r GROUP BY vec_id ORDER BY sum(1.0::DOUBLE / (60 + position)) DESC, vec_id LIMIT 50")
 def ret_rrf_constrained(spark, sf_dir):
-    return best_fusions(spaces(spark, sf_dir, english(spark, sf_dir)))
-
-
-def best_fusions(scored):
-    found = fused(ranked(scored, "vec_id", "query_id"), "vec_id")
+    found = fused(ranked(spaces(spark, sf_dir, english(spark, sf_dir)), "vec_id", "query_id"), "vec_id")
     return found.orderBy(F.desc("fusion"), "vec_id").limit(50).select("vec_id", F.round("fusion", 9).alias("fusion"))
 
 
