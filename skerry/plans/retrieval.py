@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import semantic
-from ..operators.ranking import bm25, fused, fused_spaces, head, ranked, tokens
+from ..operators.ranking import bm25, fused, fused_spaces, head, ranked, standing_in_spaces, tokens
 from ..operators.similarity import scores
 from ..sources.tables import load
 from .registry import query
@@ -77,7 +77,7 @@ def ret_standing(spark, sf_dir):
 
 @query("ret_answering_set", f"WITH {HEAD_SQL} SELECT DISTINCT vec_id FROM sc JOIN l USING (query_id) WHERE best > middle AND score >= middle + 0.5 * (best - middle)")
 def ret_answering_set(spark, sf_dir):
-    return head(spaces(spark, sf_dir), "query_id").where("answers").select("vec_id").distinct()
+    return standing_in_spaces(*sides(spark, sf_dir)).where("answers").select("vec_id")
 
 
 @query("ret_neighbours", f"WITH {SPACES_SQL} SELECT query_id, vec_id, place FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM sc WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label < 5)) WHERE place <= 10")
