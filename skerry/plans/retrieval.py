@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import semantic
-from ..operators.ranking import bm25, fused, fused_spaces, head, head_of_spaces, ranked, standing_in_spaces, tokens
+from ..operators.ranking import bm25, fused, fused_spaces, head_of_spaces, ranked, standing_in_spaces, tokens
 from ..operators.similarity import scores
 from ..sources.tables import load
 from .registry import query
@@ -72,7 +72,7 @@ def ret_head_cut(spark, sf_dir):
 
 @query("ret_standing", f"WITH {HEAD_SQL} SELECT vec_id, max(round(CASE WHEN best > middle THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (score - middle) / (best - middle))) ELSE 0.0::DOUBLE END, 4)) AS relevance FROM sc JOIN l USING (query_id) GROUP BY vec_id")
 def ret_standing(spark, sf_dir):
-    return head(spaces(spark, sf_dir), "query_id").groupBy("vec_id").agg(F.max("relevance").alias("relevance"))
+    return standing_in_spaces(*sides(spark, sf_dir)).select("vec_id", "relevance")
 
 
 @query("ret_answering_set", f"WITH {HEAD_SQL} SELECT DISTINCT vec_id FROM sc JOIN l USING (query_id) WHERE best > middle AND score >= middle + 0.5 * (best - middle)")
