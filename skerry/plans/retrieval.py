@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import semantic
-from ..operators.ranking import bm25, fused, fused_spaces, head_of_spaces, ranked, standing_in_spaces, tokens
+from ..operators.ranking import bm25, fused_spaces, head_of_spaces, ranked, standing_in_spaces, tokens
 from ..operators.similarity import scores
 from ..sources.tables import load
 from .registry import query
@@ -58,7 +58,7 @@ def ret_rrf(spark, sf_dir):
 
 @query("ret_rrf_constrained", f"WITH {SPACES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS position FROM sc WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) SELECT vec_id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS fusion FROM r GROUP BY vec_id ORDER BY sum(1.0::DOUBLE / (60 + position)) DESC, vec_id LIMIT 50")
 def ret_rrf_constrained(spark, sf_dir):
-    found = fused(ranked(spaces(spark, sf_dir, english(spark, sf_dir)), "vec_id", "query_id"), "vec_id")
+    found = fused_spaces(*sides(spark, sf_dir, english(spark, sf_dir)))
     return found.orderBy(F.desc("fusion"), "vec_id").limit(50).select("vec_id", F.round("fusion", 9).alias("fusion"))
 
 
