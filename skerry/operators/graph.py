@@ -5,6 +5,8 @@ Iterations cut their lineage with reliable checkpoints in the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,13 +93,16 @@ def duplicate_groups(pairs: DataFrame, verified: DataFrame, size: DataFrame) ->
     verified: a, b of pairs that pass the second test. size: node, weight (larger is better).
     Members that aren't a verified neighbour of the best one leave; groups of one are none.
     """
-    parts = components(verified.select("a", "b"))
+    near = verified.select("a", "b").unionAll(verified.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return groups_beside(components(verified.select("a", "b")), size, lambda held: held.join(near, (F.col("node") == F.col("a")) & (F.col("best") == F.col("b")), "left_semi"))
+
+
+def groups_beside(parts: DataFrame, size: DataFrame, beside: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`duplicate_groups` of components (node, component); beside: keeps the rows node, component, best whose node is a verified neighbour of the best."""
     ranked = parts.join(size, "node")
     best = ranked.groupBy("component").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("best"))
-    near = verified.select("a", "b").unionAll(verified.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    held = parts.join(best, "component")
-    beside = held.join(near, (F.col("node") == F.col("a")) & (F.col("best") == F.col("b")), "left_semi")
-    kept = beside.unionAll(held.where("node = best"))
+    held = parts.join(best, "component").select("component", "node", "best")
+    kept = beside(held.where("node <> best")).select("component", "node", "best").unionAll(held.where("node = best"))
     names = kept.groupBy("component").agg(F.min("node").alias("group_id"), F.count(F.lit(1)).alias("members")).where("members >= 2")
     return kept.join(names, "component").select("group_id", "node", "best", "members")
 

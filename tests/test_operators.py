@@ -218,3 +218,32 @@ def test_rankings_have_no_row_for_each_pair(spark, sf_dir, monkeypatch, name):
 
     monkeypatch.setattr(retrieval, "scores", refused)
     assert getattr(retrieval, name)(spark, sf_dir).count() > 0
+
+
+def test_linked_has_the_components_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SENT_ROWS", 11)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 4)
+    pick = np.random.default_rng(11)
+    rows = [(i * 7, [float(x) for x in (pick.normal(size=9) if i % 10 else np.zeros(9))]) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    u = np.array([v for _, v in rows], np.float32).astype(float)
+    n = np.linalg.norm(u, axis=1, keepdims=True)
+    unit = np.divide(u, n, out=u.copy(), where=n > 0)
+    for signs in (64, 3):
+        root = list(range(70))
+        for i, j in itertools.combinations(range(70), 2):
+            if unit[i] @ unit[j] >= 0.6 and sum((u[i] > 0) != (u[j] > 0)) <= signs and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+        got = {r.node: r.component for r in graph.components(similarity.linked(df, "id", "v", 0.6, signs)).collect()}
+        assert got == {i * 7: root[i] * 7 for i in range(70) if root.count(root[i]) > 1}
+
+
+def test_duplicate_groups_have_no_row_for_each_pair(spark, sf_dir, monkeypatch):
+    from skerry.plans import graphs
+
+    def refused(*_):
+        raise AssertionError("all pairs are rows")
+
+    monkeypatch.setattr(graphs, "range_pairs", refused)
+    assert graphs.dupe_groups(spark, sf_dir).count() > 0
