@@ -5,16 +5,20 @@ Iterations cut their lineage with reliable checkpoints in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import materialise, shared_dir
+from .similarity import unite
 
 SWEEPS = 20
+#: Edges that a task reduces to a forest at once.
+REDUCED = 1 << 21
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -25,9 +29,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """a, b with the components of the edges a, b: each task's edges, REDUCED at a time, as stars around the smallest nodes."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        nodes, ends = np.unique(np.concatenate((t["a"].to_numpy(), t["b"].to_numpy())), return_inverse=True)
+        root = np.arange(len(nodes))
+        unite(root, ends[: t.num_rows], ends[t.num_rows :])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= REDUCED:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    return edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """node, component (its smallest node) for edges a, b: smallest-neighbour contraction."""
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    """node, component (its smallest node) for edges a, b: smallest-neighbour contraction of each task's forest."""
+    now = checkpointed(forest(edges).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     last = None
     for _ in range(most):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -70,9 +99,10 @@ def vote(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "label": nodes[label]})
 
 
-def whispers(edges: DataFrame) -> DataFrame:
+def whispers(edges: DataFrame, kept: bool = False) -> DataFrame:
     """node, label for edges a, b, weight. Voting is sequential, so each component is one task's work;
-    components are independent of one another."""
+    components are independent of one another. kept: the edges are a table already; else they are made one, as they are read twice."""
+    edges = edges if kept else materialise(edges.select("a", "b", "weight"), "whispers-edges")
     parts = components(edges)
     placed = edges.join(parts, F.col("a") == F.col("node")).select("component", "a", "b", "weight")
     return placed.groupBy("component").applyInPandas(lambda g: vote(g), "node long, label long")
@@ -82,6 +112,7 @@ def consensus(labelings: list[DataFrame], edges: DataFrame) -> DataFrame:
     """Voting over the edges whose ends most of the labelings (node, label) put together."""
     votes = edges.select("a", "b", "weight", F.lit(0).alias("votes"))
     for x in labelings:
+        x = materialise(x.select("node", "label"), "consensus-labels")  # read twice
         left, right = (x.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
         votes = votes.join(left, "a", "left").join(right, "b", "left").select("a", "b", "weight", (F.col("votes") + F.coalesce((F.col("la") == F.col("lb")).cast("int"), F.lit(0))).alias("votes"))
     return whispers(votes.where(F.col("votes") * 2 > len(labelings)).select("a", "b", "weight"))

@@ -247,3 +247,13 @@ def test_duplicate_groups_have_no_row_for_each_pair(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(graphs, "range_pairs", refused)
     assert graphs.dupe_groups(spark, sf_dir).count() > 0
+
+
+def test_components_of_many_edges_from_few(spark, monkeypatch):
+    monkeypatch.setattr(graph, "REDUCED", 50)
+    edges = [(i, j) for i, j in itertools.combinations(range(40), 2) if i % 3 == j % 3] + [(50, 50), (60, 61)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(2)
+    assert {(r.node, r.component) for r in graph.components(df).collect()} == {(i, i % 3) for i in range(40)} | {(60, 60), (61, 60)}
+    assert graph.forest(df.coalesce(1)).count() <= 41 * -(-len(edges) // 50)
+    monkeypatch.setattr(graph, "REDUCED", 1 << 21)
+    assert graph.forest(df.coalesce(1)).count() == 38
