@@ -8,15 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
-from .similarity import unite
+from . import voting
+from .similarity import neighbours, unite
+from .voting import SWEEPS  # noqa: F401
 
-SWEEPS = 20
 #: Edges that a task reduces to a forest at once.
 REDUCED = 1 << 21
 
@@ -74,38 +74,47 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def vote(group: pd.DataFrame) -> pd.DataFrame:
-    """Labels of one component by weighted voting, nodes in ascending order.
+def labels_of(blocks: DataFrame, name: str, rule: Callable[[voting.Graph], np.ndarray], by_id: bool = False) -> DataFrame:
+    """node, label of each partition's graph, of rows of voting.BLOCK or, with `by_id`, of rows a, b, weight in the order of a and b."""
 
-    A node takes the label whose neighbours weigh most; its vote counts at once for those after
-    it, ties go to the lowest label. SWEEPS rounds at most, fewer once nothing changes.
-    """
-    nodes, ends = np.unique(np.concatenate((group["a"].to_numpy(), group["b"].to_numpy())), return_inverse=True)
-    a, b = ends[: len(group)], ends[len(group) :]
-    source, target, weight = np.concatenate((a, b)), np.concatenate((b, a)), np.tile(group["weight"].to_numpy(float), 2)
-    order = np.lexsort((target, source))
-    target, weight = target[order], weight[order]
-    begin = np.searchsorted(source[order], np.arange(len(nodes) + 1))
-    label = np.arange(len(nodes))
-    for _ in range(SWEEPS):
-        before = label.copy()
-        for n in range(len(nodes)):
-            near = slice(begin[n], begin[n + 1])
-            names, place = np.unique(label[target[near]], return_inverse=True)
-            # Names ascend, and argmax takes the first of the heaviest.
-            label[n] = names[np.round(np.bincount(place, weight[near]), 12).argmax()]
-        if np.array_equal(before, label):
-            break
-    return pd.DataFrame({"node": nodes, "label": nodes[label]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = voting.Graph(voting.sorted_blocks(batches) if by_id else batches, by_id)
+        label = rule(held)
+        some = np.flatnonzero(label >= 0)
+        for k in range(0, len(some), 65_536):
+            part = some[k : k + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(held.ids[part]), pa.array(held.ids[label[part]])], ["node", "label"])
+
+    return materialise(blocks.mapInArrow(run, "node long, label long"), name)
 
 
 def whispers(edges: DataFrame, kept: bool = False) -> DataFrame:
     """node, label for edges a, b, weight. Voting is sequential, so each component is one task's work;
-    components are independent of one another. kept: the edges are a table already; else they are made one, as they are read twice."""
+    components are independent of one another. A task gets its edges in order, and holds a block of them
+    at a time. kept: the edges are a table already; else they are made one, as they are read twice."""
     edges = edges if kept else materialise(edges.select("a", "b", "weight"), "whispers-edges")
-    parts = components(edges)
-    placed = edges.join(parts, F.col("a") == F.col("node")).select("component", "a", "b", "weight")
-    return placed.groupBy("component").applyInPandas(lambda g: vote(g), "node long, label long")
+    placed = edges.join(components(edges), F.col("a") == F.col("node"))
+    way = lambda a, b: F.struct(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    rows = placed.select("component", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), F.col("weight").cast("double").alias("weight")).select("component", "e.a", "e.b", "weight")
+    return labels_of(rows.repartition("component").sortWithinPartitions("a", "b").drop("component"), "whispers", voting.voted, True)
+
+
+def labels_near(vectors: DataFrame, id: str, vector: str, threshold: float, name: str, rule: Callable[[voting.Graph], np.ndarray]) -> DataFrame:
+    """node, label by `rule` over all pairs with a cosine of at least `threshold`, none of which is a row.
+
+    Neighbour lists are found by all tasks and pass one shuffle, packed. One task votes for all
+    components: it holds labels and a block of edges, the others are in a temporary file.
+    """
+    lists, sent = neighbours(vectors, id, vector, threshold)
+    found = labels_of(lists.repartition(1), name, rule)
+    for b in sent:
+        b.destroy()
+    return found
+
+
+def whispers_near(vectors: DataFrame, id: str, vector: str, threshold: float) -> DataFrame:
+    """`whispers` over the pairs of `labels_near`."""
+    return labels_near(vectors, id, vector, threshold, "whispers", voting.voted)
 
 
 def consensus(labelings: list[DataFrame], edges: DataFrame) -> DataFrame:

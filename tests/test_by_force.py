@@ -1,13 +1,17 @@
 """Operators without SQL against plain versions of themselves."""
 
+import pathlib
 import random
 import time
 
 import numpy as np
 import pytest
 
-from skerry.operators import answer, clusters, documents, graph, semantic
+from skerry.operators import answer, clusters, documents, graph, semantic, similarity, voting
 from skerry.operators.graph import SWEEPS
+from skerry.plans import registry
+from skerry.plans.vectors import THRESHOLD
+from skerry.storage import shared_dir
 from skerry.streaming import runs
 
 
@@ -42,6 +46,82 @@ def test_whispers(spark, seed):
     assert got == voted(edges)
 
 
+@pytest.mark.parametrize("most", [1, 7, 1 << 21])
+def test_whispers_in_blocks(spark, monkeypatch, most):
+    """Blocks of few edges, in a file: the same labels; self-loops, copies of edges and edges that don't count as well."""
+    monkeypatch.setattr(voting, "IN_MEMORY", 64)
+    edges = [*weighted(5, 60, 150), (1, 1, 1.0), (2, 3, 0.5), (2, 3, 0.5), (70, 71, 1.0)]
+    blocks = list(cut(edges, most))
+    assert (len(blocks) > 20) == (most < 10)
+    held = voting.Graph(iter(blocks[::-1]), by_id=True)
+    assert labels(held) == voted(edges)
+    kept = [e for e in edges if e[2] >= 0.75]
+    assert labels(held, lambda a, b, w: w >= 0.75) == voted(kept)
+
+
+def cut(edges, most):
+    """Blocks of whole nodes, of `most` edges or one node's."""
+    both = sorted([(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges])
+    held = []
+    for n in sorted({a for a, _, _ in both}):
+        own = [e for e in both if e[0] == n]
+        if held and len(held) + len(own) > most:
+            yield one(held)
+            held = []
+        held += own
+    yield one(held)
+
+
+def one(held):
+    a, b, w = (np.array(c) for c in zip(*held, strict=True))
+    nodes, source = np.unique(a, return_inverse=True)
+    return voting.block(nodes, nodes, source, b, w)
+
+
+def labels(held, keep=None):
+    label = voting.voted(held, keep)
+    return {int(held.ids[n]): int(held.ids[x]) for n, x in enumerate(label) if x >= 0}
+
+
+def bundled(spark, tmp_path, n=600):
+    """A folder of embeddings of which most are near one another, and the edges of `graph_whispers`."""
+    pick = np.random.default_rng(2)
+    rows = [(i * 3 - 40, [float(x) for x in np.float32(np.eye(8)[i % 6] + np.eye(8)[7] * (i % 2 * 3 - 1.5) + pick.normal(size=8) * 0.5)], i % 5) for i in pick.permutation(n).tolist()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    m = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    ids = sorted(m)
+    s = np.array([m[i] for i in ids]) @ np.array([m[i] for i in ids]).T
+    return [(ids[x], ids[y], float(s[x, y])) for x, y in zip(*np.nonzero(np.triu(s >= THRESHOLD, 1)), strict=True)]
+
+
+def test_whispers_writes_no_pair(spark, tmp_path, monkeypatch):
+    """The labels of all pairs, while what is kept between steps grows with the vectors, not with the pairs."""
+    edges = bundled(spark, tmp_path)
+    monkeypatch.setattr(voting, "BLOCK_EDGES", 5000)
+    assert len(edges) > 50_000
+    before = kept(spark)
+    got = {r.node: r.label for r in registry.QUERIES["graph_whispers"](spark, str(tmp_path)).collect()}
+    assert kept(spark) - before < len(edges)
+    want = voted(edges)
+    assert got == want
+    assert len(set(want.values())) > 1
+
+
+def kept(spark):
+    """Bytes of the tables kept between steps."""
+    return sum(p.stat().st_size for p in pathlib.Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_neighbours_of_odd_vectors(spark):
+    """Ids that come twice, vectors of length 0, pairs exactly at the threshold: both directions, once each."""
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (1, [0.0, 1.0]), (3, [0.0, 0.0]), (9, [1.0, 0.0]), (7, [-1.0, 0.0])]
+    lists, _ = similarity.neighbours(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.6)
+    held = voting.Graph(b for r in lists.toArrow().to_batches() for b in [r])
+    found = sorted((int(held.ids[n]), int(held.ids[t]), round(float(w), 9)) for of in held.blocks for ends, target, weight in [held.edges(of, None)] for k, n in enumerate(of[0]) for t, w in zip(target[ends[k] : ends[k + 1]], weight[ends[k] : ends[k + 1]], strict=True))
+    pairs = [(1, 2, 0.6), (1, 2, 0.8), (1, 9, 1.0), (2, 9, 0.6)]
+    assert found == sorted(pairs + [(b, a, w) for a, b, w in pairs])
+
+
 def test_consensus(spark):
     edges = weighted(9)
     nodes = sorted({x for a, b, _ in edges for x in (a, b)})
@@ -150,8 +230,7 @@ def test_shared_folder_is_wanted_on_a_cluster(spark, monkeypatch):
 
 
 def test_a_kept_table_leaves_no_shuffle_files(spark):
-    from pyspark.sql import functions as F
-
+    
     from skerry import storage
 
     release = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
