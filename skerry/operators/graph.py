@@ -117,6 +117,15 @@ def whispers_near(vectors: DataFrame, id: str, vector: str, threshold: float) ->
     return labels_near(vectors, id, vector, threshold, "whispers", voting.voted)
 
 
+def consensus_near(vectors: DataFrame, id: str, vector: str, threshold: float, leasts: list[float]) -> DataFrame:
+    """`consensus` over the pairs of `labels_near`: of their `whispers`, of `whispers` over those of at least each of `leasts`, and of their components.
+
+    An edge's ends always share their component, so that labeling puts every edge's ends together unasked.
+    """
+    keeps = [None, *((lambda a, b, w, least=least: w >= least) for least in leasts)]
+    return labels_near(vectors, id, vector, threshold, "consensus", lambda held: voting.agreed(held, keeps, 1))
+
+
 def consensus(labelings: list[DataFrame], edges: DataFrame) -> DataFrame:
     """Voting over the edges whose ends most of the labelings (node, label) put together."""
     votes = edges.select("a", "b", "weight", F.lit(0).alias("votes"))

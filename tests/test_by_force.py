@@ -122,6 +122,32 @@ def test_neighbours_of_odd_vectors(spark):
     assert found == sorted(pairs + [(b, a, w) for a, b, w in pairs])
 
 
+def test_consensus_writes_no_pair(spark, tmp_path, monkeypatch):
+    """As with whispers, of three labelings, one of which lacks the nodes that only weak edges reach."""
+    edges = bundled(spark, tmp_path)
+    monkeypatch.setattr(voting, "BLOCK_EDGES", 5000)
+    before = kept(spark)
+    got = {r.node: r.label for r in registry.QUERIES["graph_consensus"](spark, str(tmp_path)).collect()}
+    assert kept(spark) - before < len(edges)
+    both = voted(edges), voted([e for e in edges if e[2] >= 0.38])
+    assert got == voted([(a, b, w) for a, b, w in edges if sum(a in x and b in x and x[a] == x[b] for x in both) + 1 >= 2])
+
+
+def test_agreement_of_labelings():
+    """Sparse graphs, where labelings part the ends of edges and leave nodes out."""
+    parted = 0
+    for seed in range(12):
+        edges = weighted(seed, 40, 60)
+        held = voting.Graph(iter([*cut(edges, 9)]), by_id=True)
+        some = [None, lambda a, b, w: w >= 0.5, lambda a, b, w: w >= 0.75]
+        both = [voted([e for e in edges if e[2] >= least]) for least in (0, 0.5, 0.75)]
+        agreed = [(a, b, w) for a, b, w in edges if 2 * (sum(a in x and b in x and x[a] == x[b] for x in both) + 1) > 4]
+        parted += len(edges) - len(agreed)
+        label = voting.agreed(held, some, 1)
+        assert {int(held.ids[n]): int(held.ids[x]) for n, x in enumerate(label) if x >= 0} == voted(agreed)
+    assert parted > 50
+
+
 def test_consensus(spark):
     edges = weighted(9)
     nodes = sorted({x for a, b, _ in edges for x in (a, b)})
