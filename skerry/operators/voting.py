@@ -11,6 +11,7 @@ import pyarrow as pa
 SWEEPS = 20
 #: Edges of a block at most (a node's edges stay together), bytes that are kept in memory instead of a file.
 BLOCK_EDGES, IN_MEMORY = 1 << 21, 32 << 20
+PLACE = np.int32
 BLOCK = "nodes binary, ids binary, counts binary, near binary, weight binary"
 #: source places, target places, weights -> which edges count. It must hold for both directions of an edge or for none.
 Keep = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -32,12 +33,12 @@ def opened(held: bytes, count: int, kind: type) -> np.ndarray:
 
 
 def block(nodes: np.ndarray, ids: np.ndarray, source: np.ndarray, near: np.ndarray, weight: np.ndarray) -> pa.RecordBatch | None:
-    """A row of BLOCK: ascending nodes and their ids, edges by source (a place in nodes) and target; None without edges."""
+    """A row of BLOCK: ascending nodes and their ids, edges by source (a place in nodes) and target (PLACE, or ids); None without edges."""
     counts = np.bincount(source, minlength=len(nodes))
     some = counts > 0
     if not some.any():
         return None
-    columns = nodes[some].astype(np.int64).tobytes(), ids[some].astype(np.int64).tobytes(), counts[some].astype(np.int64).tobytes(), packed(near.astype(np.int64)), packed(weight.astype(np.float64))
+    columns = nodes[some].astype(np.int64).tobytes(), ids[some].astype(np.int64).tobytes(), counts[some].astype(np.int64).tobytes(), packed(near), packed(weight.astype(np.float64))
     return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], [f.split()[0] for f in BLOCK.split(", ")])
 
 
@@ -70,7 +71,7 @@ class Graph:
         """Where each node's edges begin and end, their targets and weights."""
         nodes, counts, at, near, weight = of
         self.file.seek(at)
-        target = opened(self.file.read(near), counts.sum(), np.int64)
+        target = opened(self.file.read(near), counts.sum(), np.int64 if self.by_id else PLACE)
         if self.by_id:
             target = np.searchsorted(self.ids, target)
         weights = opened(self.file.read(weight), len(target), np.float64)
@@ -88,12 +89,14 @@ def voted(graph: Graph, keep: Keep | None = None) -> np.ndarray:
     it, ties go to the lowest label. SWEEPS rounds at most, fewer once nothing changes. A node
     is asked again only if a neighbour's label changed, and a block without such nodes isn't read.
     """
-    label, tally, asked = np.arange(len(graph.ids)), np.zeros(len(graph.ids)), np.zeros(len(graph.ids), bool)
-    alone = np.ones(len(graph.ids), bool)
+    count = len(graph.ids)
+    label, asked, alone = np.arange(count), np.zeros(count, bool), np.ones(count, bool)
     for of in graph.blocks:
         asked[of[0]] = True
+    called = label  # labels are ranks among those that are left, in the same order; what they are called
     for _ in range(SWEEPS):
-        moved = False
+        left, label = np.unique(label, return_inverse=True)
+        called, tally, moved = called[left], np.zeros(len(left)), False
         for of in graph.blocks:
             if not asked[of[0]].any():
                 continue
@@ -106,19 +109,22 @@ def voted(graph: Graph, keep: Keep | None = None) -> np.ndarray:
                     continue
                 alone[n] = False
                 near = target[i:j]
-                names = label[near]
-                np.add.at(tally, names, weight[i:j])
-                sums = np.round(tally[names], 12)
-                tally[names] = 0
-                most = sums.max()
-                best = names[sums == most if most == most else np.isnan(sums)].min()  # NaN is above all others
+                names, best = label[near], -1
+                if len(tally) <= j - i:
+                    sums = np.round(np.bincount(names, weight[i:j], len(tally)), 12)
+                    best = sums.argmax()
+                if best < 0 or not sums[best] > 0:  # many labels, or one that no neighbour has might win with 0
+                    np.add.at(tally, names, weight[i:j])
+                    sums = np.round(tally[names], 12)
+                    tally[names] = 0
+                    most = sums.max()
+                    best = names[sums == most if most == most else np.isnan(sums)].min()  # NaN is above all others
                 if best != label[n]:
                     label[n], moved = best, True
                     asked[near] = True
         if not moved:
             break
-    label[alone] = -1
-    return label
+    return np.where(alone, -1, called[label])
 
 
 def agreed(graph: Graph, keeps: list[Keep | None], whole: int) -> np.ndarray:
